@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_index, byte_bpe, packing
+from . import binary_index, byte_bpe, packing, pii, simhash
 from .common import table
 
 #: The folder of tokenizer vocabularies; the same on every machine.
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_binary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_index.indexed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
@@ -28,14 +32,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii": op3_pii,
         "op4_binary_index": op4_binary_index,
         "op6_packing": op6_packing,
+        "op8_simhash": op8_simhash,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
