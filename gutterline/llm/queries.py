@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_index, byte_bpe, packing, pii, simhash
+from . import binary_index, byte_bpe, fingerprints, language_id, packing, pii, simhash
 from .common import table
 
 #: The folder of tokenizer vocabularies; the same on every machine.
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,9 +50,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op3_pii": op3_pii,
         "op4_binary_index": op4_binary_index,
         "op6_packing": op6_packing,
+        "op7_minhash": op7_minhash,
         "op8_simhash": op8_simhash,
         "op10_byte_bpe": op10_byte_bpe,
     }
