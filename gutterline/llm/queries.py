@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_index, byte_bpe, fingerprints, language_id, packing, pii, simhash
+from . import ann, binary_index, byte_bpe, fingerprints, language_id, packing, pii, simhash
 from .common import table
 
 #: The folder of tokenizer vocabularies; the same on every machine.
@@ -44,6 +44,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_minhash": op7_minhash,
         "op8_simhash": op8_simhash,
+        "op9_ann": op9_ann,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
