@@ -6,22 +6,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gutterline.llm import common, packing
+from gutterline.llm import common, language_id, packing, pii, simhash
 from gutterline.llm.queries import vocabulary
 
 
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: documents that no learned language accounts for go."""
+    return language_id.without_rejected(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near-duplicates the smallest id stays."""
+    return simhash.first_of_each(docs)
+
+
+def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: personal data are replaced by their kind."""
+    return pii.mask_documents(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: pieces of all documents in sequences of 1024 tokens."""
     return packing.packed(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language_id", identify), ("near_dedup", deduplicate), ("pii", mask), ("packing", pack)]
 
 #: SQL can't express these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; the last one's rows."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir), name)

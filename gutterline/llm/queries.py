@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary_index, byte_bpe, fingerprints, language_id, packing, pii, simhash
+from . import ann, binary_index, byte_bpe, fingerprints, katz, language_id, licenses, packing, pii, simhash
 from .common import table
 
 #: The folder of tokenizer vocabularies; the same on every machine.
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op4_binary_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_index.indexed_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(table(spark, sf_dir, "documents"), katz.held_out())
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
 
@@ -54,9 +62,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_language_id": op2_language_id,
         "op3_pii": op3_pii,
         "op4_binary_index": op4_binary_index,
+        "op5_katz": op5_katz,
         "op6_packing": op6_packing,
         "op7_minhash": op7_minhash,
         "op8_simhash": op8_simhash,
