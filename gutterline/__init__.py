@@ -1,0 +1 @@
+"""Page-layout and timeline analytics on Spark DataFrames."""
