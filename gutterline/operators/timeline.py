@@ -31,7 +31,7 @@ def durations(frames: DataFrame, fallback_ms: int) -> DataFrame:
     """(panel, t, ms, hold) rows to the end of each panel's last beat; a panel
     whose beats are null gets the fallback, none ends before 0."""
     end = F.max(F.col("t") + F.col("ms") + F.coalesce("hold", F.lit(0)))
-    return frames.groupBy("panel").agg(F.coalesce(F.greatest(end, F.lit(0)), F.lit(fallback_ms)).cast("long").alias("duration_ms"))
+    return frames.groupBy("panel").agg(F.when(end.isNull(), F.lit(fallback_ms)).otherwise(F.greatest(end, F.lit(0))).cast("long").alias("duration_ms"))
 
 
 def eta(progress: DataFrame, lookback: int = 5) -> DataFrame:
