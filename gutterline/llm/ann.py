@@ -8,8 +8,9 @@ measures the best of each block exactly on the original vectors.
 
 The quantisers are fitted on a bounded sample, which also chooses how many
 lists are visited: the fewest that find ``TARGET_RECALL`` of the sample's own
-true neighbours.  Lists are stored in blocks of bounded size, so a list that
-holds a third of all vectors is many rows.
+true neighbours.  Lists are dealt on to blocks of about ``BLOCK`` vectors, so a
+list that holds a third of all vectors is many rows, and a short one is a
+single block.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fit on at most this many vectors; lists, bytes a vector, codes a byte.
-SAMPLE, LISTS, SUBSPACES, CODES, ROUNDS = 8192, 64, 16, 64, 8
+#: Fit on at most this many vectors, but ``PER_LIST`` for each list; the least
+#: and the most lists, and how many vectors a list is to hold between them.
+SAMPLE, PER_LIST, LEAST_LISTS, MOST_LISTS, LIST_VECTORS = 8192, 16, 64, 4096, 4096
+#: Bytes a vector, codes a byte, rounds of k-means.
+SUBSPACES, CODES, ROUNDS = 16, 64, 8
 TARGET_RECALL = 0.97
 #: Vectors of a block, and how many of a block are measured exactly for k neighbours.
 BLOCK, RERANK = 2048, 6
@@ -62,10 +66,10 @@ class Quantiser:
     probes: int
 
     @classmethod
-    def fit(cls, sample: np.ndarray, k: int) -> Quantiser:
+    def fit(cls, sample: np.ndarray, k: int, lists: int = LEAST_LISTS) -> Quantiser:
         rng = np.random.default_rng(0)
         width = -(-sample.shape[1] // SUBSPACES)
-        coarse = k_means(sample, max(1, min(LISTS, len(sample) // 16)), rng)
+        coarse = k_means(sample, max(1, min(lists, len(sample) // PER_LIST)), rng)
         near = nearest(sample, coarse)
         residual = padded(sample - coarse[near], width)
         books = [k_means(residual[:, s * width : (s + 1) * width], CODES, rng) for s in range(SUBSPACES)]
@@ -115,17 +119,20 @@ def search_block(quantiser: Quantiser, list_id: int, ids: np.ndarray, codes: np.
     """Each query's k best of a block (ids ascending): ranked by table, then
     measured in double precision."""
     out = []
-    base, tables = queries @ quantiser.coarse[list_id], quantiser.tables(queries)
-    exact, places = vectors.astype(np.float64), np.arange(SUBSPACES)
-    for q in range(len(queries)):
-        rough = base[q] + tables[q][places, codes].sum(1)
-        own = ids == query_ids[q]
-        rough[own] = -np.inf
-        rows = best_rows(rough, RERANK * k)
-        rows = rows[~own[rows]]
-        scores = (exact[rows] * queries[q].astype(np.float64)).sum(1)
-        order = np.lexsort((ids[rows], -scores))[:k]
-        out += [(int(query_ids[q]), int(ids[rows[i]]), float(scores[i])) for i in order]
+    exact = vectors.astype(np.float64)
+    for a in range(0, len(queries), 256):
+        some, names = queries[a : a + 256], query_ids[a : a + 256]
+        tables = quantiser.tables(some)
+        rough = np.repeat((some @ quantiser.coarse[list_id])[:, None], len(ids), axis=1)
+        for s in range(SUBSPACES):
+            rough += tables[:, s, codes[:, s]]
+        rough[names[:, None] == ids] = -np.inf
+        for q, scores in enumerate(rough):
+            rows = best_rows(scores, RERANK * k)
+            rows = rows[scores[rows] > -np.inf]
+            measured = (exact[rows] * some[q].astype(np.float64)).sum(1)
+            order = np.lexsort((ids[rows], -measured))[:k]
+            out += zip([int(names[q])] * len(order), ids[rows[order]].tolist(), measured[order].tolist(), strict=True)
     return out
 
 
@@ -155,12 +162,14 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = common.stored(rows.where(F.size("v") == sizes.n).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     total = rows.count()
-    share = min(1.0, SAMPLE / total)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id")).limit(SAMPLE)
-    sample = np.array([r.v for r in picked.collect()], np.float32)  # at most SAMPLE rows
+    lists = min(MOST_LISTS, max(LEAST_LISTS, total // LIST_VECTORS))
+    most = max(SAMPLE, PER_LIST * lists)
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(min(1.0, most / total) * (1 << 30))).orderBy(F.xxhash64("vec_id")).limit(most)
+    sample = np.array([r.v for r in picked.collect()], np.float32)  # at most ``most`` rows
     if not len(sample):
-        sample = np.array([r.v for r in rows.limit(SAMPLE).collect()], np.float32)
-    shared, key = spark.sparkContext.broadcast(Quantiser.fit(sample, k)), uuid.uuid4().hex
+        sample = np.array([r.v for r in rows.limit(most).collect()], np.float32)
+    shared, key = spark.sparkContext.broadcast(Quantiser.fit(sample, k, lists)), uuid.uuid4().hex
+    width = int(sizes.n)
 
     def loaded() -> Quantiser:
         if key not in _LOADED:
@@ -171,33 +180,18 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
     def matrix(column: pa.Array) -> np.ndarray:
         return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
 
-    def encode(batches):
-        """Blocks of a task's vectors, list by list: whatever the sizes of the
-        lists, a block is bounded."""
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def blocks():
-            ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            lists = nearest(x, loaded().coarse)
-            order = np.lexsort((ids, lists))
-            for list_id in np.unique(lists):
-                members = order[lists[order] == list_id]
-                for a in range(0, len(members), BLOCK):
-                    m = members[a : a + BLOCK]
-                    codes = loaded().encode(x[m], lists[m])
-                    yield int(list_id), ids[m].astype("<i8").tobytes(), codes.tobytes(), x[m].astype("<f4").tobytes()
+    @F.arrow_udf("int")
+    def list_of(vectors: pa.Array) -> pa.Array:
+        return pa.array(nearest(matrix(vectors), loaded().coarse), pa.int32())
 
-        def packed(rows):
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["list", "ids", "codes", "vectors"])
-
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), matrix(batch.column(1))))
-            if sum(len(h[0]) for h in held) >= 16 * BLOCK:
-                yield packed(blocks())
-                held.clear()
-        if held:
-            yield packed(blocks())
+    def encode(members: pa.Table) -> pa.Table:
+        """A block: its vectors by ascending id, their codes and themselves."""
+        members = members.combine_chunks().sort_by("vec_id")
+        vectors, list_id = matrix(members.column("v").chunk(0)), members.column("list")[0].as_py()
+        codes = loaded().encode(vectors, np.full(len(vectors), list_id))
+        columns = {"list": pa.array([list_id], pa.int32()), "block": pa.array([members.column("block")[0].as_py()], pa.int32())}
+        blobs = {"ids": members.column("vec_id").to_numpy().astype("<i8"), "codes": codes, "vectors": vectors.astype("<f4")}
+        return pa.table(columns | {n: pa.array([b.tobytes()], pa.binary()) for n, b in blobs.items()})
 
     def ask(batches):
         for batch in batches:
@@ -210,8 +204,6 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
             columns = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["list", "query_ids", "queries"])
 
-    width = int(sizes.n)
-
     def search(batches):
         for batch in batches:
             found = []
@@ -221,13 +213,14 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
             columns = list(zip(*found, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    index = common.stored(rows.mapInArrow(encode, "list int, ids binary, codes binary, vectors binary"), "index")
+    listed = common.stored(rows.select("vec_id", "v", list_of("v").alias("list")), "lists")
+    counted = listed.groupBy("list").count().collect()  # MOST_LISTS rows at most
+    blocks = F.broadcast(spark.createDataFrame([(r["list"], -(-r["count"] // BLOCK)) for r in counted], "list int, blocks int"))
+    dealt = listed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    index = common.stored(dealt.select("list", "block", "vec_id", "v").groupBy("list", "block").applyInArrow(encode, "list int, block int, ids binary, codes binary, vectors binary"), "index")
     asked = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(ask, "list int, query_ids binary, queries binary")
-    # blocks of queries meet blocks of their list; both are dealt on by a salt, so no list is one task
-    salts = 8
-    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = index.withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
-    pairs = dealt.join(salted, ["list", "salt"]).select("list", "ids", "codes", "vectors", "query_ids", "queries")
+    sent = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_ids", "queries")
+    pairs = index.join(sent, ["list", "block"]).select("list", "ids", "codes", "vectors", "query_ids", "queries")
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
