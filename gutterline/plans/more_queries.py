@@ -26,7 +26,7 @@ def light(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", level.alias("mask"))
 
 
-_BORDER = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == 7) | (F.col("y") == 7)
+_BORDER = "x = 0 or y = 0 or x = 7 or y = 7"
 
 
 @query("f10_on_dark", f"with {LIGHT}, b as (select vec_id, v, row_number() over (partition by vec_id order by v) - 1 as place, count(*) over (partition by vec_id) as n from lt where x in (0, 7) or y in (0, 7)) select vec_id, max(case when place = n // 2 then v end) as median, max(case when place = n // 2 then v end) < 90 and count(*) filter (v < 60) >= {D(0.55)} * max(n) as dark from b group by vec_id")
