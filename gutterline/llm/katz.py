@@ -17,6 +17,7 @@ sums that each context's backoff weight needs.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -296,19 +297,20 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    store = common.new_folder(spark, "blocks")
-    blocks(docs, held).write.option("compression", "zstd").parquet(store)
-    texts = spark.read.parquet(store)
+    # bucketed, so that answers are dealt to the blocks and blocks stay where they are
+    store, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks(docs, held).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(store, format="parquet")
+    texts = spark.table(store)
     tokens = texts.agg(F.sum("n_tokens")).first()[0]
-    if not tokens:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    bits = min(20, max(6, math.ceil(math.log2(max(1, tokens / PARTITION_TOKENS)))))
     rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a block
     try:
-        return _scored(texts, bits)
+        if not tokens:
+            return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return _scored(texts, min(20, max(6, math.ceil(math.log2(max(1, tokens / PARTITION_TOKENS))))))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
+        spark.sql(f"drop table {store}")
 
 
 def _scored(texts: DataFrame, bits: int) -> DataFrame:
