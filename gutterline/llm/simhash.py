@@ -2,7 +2,7 @@
 
 A fingerprint takes the majority of each bit over the hashes of all word
 shingles.  Each of the 64 positions carries a non-zero vector of radius + 1
-bits; table v keeps the positions whose vector is orthogonal to v.  Up to
+bits; table v drops the positions whose vector is orthogonal to v.  Up to
 ``radius`` differing positions never span the whole space, so some v is
 orthogonal to all of them and the pair meets in table v: no link is lost.
 
@@ -68,7 +68,7 @@ def fingerprint_of(text: Column) -> Column:
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     """Masks as signed 64-bit integers; position i carries vector i mod (2^(radius+1) - 1) + 1."""
     vectors = 2 ** (radius + 1) - 1
-    masks = [sum(1 << i for i in range(bits) if (i % vectors + 1 & v).bit_count() % 2 == 0) for v in range(1, vectors + 1)]
+    masks = [sum(1 << i for i in range(bits) if (i % vectors + 1 & v).bit_count() % 2 == 1) for v in range(1, vectors + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -79,7 +79,8 @@ def stars(members: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         root, left = int(left[0]), left[1:]
         queue = [root]
         while queue and len(left):
-            near = np.bitwise_count(left ^ np.int64(queue.pop())) <= radius
+            # as unsigned: bits of a negative number would be those of its absolute value
+            near = np.bitwise_count((left ^ np.int64(queue.pop())).view(np.uint64)) <= radius
             found = left[near].tolist()
             out += [(root, x) for x in found]
             queue += found
