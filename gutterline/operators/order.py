@@ -1,16 +1,18 @@
 """Reading order and other page algorithms that recurse or fold.
 
-``applyInPandas`` takes a page's few rows; everything before and after is
-relational.  ``place_in_order`` cuts a page along the line that slices its
+A page's few boxes are one row with an array, and Python takes many such rows
+at a time; everything before and after is relational.  ``place_in_order`` cuts a page along the line that slices its
 panels least, rows before columns on a tie, and goes on inside each side.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The most of a panel that a cut may slice off, and the shared height that
 #: puts two panels in one row.
@@ -40,11 +42,13 @@ def _best_cut(shapes: list[np.ndarray], axis: int, limit: float) -> tuple[float,
     """The first of the cuts that slice least: how much, and both sides."""
     best = None
     areas = [_area(s) for s in shapes]
+    spans = [(float(s[:, axis].min()), float(s[:, axis].max())) for s in shapes]
     solid = [i for i, a in enumerate(areas) if a > 0]  # a shape without area has no side
-    for at in sorted({float(v) for s in shapes for v in (s[:, axis].min(), s[:, axis].max())}):
+    for at in sorted({v for span in spans for v in span}):
         lower, upper, worst = [], [], 0.0
         for i in solid:
-            part = _below(shapes[i], axis, at)
+            low, high = spans[i]
+            part = areas[i] if high <= at else 0.0 if low >= at else _below(shapes[i], axis, at)
             worst = max(worst, min(part, areas[i] - part) / areas[i])
             if worst > limit:
                 break
@@ -106,17 +110,33 @@ def place_in_order(shapes: list[np.ndarray], right_to_left: bool = True, limit:
     return done
 
 
-def corners(row) -> np.ndarray:
-    return np.array([[row.x, row.y], [row.x + row.w, row.y], [row.x + row.w, row.y + row.h], [row.x, row.y + row.h]], float)
+def corners(box: dict) -> np.ndarray:
+    x, y, right, bottom = box["x"], box["y"], box["x"] + box["w"], box["y"] + box["h"]
+    return np.array([[x, y], [right, y], [right, bottom], [x, bottom]], float)
+
+
+def _pages(rows: DataFrame, work, schema: str, *columns: str) -> DataFrame:
+    """``work(page_id, boxes)`` on each page, its boxes as dicts by det_id.
+
+    A page is one row with an array, so a batch carries many pages.
+    """
+    pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_id", *"xywh", *columns))).alias("boxes"))
+
+    def run(batches):
+        for batch in batches:
+            out = [r for page_id, boxes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in work(page_id, boxes)]
+            yield pa.RecordBatch.from_pylist(out, schema=types)
+
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    return pages.mapInArrow(run, schema)
 
 
 def _ordered(panels: DataFrame, how) -> DataFrame:
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("det_id")
-        chosen = how([corners(r) for r in rows.itertuples()])
-        return pd.DataFrame({"page_id": rows["page_id"].iloc[0], "det_id": rows["det_id"].to_numpy()[chosen], "place": np.arange(len(chosen))})
+    def page(page_id, boxes):
+        chosen = how([corners(b) for b in boxes])
+        return [{"page_id": page_id, "det_id": boxes[k]["det_id"], "place": place} for place, k in enumerate(chosen)]
 
-    return panels.select("page_id", "det_id", *"xywh").groupBy("page_id").applyInPandas(page, "page_id long, det_id long, place long")
+    return _pages(panels, page, "page_id long, det_id long, place long")
 
 
 def reading_order(panels: DataFrame, right_to_left: bool = True) -> DataFrame:
@@ -153,12 +173,12 @@ def join_boxes(boxes: list[list[float]], overlap: float = 0.5, column: float = 0
 def joined_splits(panels: DataFrame) -> DataFrame:
     """Panels after joining those that were seen in two parts."""
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["conf", "det_id"], ascending=[False, True])
-        out = pd.DataFrame(join_boxes(rows[["x", "y", "w", "h", "conf"]].astype(float).to_numpy().tolist()), columns=["x", "y", "w", "h", "conf"])
-        return out.assign(page_id=rows["page_id"].iloc[0], place=np.arange(len(out)))
+    def page(page_id, boxes):
+        best_first = sorted(boxes, key=lambda b: (-b["conf"], b["det_id"]))
+        joined = join_boxes([[float(b[c]) for c in ("x", "y", "w", "h", "conf")] for b in best_first])
+        return [{"page_id": page_id, "place": place, "x": x, "y": y, "w": w, "h": h, "conf": conf} for place, (x, y, w, h, conf) in enumerate(joined)]
 
-    return panels.groupBy("page_id").applyInPandas(page, "page_id long, place long, x double, y double, w double, h double, conf double")
+    return _pages(panels, page, "page_id long, place long, x double, y double, w double, h double, conf double", "conf")
 
 
 def lone_panels(texts: list[tuple], panels: list[tuple], width: float, height: float, least: float = 0.04) -> list[tuple]:
@@ -185,13 +205,12 @@ def filled_around(texts: DataFrame, panels: DataFrame, width: int = 1000, height
     """Panels added around texts that lie in none."""
     rows = texts.withColumn("panel", F.lit(False)).unionByName(panels.withColumn("panel", F.lit(True)))
 
-    def page(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("det_id")
-        boxes = lambda part: [tuple(map(float, b)) for b in part[["x", "y", "w", "h"]].to_numpy()]
-        added = lone_panels(boxes(rows[~rows["panel"]]), boxes(rows[rows["panel"]]), width, height)
-        return pd.DataFrame(added, columns=["x", "y", "w", "h"], dtype=float).assign(page_id=rows["page_id"].iloc[0], place=np.arange(len(added)))
+    def page(page_id, boxes):
+        of = lambda panel: [tuple(float(b[c]) for c in "xywh") for b in boxes if b["panel"] == panel]
+        added = lone_panels(of(False), of(True), width, height)
+        return [{"page_id": page_id, "place": place, "x": x, "y": y, "w": w, "h": h} for place, (x, y, w, h) in enumerate(added)]
 
-    return rows.groupBy("page_id").applyInPandas(page, "page_id long, place long, x double, y double, w double, h double")
+    return _pages(rows, page, "page_id long, place long, x double, y double, w double, h double", "panel")
 
 
 def smoothed(values: DataFrame) -> DataFrame:
