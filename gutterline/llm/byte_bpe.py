@@ -19,14 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokenizing import AttachedSpaceEncoder
-
-
-def byte_characters() -> list[str]:
-    """One printable character for each byte; none is white space."""
-    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    others = [b for b in range(256) if b not in set(printable)]
-    return [chr(b) if b in set(printable) else chr(256 + others.index(b)) for b in range(256)]
+from .tokenizing import AttachedSpaceEncoder, byte_characters
 
 
 def _varint(n: int) -> bytes:

@@ -37,6 +37,13 @@ class WordCache(dict):
         return ids
 
 
+def byte_characters() -> list[str]:
+    """One printable character for each byte; none is white space."""
+    printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    others = [b for b in range(256) if b not in set(printable)]
+    return [chr(b) if b in set(printable) else chr(256 + others.index(b)) for b in range(256)]
+
+
 def plain_stem(word: str) -> bool:
     """Whether a word is Latin letters only, and so one piece of the pattern's."""
     return word.isalpha() and max(word) < "\u0250"
@@ -144,4 +151,11 @@ def word_encoder(path: str, dtype: str) -> DroppedSpaceEncoder:
 
 @functools.cache
 def byte_encoder(path: str, dtype: str) -> AttachedSpaceEncoder:
-    return AttachedSpaceEncoder(lambda text: encode_whole(path, text, dtype))
+    """A single match goes to the library's merges, its bytes as characters."""
+    merges, chars = library(path).model.tokenize, byte_characters()
+
+    def piece(match: str) -> bytes:
+        mapped = chars[32] + match[1:] if match.isascii() else "".join([chars[b] for b in match.encode()])
+        return np.array([t.id for t in merges(mapped)], dtype=dtype).tobytes()
+
+    return AttachedSpaceEncoder(lambda text: encode_whole(path, text, dtype), piece)
