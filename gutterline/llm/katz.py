@@ -146,7 +146,8 @@ def sliced(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted hashes as byte planes: the high bytes repeat, and compress."""
+    """Numbers as byte planes: the high bytes repeat, and compress, so that
+    totals can be wide; those of a block alone fit 32 bits."""
     return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
@@ -197,7 +198,7 @@ def sum_words(table: pa.Table) -> pa.Table:
     keys, lengths, values = received(table, a="<u4")
     _, inverse = np.unique(keys, return_inverse=True)
     totals = np.bincount(inverse, values["a"]).astype(np.int64)
-    return answers(table, totals[inverse].astype("<u4"), lengths, count_of_counts(totals))
+    return answers(table, totals[inverse].astype("<u8"), lengths, count_of_counts(totals))
 
 
 def sum_pairs(table: pa.Table) -> pa.Table:
@@ -210,7 +211,7 @@ def sum_pairs(table: pa.Table) -> pa.Table:
     owner = np.full(len(totals), np.iinfo(np.int64).max)
     np.minimum.at(owner, inverse, of)
     mine = (of == owner[inverse]) & (totals[inverse] > 0)
-    return answers(table, (totals[inverse] << 1 | mine).astype("<u4"), lengths, count_of_counts(totals))
+    return answers(table, (totals[inverse] << 1 | mine).astype("<u8"), lengths, count_of_counts(totals))
 
 
 def sum_contexts(table: pa.Table) -> pa.Table:
@@ -221,7 +222,7 @@ def sum_contexts(table: pa.Table) -> pa.Table:
     be discounted frees nothing; its count is taken as one more, and its
     weight is given with a minus sign to say so.
     """
-    keys, lengths, values = received(table, a="<f8", b="<f8", c="<u4")
+    keys, lengths, values = received(table, a="<f8", b="<f8", c="<u8")
     _, inverse = np.unique(keys, return_inverse=True)
     count = np.zeros(inverse.max(initial=-1) + 1)
     count[inverse] = values["c"]
@@ -229,7 +230,7 @@ def sum_contexts(table: pa.Table) -> pa.Table:
     full = (count > 0) & (kept > count * (1 - 1e-9))
     free = 1 - kept / np.maximum(count + full, 1)
     weight = np.where(count > 0, free / np.maximum(1 - below, 1e-12), 1.0) * np.where(full, -1, 1)
-    return answers(table, weight[inverse].astype("<f4"), lengths)
+    return answers(table, weight[inverse].astype("<f8"), lengths)
 
 
 @dataclass
@@ -347,20 +348,20 @@ def _scored(texts: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.read(row)
-                counts, pair = joined(row["words"], "<u4").astype(np.int64), joined(row["pairs"], "<u4").astype(np.int64)
+                counts, pair = joined(row["words"], "<u8").astype(np.int64), joined(row["pairs"], "<u8").astype(np.int64)
                 _, _, first = block.pairs()
                 own = (pair & 1) == 1
                 context, word, r = block.contexts()[first[own]], block.stream[first[own]], pair[own] >> 1
                 size = len(block.vocabulary)
                 kept, below = np.bincount(context, discounts.counts(r), size), np.bincount(context, unigrams.probability(counts[word]), size)
-                yield messages(row["block"], block.vocabulary, bits, a=kept.astype("<f8"), b=below.astype("<f8"), c=context_counts(block, counts).astype("<u4"))
+                yield messages(row["block"], block.vocabulary, bits, a=kept.astype("<f8"), b=below.astype("<f8"), c=context_counts(block, counts).astype("<u8"))
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.read(row)
-                counts, pair = joined(row["words"], "<u4").astype(np.int64), joined(row["pairs"], "<u4").astype(np.int64) >> 1
-                weight = joined(row["contexts"], "<f4").astype(np.float64)
+                counts, pair = joined(row["words"], "<u8").astype(np.int64), joined(row["pairs"], "<u8").astype(np.int64) >> 1
+                weight = joined(row["contexts"], "<f8")
                 _, inverse, _ = block.pairs()
                 contexts, r = block.contexts(), pair[inverse]
                 of_context = context_counts(block, counts)[contexts]
