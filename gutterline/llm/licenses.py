@@ -4,11 +4,13 @@ Lines that mention a licence are candidate blocks.  A block is compressed
 alone and with each template as a raw zstandard dictionary; what a template
 saves ranks it.  The best templates are then compared word by word, and a
 block is confirmed for the one whose wording differs least, if the
-differences are few.
+differences are few.  What the wording leaves of the block on either side is
+a block again, so that notices in a row are all found.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
 import re
@@ -75,10 +77,15 @@ def templates() -> tuple[list[Template], object]:
     return [Template(name, text) for name, texts in TEMPLATES.items() for text in texts], zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=False)
 
 
+def lowered(text: str) -> str:
+    """In lower case, character for character; a dotted capital I alone would become two."""
+    return text.replace("\u0130", "i").lower()
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans of adjacent lines with a cue, cut into overlapping windows of
     words where they are long."""
-    lower = text.lower() if len(text.lower()) == len(text) else text
+    lower = lowered(text)
     if not any(cue in lower for cue in CUES):
         return []
     runs, at = [], 0
@@ -111,26 +118,39 @@ def differences(block: list[str], template: list[str]) -> tuple[int, int, int]:
     return len(template) - shared + (last - first - shared), first, last
 
 
-def matches(text: str) -> list[tuple[str, int, int, int, float]]:
-    """(license, start, end, differing words, share of the size saved) of
-    each confirmed block, in order; a span is reported once."""
-    found: dict[tuple[int, int], tuple] = {}
+def confirmed(text: str, a: int, b: int) -> tuple[str, int, int, int, float] | None:
+    """(license, start, end, differing words, share of the size saved) of the
+    template that a block is confirmed for, if any."""
     known, plain = templates()
-    for a, b in candidates(text):
-        block = text[a:b].lower().encode("utf-8", "surrogatepass")
-        alone = len(plain.compress(block))
-        ranked = sorted(((1 - t.size(block) / alone, -i) for i, t in enumerate(known)), reverse=True)[:RANKED]
-        tokens = list(_WORD.finditer(text[a:b]))
-        words = [m[0].lower() for m in tokens]
-        best = None
-        for saved, i in ranked:
-            template = known[-i]
-            n, first, last = differences(words, template.words)
-            if saved > 0 and n <= MAX_DIFFERENCE * len(template.words) and (best is None or (n / len(template.words), -saved) < best[0]):
-                best = ((n / len(template.words), -saved), (template.name, a + tokens[first].start(), a + tokens[last - 1].end(), n, saved))
-        if best:
-            found.setdefault(best[1][1:3], best[1])
-    return [found[k] for k in sorted(found)]
+    block = text[a:b].lower().encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(block))
+    ranked = sorted(((1 - t.size(block) / alone, -i) for i, t in enumerate(known)), reverse=True)[:RANKED]
+    tokens = list(_WORD.finditer(text[a:b]))
+    words = [m[0].lower() for m in tokens]
+    best = None
+    for saved, i in ranked:
+        template = known[-i]
+        n, first, last = differences(words, template.words)
+        if saved > 0 and n <= MAX_DIFFERENCE * len(template.words) and (best is None or (n / len(template.words), -saved) < best[0]):
+            best = ((n / len(template.words), -saved), (template.name, a + tokens[first].start(), a + tokens[last - 1].end(), n, saved))
+    return best and best[1]
+
+
+def matches(text: str) -> list[tuple[str, int, int, int, float]]:
+    """The confirmed wordings of a text in order; a span is reported once, and
+    of overlapping ones the one that differs least."""
+    found, todo, lower = [], candidates(text), lowered(text)
+    while todo:
+        a, b = todo.pop()
+        if match := confirmed(text, a, b):
+            found.append(match)
+            todo += [(x, y) for x, y in ((a, match[1]), (match[2], b)) if any(cue in lower[x:y] for cue in CUES)]
+    kept: list[tuple[int, int, tuple]] = []  # by start, none overlapping
+    for match in sorted(found, key=lambda m: (m[3] / (m[2] - m[1]), m[1] - m[2], m)):
+        at = bisect.bisect(kept, (match[1], match[2]))
+        if (at == 0 or kept[at - 1][1] <= match[1]) and (at == len(kept) or match[2] <= kept[at][0]):
+            kept.insert(at, (match[1], match[2], match))
+    return [k[2] for k in kept]
 
 
 def scan(docs: DataFrame) -> DataFrame:

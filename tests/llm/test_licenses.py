@@ -13,6 +13,13 @@ def test_exact_and_changed_wordings(make):
     assert (match.start, match.end, match.differing) == (11, 41, 0) and match.saved > 0.4
 
 
+def test_notices_in_a_row_and_in_one_line(make):
+    row = licenses.scan(make((1, "Released under the MIT License.\nAll rights reserved.\nLicensed under CC BY 4.0."), (2, "Intro. Licensed under CC BY 4.0. Then \u0130 more. RELEASED UNDER THE MIT LICENSE. End"), (3, "All rights reserved. " * 500))).collect()
+    assert [[m.license for m in r.matches] for r in row[:2]] == [["MIT", "proprietary", "CC-BY-4.0"], ["CC-BY-4.0", "MIT"]]
+    spans = [(m.start, m.end) for m in row[2].matches]
+    assert spans == [(21 * i, 21 * i + 19) for i in range(500)]
+
+
 def test_odd_documents(odd):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 13 and all(r.licenses == "" and r.n_candidates == 0 for r in rows)
