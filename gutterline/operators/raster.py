@@ -57,6 +57,22 @@ def blurred(mask: Column, side: int = SIDE) -> Column:
     return _around(mask, side, _clamped(side), lambda vs: sum(vs[1:], vs[0]))
 
 
+def bilinear(image: Column, side: int, target: int) -> Column:
+    """A square resampled to another size: centres aligned, edges repeated,
+    rounded half up."""
+    places = [min(max((d + 0.5) * (side / target) - 0.5, 0.0), side - 1.0) for d in range(target)]
+    low, high, part = F.lit([int(p) for p in places]), F.lit([min(int(p) + 1, side - 1) for p in places]), F.lit([p - int(p) for p in places])
+
+    def cell(i: Column) -> Column:
+        x, y = i % target, F.floor(i / target).cast("int")
+        at = lambda rows, columns: F.get(image, F.get(rows, y) * side + F.get(columns, x)).cast("double")
+        upper = at(low, low) + (at(low, high) - at(low, low)) * F.get(part, x)
+        lower = at(high, low) + (at(high, high) - at(high, low)) * F.get(part, x)
+        return F.floor(upper + (lower - upper) * F.get(part, y) + 0.5).cast("long")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(target * target - 1)), cell)
+
+
 def labels(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Connected parts of a 0/1 mask, numbered from 1 in scan order."""
     out = np.zeros(mask.shape, int)

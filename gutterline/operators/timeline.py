@@ -78,3 +78,21 @@ def upper_median(values: DataFrame, key: str, value: str) -> DataFrame:
     ordered = Window.partitionBy(key).orderBy(value)
     ranked = values.select(key, value, (F.row_number().over(ordered) - 1).alias("place"), F.count("*").over(Window.partitionBy(key)).alias("n"))
     return ranked.where(F.col("place") == F.floor(F.col("n") / 2)).select(key, F.col(value).alias("median"), "n")
+
+
+def pan_progress(ticks: DataFrame, stops: list[int], ms: int, delay: int, end: int = 1_000_000) -> DataFrame:
+    """How far a pan is after each tick: (key, t, event_id, dt, revealed) with
+    ``place``, in parts of ``end``.
+
+    Each tick moves it on by its share of ``ms``, but never beyond the first
+    stop that isn't revealed yet; it starts when ``delay`` has passed.  A walk
+    under changing limits is the free walk, less the most that any limit so
+    far has cut off it: two running windows instead of a fold.
+    """
+    order = Window.partitionBy("key").orderBy("t", "event_id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    waited = F.coalesce(F.sum("dt").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit = F.coalesce(F.get(F.lit(stops), F.col("revealed").cast("int")).cast("long"), F.lit(end).cast("long"))
+    walk = ticks.withColumn("step", F.when(waited >= delay, F.floor(F.col("dt") * end / ms)).otherwise(0)).withColumn("limit", limit)
+    walk = walk.withColumn("free", F.sum("step").over(so_far)).withColumn("room", F.col("limit") - F.col("free"))
+    return walk.withColumn("place", F.col("free") + F.least(F.lit(0), F.min("room").over(so_far))).drop("step", "limit", "free", "room")

@@ -15,7 +15,7 @@ import zipfile
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -138,3 +138,9 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 def read_books(spark: SparkSession, path: str) -> DataFrame:
     register(spark)
     return spark.read.format("cbz").load(path)
+
+
+def kind_of(content: Column) -> Column:
+    """``rar`` or ``zip`` by a file's first bytes, else null."""
+    head = F.hex(F.substring(content, 1, 6))
+    return F.when(head == "526172211A07", "rar").when(head.startswith("504B0304"), "zip")
