@@ -3,6 +3,8 @@ them, and the art without them.  Arrays of cells, inside Catalyst."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,14 +25,19 @@ def safe(levels: Column) -> Column:
     return (paper_tone(levels) >= PAPER) & (F.size(F.filter(levels, lambda v: v >= PAPER)) >= F.size(levels) * PAPER_SHARE)
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not for each cell."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _alpha(value: Column) -> Column:
     return F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("long")
 
 
 def ink_by_light(levels: Column) -> Column:
     """Alpha by how much darker than paper a cell is; null where it isn't safe."""
-    tone = paper_tone(levels)
-    return F.when(safe(levels), F.transform(levels, lambda v: _alpha((tone - v) * 255 / F.greatest(tone, F.lit(1)))))
+    alpha = lambda t: F.transform(levels, lambda v: _alpha((t - v) * 255 / F.greatest(t, F.lit(1))))
+    return F.when(safe(levels), _bound(paper_tone(levels), alpha))
 
 
 def border_median(levels: Column, side: int) -> Column:
@@ -41,11 +48,15 @@ def border_median(levels: Column, side: int) -> Column:
 
 def ink_by_color(red: Column, green: Column, blue: Column, side: int) -> Column:
     """Alpha by distance from the backdrop's colour; null without a plain one."""
-    channels = (red, green, blue)
-    backdrop = [border_median(c, side) for c in channels]
-    squares = lambda p: sum((F.get(c, p) - m) * (F.get(c, p) - m) for c, m in zip(channels, backdrop, strict=True))
-    alpha = F.transform(red, lambda _, p: _alpha((F.sqrt(squares(p)) - INK_FROM) * 255 / (INK_FULL - INK_FROM)))
-    return F.when(F.size(F.filter(alpha, lambda a: a == 0)) >= F.size(red) * FLAT_SHARE, alpha)
+    names = ("red", "green", "blue")
+
+    def measured(of: Column) -> Column:
+        medians = F.struct(*(border_median(of[n], side).alias(n) for n in names))
+        squares = lambda m, p: sum((F.get(of[n], p) - m[n]) * (F.get(of[n], p) - m[n]) for n in names)
+        return _bound(medians, lambda m: F.transform(of["red"], lambda _, p: _alpha((F.sqrt(squares(m, p)) - INK_FROM) * 255 / (INK_FULL - INK_FROM))))
+
+    alpha = _bound(F.struct(*(c.alias(n) for c, n in zip((red, green, blue), names, strict=True))), measured)
+    return _bound(alpha, lambda a: F.when(F.size(F.filter(a, lambda v: v == 0)) >= F.size(a) * FLAT_SHARE, a))
 
 
 def sprite_alpha(alpha: Column, cover: Column) -> Column:
@@ -59,4 +70,4 @@ def taken(alpha: Column) -> Column:
 
 def erased(levels: Column, alpha: Column, tone: Column) -> Column:
     """The art with the taken cells as paper."""
-    return F.zip_with(levels, alpha, lambda v, a: F.when(a > TAKEN, tone).otherwise(v))
+    return _bound(tone, lambda t: F.zip_with(levels, alpha, lambda v, a: F.when(a > TAKEN, t).otherwise(v)))
