@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gutterline.llm import common, language_id, packing, pii, simhash
+from gutterline.llm import common, language_id, near_copies, packing, pii
 from gutterline.llm.queries import vocabulary
 
 
@@ -16,8 +16,9 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near-duplicates the smallest id stays."""
-    return simhash.first_of_each(docs)
+    """Of each group of near-duplicates, by 5-word shingles of Jaccard
+    similarity 0.8 or more, the smallest id stays."""
+    return near_copies.first_of_each(docs)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ have more neighbours than the ball has points.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -139,11 +140,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def classes(marked: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def classes(marked: DataFrame, id_column: str = "doc_id", linked_by: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
     """For rows with ``fp`` and an id: fp, component (its smallest
-    fingerprint) and component_id (its smallest id, null ids aside)."""
+    fingerprint) and component_id (its smallest id, null ids aside);
+    ``linked_by`` gives the links between distinct fingerprints."""
     prints = common.stored(marked.groupBy("fp").agg(F.min(id_column).alias("rep")), "prints")
-    roots = components(links(prints.select("fp")))
+    roots = components(linked_by(prints.select("fp")))
     linked = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("node", "fp")
     joined = prints.join(linked, "fp")
     lowest = joined.groupBy("root").agg(F.min("rep").alias("lowest"))
@@ -168,9 +170,15 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     columns.  Of rows that share that id one stays, and null ids stay only
     where their component has no other."""
     common.small_batches(docs.sparkSession)
+    marked = common.stored(docs.select("doc_id", F.xxhash64("text").alias("digest"), fingerprint_of(F.col("text")).alias("fp")), "fingerprints")
+    return smallest_ids(docs, marked, classes(marked))
+
+
+def smallest_ids(docs: DataFrame, marked: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The document of smallest id of each component in ``grouped``;
+    ``marked`` has doc_id, digest (of the text) and fp of each document."""
     digest = F.xxhash64("text")
-    marked = common.stored(docs.select("doc_id", digest.alias("digest"), fingerprint_of(F.col("text")).alias("fp")), "fingerprints")
-    first = marked.join(classes(marked), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = marked.join(grouped, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.digest").alias("__digest"))
     rows = docs.withColumn("__key", digest)
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")))
