@@ -1,16 +1,17 @@
 """Operator 1: license scans by conditional compression.
 
-Lines that mention a licence are candidate blocks.  A block is compressed
-alone and with each template as a raw zstandard dictionary; what a template
-saves ranks it.  The best templates are then compared word by word, and a
-block is confirmed for the one whose wording differs least, if the
-differences are few.  What the wording leaves of the block on either side is
+Lines that mention a licence are candidate blocks.  A block is compared word
+by word with each template of whose words it has enough, and is confirmed for
+the one whose wording differs least, if the differences are few.  It is
+compressed alone and with those as raw zstandard dictionaries; what a template
+saves is reported and decides between equals.  What the wording leaves of the block on either side is
 a block again, so that notices in a row are all found.
 """
 
 from __future__ import annotations
 
 import bisect
+import collections
 import difflib
 import functools
 import re
@@ -51,9 +52,9 @@ TEMPLATES = {
 # Words that make a line a candidate.
 CUES = ("licen", "copyright", "all rights reserved", "redistribut", "permission", "public domain", "free software", "apache", "creative commons")
 
-#: Templates that are compared word by word; words that may differ, as a
-#: share of the template; words of a window of a long block and its step.
-RANKED, MAX_DIFFERENCE, WINDOW, STEP = 4, 0.2, 400, 200
+#: Words that may differ, as a share of the template; words of a window of a
+#: long block and its step.
+MAX_DIFFERENCE, WINDOW, STEP = 0.2, 400, 200
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -62,6 +63,7 @@ class Template:
         import zstandard
 
         self.name, self.words = name, [w.lower() for w in _WORD.findall(text)]
+        self.counts = collections.Counter(self.words)
         content = zstandard.ZstdCompressionDict((text.lower() + "\n").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False)
 
@@ -124,15 +126,20 @@ def confirmed(text: str, a: int, b: int) -> tuple[str, int, int, int, float] | N
     known, plain = templates()
     block = text[a:b].lower().encode("utf-8", "surrogatepass")
     alone = len(plain.compress(block))
-    ranked = sorted(((1 - t.size(block) / alone, -i) for i, t in enumerate(known)), reverse=True)[:RANKED]
     tokens = list(_WORD.finditer(text[a:b]))
     words = [m[0].lower() for m in tokens]
+    counts = collections.Counter(words)
     best = None
-    for saved, i in ranked:
-        template = known[-i]
+    for template in known:
+        most = MAX_DIFFERENCE * len(template.words)
+        # words that the block has too seldom differ in any case
+        if sum((template.counts - counts).values()) > most:
+            continue
         n, first, last = differences(words, template.words)
-        if saved > 0 and n <= MAX_DIFFERENCE * len(template.words) and (best is None or (n / len(template.words), -saved) < best[0]):
-            best = ((n / len(template.words), -saved), (template.name, a + tokens[first].start(), a + tokens[last - 1].end(), n, saved))
+        if n <= most:
+            saved = 1 - template.size(block) / alone
+            if best is None or (n / len(template.words), -saved) < best[0]:
+                best = ((n / len(template.words), -saved), (template.name, a + tokens[first].start(), a + tokens[last - 1].end(), n, saved))
     return best and best[1]
 
 

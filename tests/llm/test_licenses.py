@@ -27,3 +27,10 @@ def test_odd_documents(odd):
 
 def test_empty_table(make):
     assert licenses.scan(make().where("false")).count() == 0
+
+
+def test_short_notice_in_a_long_line():
+    prose = "the software and its copies are subject to conditions that the author may use modify publish and distribute for any person without warranty of any kind and the work is "
+    for notice, name in (("All rights reserved.", "proprietary"), ("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
+        for text in (prose * 4 + notice, notice + " " + prose * 3, prose * 2 + notice + " " + prose * 2):
+            assert [m[0] for m in licenses.matches(text)] == [name]
