@@ -1,12 +1,10 @@
 """Operator 6: packing documents into sequences by cutting-stock column generation.
 
 Each document is cut into full sequences and a remainder.  How often each
-length of remainder occurs is a histogram of at most ``capacity`` counts; a
-linear program over patterns (sets of lengths that fill a sequence) covers
-it, with knapsack dynamic programming pricing new patterns.  Patterns are
-rounded down and given to the ranked remainders of each length.  What no
-pattern takes forms one stream that is cut at every sequence's end, so that
-only its last sequence is padded.
+length of remainder occurs is a histogram of at most ``capacity`` counts;
+``cutting_stock`` covers it by patterns, which are given to the ranked
+remainders of each length.  What no pattern takes forms one stream that is cut
+at every sequence's end, so that only its last sequence is padded.
 """
 
 from __future__ import annotations
@@ -16,184 +14,116 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, tokenizing
+from . import common, cutting_stock, tokenizing
 
 CAPACITY = 1024
-#: Buckets in which the remainders of one length are ranked, so that a
-#: frequent length is not ranked by one task.
-RANK_BUCKETS = 64
-#: What a cut adds to the cost of a remainder, in sequences; and the most
-#: columns that are generated (what is left then goes to the stream).
-CUT_COST, MAX_COLUMNS = 0.02, 600
+#: Bits of a sequence id below the number of the task.
+TASK_BITS = 40
 
 
 def is_power_of_two(n: int) -> bool:
     return n > 0 and n & (n - 1) == 0
 
 
-def best_pattern(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """Unbounded knapsack: the multiset of lengths of greatest value that fits."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, side="right"))
-        best[room] = best[room - 1]
-        if n:
-            gain = values[:n] + best[room - lengths[:n]]
-            if gain[k := int(gain.argmax())] > best[room] + 1e-12:
-                best[room], choice[room] = gain[k], k
-    pattern: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if (k := int(choice[room])) < 0:
-            room -= 1
-        else:
-            pattern[k] = pattern.get(k, 0) + 1
-            room -= int(lengths[k])
-    return float(best[capacity]), pattern
-
-
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY, max_columns: int = MAX_COLUMNS) -> list[tuple[dict[int, int], float]]:
-    """Solve the packing relaxation: patterns (index of length to copies) with
-    how often each is used.
-
-    Every length also has a column that sends one remainder to the stream, at
-    its share of a sequence and a little more; these make the first basis, so
-    no artificial variables are needed.  Revised simplex with an explicit
-    inverse, at most ``capacity`` rows whatever the number of documents.
-    """
-    m = len(lengths)
-    basis: list[dict[int, int] | None] = [None] * m
-    cost = lengths / capacity + CUT_COST
-    inverse, level = np.eye(m), demand.astype(float).copy()
-    tie = 1e-6 * (1 + np.arange(m) / max(m, 1))  # against cycling
-    level += tie
-    for _ in range(max_columns):
-        value, pattern = best_pattern(cost @ inverse, lengths, capacity)
-        if value <= 1 + 1e-7:
-            break
-        column = inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
-        if not (up := column > 1e-9).any():
-            break
-        ratio = np.full(m, np.inf)
-        ratio[up] = level[up] / column[up]
-        out = int(ratio.argmin())
-        step = ratio[out]
-        level -= step * column
-        level[out] = step
-        row = inverse[out] / column[out]
-        inverse -= np.outer(column, row)
-        inverse[out] = row
-        basis[out], cost = pattern, cost.copy()
-        cost[out] = 1.0
-    return [(p, float(x)) for p, x in zip(basis, level, strict=True) if p is not None and x > 0.5]
-
-
 @dataclass
 class Plan:
     """Rows of pattern use (length, first rank, copies, sequences, first
-    sequence, offset) and, for each length, the first rank of the stream and
-    its place there."""
+    sequence, offset); for each length, the first rank of the stream and its
+    place there; the first sequence of the stream; and how many tokens the
+    linear program's patterns, the other patterns and the stream hold."""
 
     uses: list[tuple[int, int, int, int, int, int]]
     stream: list[tuple[int, int, int]]
     first_stream_sequence: int
+    tokens: tuple[int, int, int]
 
 
-def packing_plan(histogram: dict[int, int], first_sequence: int = 0, capacity: int = CAPACITY) -> Plan:
-    """Round the patterns down and lay out the rest as a stream.
-
-    Only patterns that need no padding, or next to none, are kept; the
-    remainders of others go to the stream, which can always be cut.
-    """
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """Lay out whole patterns one after another, and what they leave as a stream."""
     lengths = np.array(sorted(histogram), np.int64)
     demand = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    taken = dict.fromkeys(range(len(lengths)), 0)
-    uses, sequence = [], first_sequence
-    for pattern, level in column_generation(lengths, demand, capacity) if len(lengths) else []:
-        filled = sum(int(lengths[k]) * n for k, n in pattern.items())
-        times = min([int(level + 1e-4), *((int(demand[k]) - taken[k]) // n for k, n in pattern.items())])
-        if times < 1 or filled < capacity - capacity // 512 and not is_power_of_two(filled):
-            continue
-        offset = 0
-        for k, n in pattern.items():
-            uses.append((int(lengths[k]), taken[k], n, times, sequence, offset))
-            taken[k] += n * times
-            offset += n * int(lengths[k])
-        sequence += times
+    taken = np.zeros(len(lengths), np.int64)
+    uses, sequence, tokens = [], 0, []
+    for found in cutting_stock.whole_solution(lengths, demand, capacity):
+        before = int(taken @ lengths)
+        for pattern, times in found:
+            offset = 0
+            for k, n in pattern.items():
+                uses.append((int(lengths[k]), int(taken[k]), n, times, sequence, offset))
+                taken[k] += n * times
+                offset += n * int(lengths[k])
+            sequence += times
+        tokens.append(int(taken @ lengths) - before)
     stream, place = [], 0
-    for k in range(len(lengths)):
-        stream.append((int(lengths[k]), taken[k], place))
-        place += (int(demand[k]) - taken[k]) * int(lengths[k])
-    return Plan(uses, stream, sequence)
+    for n, of_it, done in zip(lengths.tolist(), demand.tolist(), taken.tolist(), strict=True):
+        stream.append((n, done, place))
+        place += (of_it - done) * n
+    return Plan(uses, stream, sequence, (*tokens, place))
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
-    """Per document: key, doc_id, doc_tokens, the crc of each full piece, and
-    the ids of its remainder (little-endian 32-bit)."""
+    """Per document: doc_id, doc_tokens, the task that read it, how many full
+    pieces and how many remainders of the same length the task had before it,
+    the crc of each full piece and of the remainder, and the remainder's ids
+    (little-endian 32-bit)."""
     common.small_batches(docs.sparkSession)
 
     def encode(batches):
         ids_of, end = tokenizing.byte_encoder(tokenizer_path, "<u4"), end_id.to_bytes(4, "little")
-        size = 4 * capacity
+        size, task = 4 * capacity, TaskContext.get().partitionId()
+        pieces, ranks = 0, [0] * capacity
         for batch in batches:
-            ids = [ids_of(t or "") + end for t in batch.column(2).to_pylist()]
-            full = [[zlib.crc32(x[a : a + size]) for a in range(0, len(x) - size + 1, size)] for x in ids]
-            rest = [x[len(x) // size * size :] for x in ids]
-            arrays = [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "doc_tokens", "full_crc", "rest"])
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return keyed.mapInArrow(encode, "key long, doc_id long, doc_tokens long, full_crc array<long>, rest binary")
+            columns: list[list] = [[] for _ in range(7)]
+            for text in batch.column(1).to_pylist():
+                ids = ids_of(text or "") + end
+                full = [zlib.crc32(ids[a : a + size]) for a in range(0, len(ids) - size + 1, size)]
+                rest = ids[len(full) * size :]
+                for column, value in zip(columns, (len(ids) // 4, task, pieces, ranks[len(rest) // 4], full, zlib.crc32(rest), rest), strict=True):
+                    column.append(value)
+                pieces += len(full)
+                ranks[len(rest) // 4] += 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names=["doc_id", "doc_tokens", "task", "pieces", "rank", "full_crc", "rest_crc", "rest"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(encode, "doc_id long, doc_tokens long, task int, pieces long, rank long, full_crc array<long>, rest_crc long, rest binary")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns one row for each piece: doc_id, start, length, ids_crc32,
-    doc_tokens, sequence_id, offset.  A null or empty text is its end id
-    alone; repeated rows and null ids are documents of their own; other
-    columns are not read; an empty table gives no pieces.
+    doc_tokens, sequence_id, offset.  Sequences of remainders are numbered
+    from 0; those of full pieces have the task that read them in the bits
+    from ``TASK_BITS`` on, so that they are numbered without a shuffle.
+
+    A null or empty text is its end id alone; repeated rows and null ids are
+    documents of their own; other columns are not read; an empty table gives
+    no pieces.
     """
     spark = docs.sparkSession
-    done = common.stored(tokenised(docs, tokenizer_path, end_id, capacity), "tokens")
-    done = done.withColumn("rest_length", F.col("doc_tokens") % capacity).withColumn("full", (F.col("doc_tokens") / capacity).cast("long"))
-
-    # full pieces: numbered bucket by bucket, each a sequence of its own
-    bucket = F.pmod(F.xxhash64("key"), F.lit(RANK_BUCKETS)).cast("int")
-    done = done.withColumn("bucket", bucket)
-    counted = done.groupBy("bucket", "rest_length").agg(F.count("*").alias("n"), F.sum("full").alias("full")).collect()  # RANK_BUCKETS * capacity rows at most
-    by_length: dict[int, int] = {}
-    full_in = [0] * RANK_BUCKETS
-    ranks, rank_rows = {}, []
-    for row in sorted(counted, key=lambda r: (r.rest_length, r.bucket)):
-        rank_rows.append((row.bucket, row.rest_length, by_length.get(row.rest_length, 0)))
-        by_length[row.rest_length] = by_length.get(row.rest_length, 0) + row.n
-        full_in[row.bucket] += row.full
-    ranks = spark.createDataFrame(rank_rows, "bucket int, rest_length long, rank_base long")
-    full_base = np.concatenate([[0], np.cumsum(full_in)]).tolist()
-    plan = packing_plan({n: k for n, k in by_length.items() if n}, full_base[-1], capacity)
-
-    before = Window.partitionBy("bucket", "chunk").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    bases = spark.createDataFrame(list(enumerate(full_base[:-1])), "bucket int, full_base long")
-    # number the full pieces: documents by bucket, then by chunk of keys
-    lean = done.where("full > 0").select("key", "doc_id", "doc_tokens", "full_crc", "full", "bucket", F.shiftright("key", 33).alias("chunk"))
-    per_chunk = lean.groupBy("bucket", "chunk").agg(F.sum("full").alias("n"))
-    chunk_base = per_chunk.select("bucket", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("chunk_base"))
-    numbered = lean.withColumn("in_chunk", F.coalesce(F.sum("full").over(before), F.lit(0))).join(chunk_base, ["bucket", "chunk"]).join(F.broadcast(bases), "bucket")
-    whole = numbered.select("doc_id", "doc_tokens", (F.col("in_chunk") + F.col("chunk_base") + F.col("full_base")).alias("first"), F.posexplode("full_crc").alias("i", "ids_crc32")).select(
+    done = common.stored(tokenised(docs, tokenizer_path, end_id, capacity), "tokens").withColumn("rest_length", F.col("doc_tokens") % capacity)
+
+    first = F.shiftleft(F.col("task").cast("long") + 1, TASK_BITS) + F.col("pieces")
+    whole = done.select("doc_id", "doc_tokens", first.alias("first"), F.posexplode("full_crc").alias("i", "ids_crc32")).select(
         "doc_id", (F.col("i") * capacity).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
 
-    # remainders: ranked within their length, then placed by the plan's arithmetic
+    # remainders: ranked within their length over all tasks, then placed by the plan's arithmetic
+    counts = done.where("rest_length > 0").groupBy("task", "rest_length").agg(F.count("*").alias("n"))
+    plan = packing_plan({r.rest_length: r.n for r in counts.groupBy("rest_length").agg(F.sum("n").alias("n")).collect()}, capacity)  # capacity - 1 rows at most
+    before = Window.partitionBy("rest_length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("task", "rest_length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
     uses = spark.createDataFrame(plan.uses, "rest_length long, rank_from long, copies long, times long, sequence long, place long")
     stream = spark.createDataFrame(plan.stream, "rest_length long, stream_from long, stream_place long")
-    rest = done.where("rest_length > 0").select("key", "doc_id", "doc_tokens", "rest_length", "bucket", "rest")
-    in_bucket = F.row_number().over(Window.partitionBy("bucket", "rest_length").orderBy("key")) - 1
-    ranked = rest.withColumn("in_bucket", in_bucket).join(F.broadcast(ranks), ["bucket", "rest_length"]).withColumn("rank", F.col("in_bucket") + F.col("rank_base"))
+    # both are bounded by the lengths that there are, not by the documents
     uses_of = uses.groupBy("rest_length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "copies", "times", "sequence", "place"))).alias("uses"))
+    rest = done.where("rest_length > 0").select("doc_id", "doc_tokens", "task", "rest_length", "rank", "rest_crc", "rest")
+    ranked = rest.join(bases, ["task", "rest_length"]).withColumn("rank", F.col("rank") + F.col("rank_base"))
     placed = ranked.join(F.broadcast(stream), "rest_length").join(F.broadcast(uses_of), "rest_length", "left")
     use = F.element_at(F.filter("uses", lambda u: (u.rank_from <= F.col("rank")) & (F.col("rank") < u.rank_from + u.copies * u.times)), 1)
     placed = placed.withColumn("use", F.when(F.col("rank") < F.col("stream_from"), use))
@@ -208,10 +138,10 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
         .when(size <= F.col("room"), F.array(piece(zero, size, stream_sequence, F.col("at") % capacity)))
         .otherwise(F.array(piece(zero, F.col("room"), stream_sequence, F.col("at") % capacity), piece(F.col("room"), size - F.col("room"), stream_sequence + 1, zero)))
     )
-    rest_start = F.col("doc_tokens") - F.col("rest_length")
-    cut = placed.select("doc_id", "doc_tokens", rest_start.alias("rest_start"), "rest", F.explode(pieces).alias("p")).select(
-        "doc_id", (F.col("rest_start") + F.col("p.from")).alias("start"), F.col("p.length").alias("length"),
-        F.crc32(F.substring("rest", (F.col("p.from") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))).alias("ids_crc32"),
+    part = F.substring("rest", (F.col("p.from") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    cut = placed.select("doc_id", "doc_tokens", "rest_length", "rest_crc", "rest", F.explode(pieces).alias("p")).select(
+        "doc_id", (F.col("doc_tokens") - size + F.col("p.from")).alias("start"), F.col("p.length").alias("length"),
+        F.when(F.col("p.length") == size, F.col("rest_crc")).otherwise(F.crc32(part)).alias("ids_crc32"),
         "doc_tokens", F.col("p.sequence_id").alias("sequence_id"), F.col("p.offset").alias("offset"),
     )
     return whole.unionByName(cut)

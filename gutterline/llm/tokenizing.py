@@ -3,7 +3,8 @@
 Both tokenizers split a text at white space before any merge, so the ids of a
 text are the ids of its words in a row.  A worker keeps the ids of the words
 it has met; the tokenizers library encodes what is new, and whole texts
-wherever a text has white space that the split does not cover.
+wherever a text has white space that the split does not cover, or the string
+of a special token.
 """
 
 from __future__ import annotations
@@ -81,9 +82,13 @@ def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def specials(path: str) -> tuple[str, ...]:
+    """Strings that the library looks for before it splits a text."""
+    return tuple(token.content for token in library(path).get_added_tokens_decoder().values())
 
 
 def encode_whole(path: str, text: str, dtype: str) -> bytes:
@@ -94,7 +99,7 @@ class DroppedSpaceEncoder:
     """For a tokenizer that lower-cases, drops white space and never looks across it."""
 
     def __init__(self, path: str, dtype: str) -> None:
-        self.path, self.dtype, self.model = path, dtype, library(path).model
+        self.path, self.dtype, self.model, self.specials = path, dtype, library(path).model, specials(path)
         self.words = WordCache(self._word)
         dict.__setitem__(self.words, "", b"")
 
@@ -109,6 +114,8 @@ class DroppedSpaceEncoder:
         return encode_whole(self.path, word, self.dtype)
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.specials):
+            return encode_whole(self.path, text, self.dtype)
         return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -116,11 +123,11 @@ class AttachedSpaceEncoder:
     """For a byte-level tokenizer whose pieces start with the space before them.
 
     ``whole`` encodes any text, ``piece`` a text that is one match of the
-    pattern's.
+    pattern's; a text that holds one of ``specials`` is encoded whole.
     """
 
-    def __init__(self, whole, piece=None) -> None:
-        self.whole, self.piece = whole, piece or whole
+    def __init__(self, whole, piece=None, specials: tuple[str, ...] = ()) -> None:
+        self.whole, self.piece, self.specials = whole, piece or whole, specials
         self.words = WordCache(self._part)
         self.marks = WordCache(whole)
 
@@ -136,7 +143,7 @@ class AttachedSpaceEncoder:
     def __call__(self, text: str) -> bytes:
         first, rest = attached_parts(text)
         try:
-            if first == "" or first[-1].isspace():
+            if first == "" or first[-1].isspace() or any(s in text for s in self.specials):
                 raise Unsplittable
             return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
         except Unsplittable:
@@ -158,4 +165,4 @@ def byte_encoder(path: str, dtype: str) -> AttachedSpaceEncoder:
         mapped = chars[32] + match[1:] if match.isascii() else "".join([chars[b] for b in match.encode()])
         return np.array([t.id for t in merges(mapped)], dtype=dtype).tobytes()
 
-    return AttachedSpaceEncoder(lambda text: encode_whole(path, text, dtype), piece)
+    return AttachedSpaceEncoder(lambda text: encode_whole(path, text, dtype), piece, specials(path))

@@ -12,7 +12,7 @@ def test_every_operator_is_registered():
 
 
 def test_stages_take_effect(spark, make, monkeypatch):
-    if not os.path.isdir(queries.TOKENIZERS):
+    if not os.path.isfile(queries.vocabulary("byte_bpe_50k.json")):
         pytest.skip("no vocabularies")
     prose = ["alpha beta gamma delta epsilon zeta eta theta " * 6 + f"number {'abcdefghij'[i % 10] * 3} {'klmnopqrst'[i // 10] * 4} end" for i in range(40)]
     docs = make(*enumerate(prose), (100, prose[3]), (101, "щжъы " * 80, None), (102, "99 !!"), (103, prose[5] + " Mail me: a.b@mail.example.com"))
