@@ -1,7 +1,7 @@
 """Operator 4: token ids as raw binary shards with a minimal perfect hash index.
 
-Documents are dealt by ranges of their id; each range becomes one shard file
-in ascending id order.  A shard holds the raw ids, the keys in order, and an
+Documents are dealt by ranges of their id; each range becomes shard files in
+ascending id order, as many as keep a shard small.  A shard holds the raw ids, the keys in order, and an
 index: a minimal perfect hash takes a key to its slot, where the first id,
 the number of ids and a fingerprint of the key are stored, so that one
 document is found in constant time and a foreign key is refused.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from . import common, tokenizing
 
 MAGIC = b"TIDX0001"
-#: Documents in a shard, and the most shards (which bounds the manifest).
-DOCS_PER_SHARD, MAX_SHARDS = 2048, 200_000
+#: Documents and ids of a shard at most (a longer document is a shard alone),
+#: documents of a range, about, and ranges that are summed up together.
+DOCS_PER_SHARD, IDS_PER_SHARD, DOCS_PER_RANGE, RANGES_PER_GROUP = 2048, 4_000_000, 4096, 1024
 #: Bits of a level of the hash for each key that is left.
 SPREAD = 2.0
 
@@ -140,69 +141,93 @@ class Shard:
         return None if start[0] < 0 else self.ids[start[0] : start[0] + length[0]]
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, docs_per_shard: int = DOCS_PER_SHARD) -> DataFrame:
-    """Encode whole texts and write one shard file for each range of ids.
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, docs_per_shard: int = DOCS_PER_SHARD, docs_per_range: int = DOCS_PER_RANGE) -> DataFrame:
+    """Encode whole texts and write shard files, range of ids by range of ids.
 
-    Returns the manifest: shard, n_docs, n_ids; a row for each file.  Null
-    texts are empty (the end id alone); null ids come first; rows with the
-    same id stay apart, as occurrences 0, 1, ... of it; other columns are not
-    read.  A shard is written under a name of its own and then renamed: a
-    task that is run again replaces it with the same bytes.
+    Returns the manifest: range, shard, n_docs, n_ids; a row for each file.
+    Null texts are empty (the end id alone); null ids come first; rows with
+    the same id stay apart, in the order of a digest of their texts, as
+    occurrences 0, 1, ... of it within a shard; other columns are not read.  A
+    shard is written under a name of its own and then renamed: a task that is
+    run again replaces it with the same bytes.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
-    rows = docs.select("doc_id").count()
-    shards = min(max(1, math.ceil(rows / docs_per_shard)), MAX_SHARDS)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranges = max(1, math.ceil(docs.select("doc_id").count() / docs_per_range))
+    # digest and row part the rows of one id, so that it may span ranges
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"), "text")
+    dealt = keyed.repartitionByRange(ranges, "doc_id", "digest", "row").sortWithinPartitions("doc_id", "digest", "row").select("doc_id", "text")
 
     def write(batches):
         width = 2 if tokenizing.library(tokenizer_path).get_vocab_size() <= 1 << 16 else 4
         encode, end = tokenizing.word_encoder(tokenizer_path, f"<u{width}"), end_id.to_bytes(width, "little")
-        keys, null, ids = [], [], []
-        for batch in batches:
-            keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
-            null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            ids += [encode(t or "") + end for t in batch.column(1).to_pylist()]
-        if ids:
-            shard = TaskContext.get().partitionId()
-            lengths = np.array([len(x) // width for x in ids], np.int64)
-            content = packed_shard(np.concatenate(keys), np.concatenate(null).astype(np.uint8), lengths, b"".join(ids), width)
+        number, shard = TaskContext.get().partitionId(), 0
+        keys: list[int | None] = []
+        ids: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            lengths, null = np.array([len(x) // width for x in ids], np.int64), np.array([k is None for k in keys], np.uint8)
+            content = packed_shard(np.array([k or 0 for k in keys], np.int64), null, lengths, b"".join(ids), width)
             files, path = pyarrow.fs.FileSystem.from_uri(folder)
             files.create_dir(path, recursive=True)
             own = f"{path}/.{uuid.uuid4().hex}"
             with files.open_output_stream(own) as out:
                 out.write(content)
-            files.move(own, f"{path}/{shard:08d}.tidx")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(lengths)], pa.int64()), "n_ids": pa.array([int(lengths.sum())], pa.int64())})
+            files.move(own, f"{path}/{number:08d}-{shard:08d}.tidx")
+            row = {"range": pa.array([number], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_ids": pa.array([int(lengths.sum())], pa.int64())}
+            return pa.RecordBatch.from_pydict(row)
+
+        size = 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                new = encode(text or "") + end
+                if ids and (len(ids) == docs_per_shard or size + len(new) // width > IDS_PER_SHARD):
+                    yield flush()
+                    shard, size, keys, ids = shard + 1, 0, [], []
+                keys.append(key)
+                ids.append(new)
+                size += len(new) // width
+        if ids:
+            yield flush()
+
+    return common.stored(dealt.mapInArrow(write, "range int, shard int, n_docs long, n_ids long"), "manifest")
+
 
-    return common.stored(dealt.mapInArrow(write, "shard int, n_docs long, n_ids long"), "manifest")
+def ids_before(manifest: DataFrame) -> DataFrame:
+    """range, shard, before: ids of all shards before each one, summed up
+    within ranges, groups of ranges, and over the groups."""
+    earlier = lambda column, *by: F.coalesce(F.sum(column).over((Window.partitionBy(*by[:-1]) if by[:-1] else Window).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = F.floor(F.col("range") / RANGES_PER_GROUP)
+    ranges = manifest.groupBy("range").agg(F.sum("n_ids").alias("n")).withColumn("group", group)
+    groups = ranges.groupBy("group").agg(F.sum("n").alias("n")).select("group", earlier("n", "group").alias("of_groups"))
+    bases = ranges.withColumn("of_ranges", earlier("n", "group", "range")).join(groups, "group").select("range", (F.col("of_ranges") + F.col("of_groups")).alias("base"))
+    return manifest.withColumn("own", earlier("n_ids", "range", "shard")).join(bases, "range").select("range", "shard", (F.col("own") + F.col("base")).alias("before"))
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Read shard files back, each document through the index.
 
     Returns doc_id, start (ids of all documents before it), n_tokens,
-    ids_crc32, shard; raises where a key isn't found.
+    ids_crc32, range, shard; raises where a key isn't found.
     """
     spark = manifest.sparkSession
-    # at most MAX_SHARDS rows, so one window and one broadcast hold the manifest
-    before = manifest.select("shard", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tidx").load(folder)
 
     def read(batches):
         for batch in batches:
-            for number, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(content)
-                start, length = shard.find(shard.keys, shard.occurrence, shard.null)
+            for place, shard, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = Shard(content)
+                start, length = own.find(own.keys, own.occurrence, own.null)
                 if (start < 0).any():
-                    raise ValueError(f"shard {number}: a key is missing from the index")
-                crc = [zlib.crc32(shard.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
-                keys = pa.array(shard.keys, pa.int64(), mask=shard.null.astype(bool))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(start), number, np.int32))], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                    raise ValueError(f"shard {place}-{shard}: a key is missing from the index")
+                crc = [zlib.crc32(own.ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(start.tolist(), length.tolist(), strict=True)]
+                keys = pa.array(own.keys, pa.int64(), mask=own.null.astype(bool))
+                names = (pa.array(np.full(len(start), x, np.int32)) for x in (place, shard))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *names], names=["doc_id", "start", "n_tokens", "ids_crc32", "range", "shard"])
 
-    numbered = files.select(F.regexp_extract("path", r"(\d+)\.tidx$", 1).cast("int").alias("shard"), "content")
-    found = numbered.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
-    return found.join(F.broadcast(before), "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    numbered = files.select(*(F.regexp_extract("path", r"(\d+)-(\d+)\.tidx$", i).cast("int").alias(n) for i, n in enumerate(("range", "shard"), 1)), "content")
+    found = numbered.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, range int, shard int")
+    return found.join(ids_before(manifest), ["range", "shard"]).select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "range", "shard")
 
 
 def indexed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
@@ -212,5 +237,5 @@ def indexed_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2) ->
     folder = common.new_folder(spark, "shards")
     manifest = write_shards(docs, folder, tokenizer_path, end_id)
     if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, range int, shard int")
     return read_shards(manifest, folder)

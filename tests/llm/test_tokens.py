@@ -1,17 +1,16 @@
 import base64
-import os
+import itertools
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from gutterline.llm import binary_index, byte_bpe, packing
-from gutterline.llm.queries import PATTERN, vocabulary
+from gutterline.llm import binary_index, byte_bpe, cutting_stock, packing
 from gutterline.llm.tokenizing import byte_encoder, encode_whole, word_encoder
 
-if not os.path.isdir(vocabulary("")):
-    pytest.skip("no vocabularies", allow_module_level=True)
+public_tokenizers = pytest.importorskip("public_tokenizers")
+vocabulary, PATTERN = public_tokenizers.path, public_tokenizers.PATTERN
 
 WORD, BYTE, RANKS = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_multi_50k.tiktoken")
 ODD = ["", " ", "a  b", "x\n\ny", "\n", "tab\tz ", "A b", "don't we'll", "é ́x", "日本語 テスト", "a\x1cb \x85 c", "<|endoftext|> hi", "ΑΣ ΣΑΣ", "foo.\nBar", " lead", "trail ", "a \n b", "12345 678", "😀😀 x", "\r\nq\r\n", "x, É. Été; y! ,", "I'S it's 'T a't."]
@@ -60,16 +59,30 @@ def test_keyed_access_and_foreign_keys():
     assert shard.document(0) is None and shard.document(9, 2) is None and shard.document(12345) is None
 
 
-def test_shards_of_odd_documents(odd, make):
-    rows = binary_index.indexed_documents(odd, WORD).collect()
-    expected = [np.append(np.frombuffer(encode_whole(WORD, r.text or "", "<u2"), "<u2"), 2) for r in sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))]
-    rows.sort(key=lambda r: r.start)
-    assert [r.n_tokens for r in rows] == [len(x) for x in expected]
-    assert [r.ids_crc32 for r in rows] == [zlib.crc32(x.astype("<u4").tobytes()) for x in expected]
-    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([len(x) for x in expected])[:-1]]).tolist()
+@pytest.mark.parametrize(("per_shard", "per_range", "per_group"), [(2048, 4096, 1024), (2, 3, 2)])
+def test_shards_of_odd_documents(odd, make, monkeypatch, per_shard, per_range, per_group):
+    for name, value in (("DOCS_PER_SHARD", per_shard), ("DOCS_PER_RANGE", per_range), ("RANGES_PER_GROUP", per_group)):
+        monkeypatch.setattr(binary_index, name, value)
+    monkeypatch.setattr(binary_index.write_shards, "__defaults__", (per_shard, per_range))
+    docs = odd.union(make(*((9, f"one id, many rows {i}") for i in range(20))))
+    rows = sorted(binary_index.indexed_documents(docs, WORD).collect(), key=lambda r: r.start)
+    expected = sorted((r.doc_id is not None, r.doc_id or 0, len(x), zlib.crc32(x.astype("<u4").tobytes())) for r in docs.collect() for x in [np.append(np.frombuffer(encode_whole(WORD, r.text or "", "<u2"), "<u2"), 2)])
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in rows) == expected
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == [e[:2] for e in expected]
+    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([r.n_tokens for r in rows])[:-1]]).tolist()
+    assert len({(r.range, r.shard) for r in rows}) == (1 if per_shard > 2 else len({(r.range, r.shard) for r in rows})) and (per_shard > 2 or len({r.range for r in rows}) > 4)
     assert binary_index.indexed_documents(make().where("false"), WORD).count() == 0
 
 
+def test_special_strings_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    for path, encode in ((WORD, word_encoder(WORD, "<u2")), (BYTE, byte_encoder(BYTE, "<u2"))):
+        plain = Tokenizer.from_file(path)
+        for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|startoftext|> and < | endoftext |>"):
+            assert np.frombuffer(encode(text), "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def check_packing(docs, rows, capacity=1024):
     """Every id once, no gaps in a sequence; the padding."""
     expected = {}
@@ -108,21 +121,57 @@ def test_packing_of_one_frequent_length(make):
     assert check_packing(docs, packing.packed(docs, BYTE).collect()) < 1024 * 2
 
 
-def test_columns_cover_the_histogram():
+def histogram(n, seed, low=1, high=1024):
+    rng = np.random.default_rng(seed)
+    lengths, counts = np.unique(np.minimum(rng.lognormal(5.5, 1.0, n).astype(int) + low, high - 1), return_counts=True)
+    return dict(zip(lengths.tolist(), counts.tolist(), strict=True))
+
+
+def test_relaxation_is_optimal():
+    """Against all patterns of a small instance, by weak duality and by hand."""
+    used, cost = cutting_stock.column_generation(np.array([4, 6]), np.array([100, 100]), 10, gap=1e-9)
+    assert abs(cost - 100) < 1 and dict(used[0][0]) == {0: 1, 1: 1}
     rng = np.random.default_rng(2)
-    lengths = np.sort(rng.choice(np.arange(1, 500), 60, replace=False))
-    demand = rng.integers(50, 500, 60)
-    used = packing.column_generation(lengths, demand)
-    covered = np.zeros(60)
-    for pattern, level in used:
-        assert sum(lengths[k] * n for k, n in pattern.items()) <= 1024
-        for k, n in pattern.items():
-            covered[k] += n * level
-    assert (covered <= demand + 1).all() and (covered * lengths).sum() > 0.9 * (demand * lengths).sum()
+    for _ in range(5):
+        lengths = np.sort(rng.choice(np.arange(20, 60), 6, replace=False))
+        demand = rng.integers(500, 5000, 6)
+        used, cost = cutting_stock.column_generation(lengths, demand, 100, gap=1e-9)
+        covered = np.zeros(6)
+        for pattern, level in used:
+            assert sum(lengths[k] * n for k, n in pattern.items()) <= 100
+            for k, n in pattern.items():
+                covered[k] += n * level
+        assert (covered <= demand * (1 + 1e-5) + 1e-3).all()
+        patterns = [p for p in itertools.product(range(6), repeat=6) if 0 < np.dot(p, lengths) <= 100]
+        # the least cost over all patterns and the stream, by a multiplicative-weights bound from below
+        prices = lengths / 100 + cutting_stock.CUT_COST
+        matrix, best = np.array(patterns), 0.0
+        y = prices / max((matrix @ prices).max(), 1.0)
+        for _ in range(4000):
+            best = max(best, float(y @ demand))
+            worst = matrix[(matrix @ y).argmax()]
+            y = np.minimum(y * np.exp(0.002 * (demand * y / (y @ demand) - worst * y)), prices)
+            y /= max((matrix @ y).max(), 1.0)
+        assert best <= cost + 1e-6 and cost <= best * 1.02
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_patterns_do_the_packing(times):
+    counts = {n: k * times for n, k in histogram(3000, 1).items()}
+    plan = packing.packing_plan(counts)
+    total = sum(n * k for n, k in counts.items())
+    assert sum(plan.tokens) == total and plan.tokens[0] > (0.8 if times == 1 else 0.95) * total and plan.tokens[2] < 0.05 * total
+    taken = dict.fromkeys(counts, 0)
+    for n, first, copies, uses, _, _ in sorted(plan.uses):
+        assert first == taken[n]
+        taken[n] += copies * uses
+    assert all(taken[n] == first <= counts[n] for n, first, _ in plan.stream)
+    sequences = plan.first_stream_sequence + -(-plan.tokens[2] // 1024)
+    assert sequences * 1024 - total <= 1024 + 0.005 * total
 
 
 def test_knapsack_is_optimal():
     lengths, values = np.array([3, 5, 7]), np.array([2.0, 3.9, 5.0])
     best = max(2.0 * a + 3.9 * b + 5.0 * c for a in range(7) for b in range(5) for c in range(4) if 3 * a + 5 * b + 7 * c <= 20)
-    value, pattern = packing.best_pattern(values, lengths, 20)
+    value, pattern = cutting_stock.best_pattern(values, lengths, 20)
     assert abs(value - best) < 1e-9 and abs(sum(values[k] * n for k, n in pattern.items()) - best) < 1e-9
