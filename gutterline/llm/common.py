@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch that goes to a Python worker; texts can be long.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch that goes to a Python worker; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of a Python worker: few rows in each Arrow batch."""
+    """Bound the memory of a Python worker: few rows and bytes in each Arrow
+    batch.  The session keeps these settings, since what is built on them runs
+    later."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:

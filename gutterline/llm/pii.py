@@ -9,6 +9,7 @@ mapped back to the source.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 
@@ -44,15 +45,23 @@ _UNIT = rf"(?:\b(?:{_WORD})\b|[0-9])"
 #: At least four digits in a row, spelled or not, at least two of them spelled.
 SPELLED = re.compile(rf"(?i)(?:\b(?:{PLUS})[ \t]+)?\b{_UNIT}(?:(?:[ \t]*(?:[-,.()]|\b(?:{DOT})\b)[ \t]*|[ \t]+){_UNIT}|(?<=[0-9])[0-9])+")
 SPELLED_HINT = re.compile(rf"(?i)\b(?:{_WORD})(?:[ \t,.()-]+|[ \t]+(?:{DOT})[ \t]+)(?:{_WORD}|[0-9])\b")
+DIGIT_WORD = re.compile(rf"(?i)\b(?:{_WORD})\b")
 SPELLED_PIECE = re.compile(rf"(?i)\b(?:{_WORD})\b|\b(?:{DOT})\b|\b(?:{PLUS})\b|[ \t,-]+")
 BRACKETED = re.compile(rf"(?i)(?<![ \t])[ \t]*+[\[({{<][ \t]*+(?:(@|{AT})|(\.|{DOT}))[ \t]*[\])}}>][ \t]*")
-SPELLED_MAIL = re.compile(
-    rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++([ \t]+(?:{AT}|@)[ \t]+|@)[a-z0-9-]+(?:(?:[ \t]+(?:{DOT}|\.)[ \t]+|\.)[a-z0-9-]+)*(?:[ \t]+(?:{DOT}|\.)[ \t]+|\.)(?:{ENDINGS})\b"
-)
+#: An "at", spelled or not, and the label behind it; what may come in front of
+#: it (read backwards); and the labels that follow.
+AT_SIGN = re.compile(rf"(?i)(?:[ \t]+(?:{AT}|@)[ \t]+|@)(?=[a-z0-9-]*\b)")
+_SPELLED_DOT = rf"[ \t]{{1,4}}(?:{DOT}|\.)[ \t]{{1,4}}"
+LOCAL_PARTS = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:[ \t]{{1,4}}(?:{DOT})[ \t]{{1,4}}[a-z0-9._%+-]+)*\Z")
+DOMAIN_PARTS = re.compile(rf"(?i)[a-z0-9-]+(?:(?:{_SPELLED_DOT}|\.)[a-z0-9-]+)*(?:{_SPELLED_DOT}|\.)(?:(?:{ENDINGS})|[a-z]{{2}})\b")
+#: A local part and its spelled dots are sought in so many characters before the "at".
+LOCAL_CHARS = 80
 MAIL_SIGN = re.compile(rf"(?i)[ \t]+(?:({AT}|@)|({DOT}|\.))[ \t]+")
+# Words that can't be the first label of a spelled address.
+NO_LABELS = frozenset("the a an this that every each his her its my our your their le la les el los las un una une der die das ein eine".split())
 SPELLED_DOTS = re.compile(rf"(?i)\b[0-9]+(?:[ \t]+(?:{DOT})[ \t]+[0-9]+){{3}}\b")
 _SEPARATORS = str.maketrans("-,.()\n\t", "       ")
-_DOTS, _DIGIT_SET = DOT.split("|"), frozenset(DIGIT_WORDS)
+_DOTS, _DIGIT_SET, _ENDINGS = DOT.split("|"), frozenset(DIGIT_WORDS), frozenset(ENDINGS.split("|"))
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 NOT_PLAIN = re.compile("[^\x00-ɏ]|·|­")
 
@@ -126,29 +135,32 @@ class Rewritten:
             self.changed[m.start()] = text[m.start()] != m[0]
         self.text = text
 
-    def replace(self, pattern: re.Pattern, by, start: int = 0, end: int | None = None) -> None:
-        """Write ``by(match)`` for each match; its characters stand for the whole match."""
-        parts, at, pieces = [], 0, ([], [], [])
-
-        def keep(a: int, b: int) -> None:
-            parts.append(self.text[a:b])
-            for piece, of in zip(pieces, (self.start, self.end, self.changed), strict=True):
-                piece.append(of[a:b])
-
-        for m in pattern.finditer(self.text, start, len(self.text) if end is None else end):
-            new = by(m)
-            if new is None:
-                continue
-            keep(at, m.start())
-            a, b = self.start[m.start()], self.end[m.end() - 1]
-            parts.append(new)
-            for piece, value in zip(pieces, (a, b, True), strict=True):
-                piece.append(np.full(len(new), value))
-            at = m.end()
-        if at:
-            keep(at, len(self.text))
-            self.text = "".join(parts)
-            self.start, self.end, self.changed = (np.concatenate(p) for p in pieces)
+    def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
+        """Write ``new`` for each (start, end, new), in order and none
+        overlapping; its characters stand for the whole stretch.  One pass."""
+        if not edits:
+            return
+        parts, at, news = [], 0, []
+        for a, b, new in edits:
+            parts += (self.text[at:a], new)
+            news.append(len(new))
+            at = b
+        parts.append(self.text[at:])
+        starts, ends, news = np.array([e[0] for e in edits]), np.array([e[1] for e in edits]), np.array(news)
+        # how often each character is written: stretches not at all, their first new characters in place of them
+        gaps = starts - np.concatenate([[0], ends[:-1]])
+        kept = np.ones(len(self.text), bool)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            kept[a:b] = False
+        places = np.repeat(np.cumsum(gaps), news)  # where, among the kept characters, new ones go
+        stretch_start, stretch_end = np.repeat(self.start[starts], news), np.repeat(self.end[ends - 1], news)
+        self.text = "".join(parts)
+        self.start = np.insert(self.start[kept], places, stretch_start)
+        self.end = np.insert(self.end[kept], places, stretch_end)
+        self.changed = np.insert(self.changed[kept], places, True)
+
+    def replace(self, pattern: re.Pattern, by) -> None:
+        self.rewrite([(m.start(), m.end(), by(m)) for m in pattern.finditer(self.text)])
 
 
 def _spelled_piece(m: re.Match) -> str:
@@ -158,8 +170,42 @@ def _spelled_piece(m: re.Match) -> str:
     return "" if not word.strip(" \t,-") else "+" if re.fullmatch(PLUS, word) else "."
 
 
+def _pieces(text: str, within: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Edits that read the spelled digits and signs of some stretches."""
+    return [(m.start(), m.end(), _spelled_piece(m)) for a, b in within for m in SPELLED_PIECE.finditer(text, a, b)]
+
+
+def spelled_mails(text: str) -> list[tuple[int, int]]:
+    """Stretches that read as an address with a spelled sign, leftmost first.
+
+    Sought from the "at", so in time linear in the text: the part before it
+    within ``LOCAL_CHARS``, dots included where they are spelled on both sides.
+    """
+    out, free = [], 0
+    for sign in AT_SIGN.finditer(text):
+        if sign.start() < free or not (domain := DOMAIN_PARTS.match(text, sign.end())):
+            continue
+        start = max(free, sign.start() - LOCAL_CHARS)
+        local = LOCAL_PARTS.search(text[start : sign.start()])
+        if not local:
+            continue
+        signs = "@" in sign[0], re.search(rf"(?i)[ \t](?:{DOT})[ \t]", domain[0]) is not None
+        first = re.match(r"[a-zA-Z0-9-]*", domain[0])[0].lower()
+        last = re.search(r"[a-zA-Z]+\Z", domain[0])[0].lower()
+        # a plain pair of words around "at" is prose unless the dot gives it away
+        if not (signs[0] or signs[1]) or first in NO_LABELS or not MAIL_SIGN.search(text, sign.start(), domain.end()) and not local[0].count(" "):
+            continue
+        if last not in _ENDINGS and not signs[1]:
+            continue
+        begin = start + local.start() if signs[1] else start + local.end() - len(re.search(r"[A-Za-z0-9._%+-]+\Z", local[0])[0])
+        out.append((begin, domain.end()))
+        free = domain.end()
+    return out
+
+
 def undisguised(text: str) -> Rewritten | None:
-    """The text as its disguises are meant to be read; None if there are none."""
+    """The text as its disguises are meant to be read; None if there are
+    none.  Each transducer passes over the text once."""
     out = Rewritten(text)
     if not text.isascii() and NOT_PLAIN.search(text):
         out.translate()
@@ -169,17 +215,16 @@ def undisguised(text: str) -> Rewritten | None:
         out.replace(BRACKETED, lambda m: "@" if m[1] else ".")
     dotted = any(word in lower for word in _DOTS)
     if not _DIGIT_SET.isdisjoint(lower.translate(_SEPARATORS).split()) and SPELLED_HINT.search(out.text):
-        for m in reversed(list(SPELLED.finditer(out.text))):
-            words = re.findall(rf"(?i)\b(?:{_WORD})\b", m[0])
-            if len(words) >= 2 and len(words) + sum(map(str.isdigit, m[0])) >= 4:
-                out.replace(SPELLED_PIECE, _spelled_piece, m.start(), m.end())
+        within = []
+        for m in SPELLED.finditer(out.text):
+            words = len(DIGIT_WORD.findall(m[0]))
+            if words >= 2 and words + sum(map(str.isdigit, m[0])) >= 4:
+                within.append(m.span())
+        out.rewrite(_pieces(out.text, within))
     if dotted:
-        for m in reversed(list(SPELLED_DOTS.finditer(out.text))):
-            out.replace(SPELLED_PIECE, _spelled_piece, m.start(), m.end())
+        out.rewrite(_pieces(out.text, [m.span() for m in SPELLED_DOTS.finditer(out.text)]))
     if "@" in out.text or dotted:
-        for m in reversed(list(SPELLED_MAIL.finditer(out.text))):
-            if MAIL_SIGN.search(m[0]) and ("@" in m[0] or re.search(rf"(?i)[ \t](?:{DOT})[ \t]", m[0])):
-                out.replace(MAIL_SIGN, lambda sign: "@" if sign[1] else ".", m.start(), m.end())
+        out.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for a, b in spelled_mails(out.text) for m in MAIL_SIGN.finditer(out.text, a, b)])
     return out if out.changed.any() or len(out.text) != len(text) else None
 
 
@@ -189,10 +234,22 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
     base = find(text)
     meant, more = undisguised(text), []
     if meant:
+        by_kind = [[(a, b) for a, k, b in base if k == kind] for kind in range(len(KINDS))]
+        ends = [[b for _, b in found] for found in by_kind]
+
+        def met(kind: int, start: int, end: int):
+            """Base spans of a kind that a stretch meets: they are in order and don't overlap."""
+            at = bisect.bisect_right(ends[kind], start)
+            while at < len(ends[kind]) and by_kind[kind][at][0] < end:
+                yield by_kind[kind][at]
+                at += 1
+
+        changes = np.concatenate([[0], np.cumsum(meant.changed)])
         for a, kind, b in find(meant.text):
             start, end = int(meant.start[a]), int(meant.end[b - 1])
-            met = [x for x in base if x[0] < end and start < x[2]]
-            if (meant.changed[a:b].any() or end - start != b - a) and all(x[1] == kind and start <= x[0] and x[2] <= end and x[2] - x[0] < end - start for x in met):
+            if changes[b] == changes[a] and end - start == b - a:
+                continue
+            if all(k == kind or next(met(k, start, end), None) is None for k in range(len(KINDS))) and all(start <= x[0] and x[1] <= end and x[1] - x[0] < end - start for x in met(kind, start, end)):
                 more.append((start, kind, end))
     return base, sorted(set(more))
 
@@ -238,8 +295,11 @@ def masked(text: Column) -> Column:
                         merged[-1][2] = max(merged[-1][2], b)
                     else:
                         merged.append([a, kind, b])
-                for a, kind, b in reversed(merged):
-                    text = f"{text[:a]}<{KINDS[kind].upper()}>{text[b:]}"
+                parts, at = [], 0
+                for a, kind, b in merged:
+                    parts += (text[at:a], f"<{KINDS[kind].upper()}>")
+                    at = b
+                text = "".join([*parts, text[at:]])
             out.append(text)
         return pa.array(out, pa.string())
 
