@@ -6,15 +6,21 @@ each vector as one byte a subspace.  A query visits the lists of best
 centroids, adds its distance table over the bytes of each vector there, and
 measures the best of each block exactly on the original vectors.
 
-The quantisers are fitted on a bounded sample, which also chooses how many
-lists are visited: the fewest that find ``TARGET_RECALL`` of the sample's own
-true neighbours.  Lists are dealt on to blocks of about ``BLOCK`` vectors, so a
+The quantisers are fitted on a sample, which also chooses how many lists are
+visited: the fewest that find ``TARGET_RECALL`` of the sample's own true
+neighbours, and more where these hold few vectors.  Lists grow with the square
+root of the table and are dealt on to blocks of about ``BLOCK`` vectors, so a
 list that holds a third of all vectors is many rows, and a short one is a
 single block.
+
+Vectors have neighbours among those of their own length.  Lengths that a
+sixteenth of the rows have get quantisers of their own; any other length is
+one list, which is measured exactly.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import dataclass
 
@@ -25,9 +31,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Fit on at most this many vectors, but ``PER_LIST`` for each list; the least
-#: and the most lists, and how many vectors a list is to hold between them.
-SAMPLE, PER_LIST, LEAST_LISTS, MOST_LISTS, LIST_VECTORS = 8192, 16, 64, 4096, 4096
+#: Fit on so many vectors at least, and ``PER_LIST`` for each list; the least
+#: lists, and how many more there are, as a share of the root of the rows.
+SAMPLE, PER_LIST, LEAST_LISTS, OF_ROOT = 8192, 16, 64, 0.5
+#: A length of vectors that this share of the rows has is quantised.
+COMMON_LENGTH = 1 / 16
+#: A query visits lists until they hold so many vectors for each neighbour.
+LEAST_SEEN = 64
 #: Bytes a vector, codes a byte, rounds of k-means.
 SUBSPACES, CODES, ROUNDS = 16, 64, 8
 TARGET_RECALL = 0.97
@@ -47,6 +57,15 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = ROUND
     return centres
 
 
+def two_level(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """About ``k`` centroids: those of the parts of a coarser clustering, in
+    proportion to their rows, so that the work grows with k ** 1.5 alone."""
+    if k <= 256:
+        return k_means(x, k, rng)
+    near = nearest(x, k_means(x, math.isqrt(k), rng))
+    return np.concatenate([k_means(x[near == part], max(1, round(k * (near == part).mean())), rng) for part in np.unique(near)])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The nearest centroid (Euclidean) of each row."""
     out = np.empty(len(x), np.int64)
@@ -69,7 +88,7 @@ class Quantiser:
     def fit(cls, sample: np.ndarray, k: int, lists: int = LEAST_LISTS) -> Quantiser:
         rng = np.random.default_rng(0)
         width = -(-sample.shape[1] // SUBSPACES)
-        coarse = k_means(sample, max(1, min(lists, len(sample) // PER_LIST)), rng)
+        coarse = two_level(sample, max(1, min(lists, len(sample) // PER_LIST)), rng)
         near = nearest(sample, coarse)
         residual = padded(sample - coarse[near], width)
         books = [k_means(residual[:, s * width : (s + 1) * width], CODES, rng) for s in range(SUBSPACES)]
@@ -91,9 +110,12 @@ class Quantiser:
         residual = padded(x - self.coarse[lists], width)
         return np.stack([nearest(residual[:, s * width : (s + 1) * width], self.books[s]) for s in range(SUBSPACES)], axis=1).astype(np.uint8)
 
-    def visited(self, queries: np.ndarray) -> np.ndarray:
-        """The lists that each query visits, best first."""
-        return np.argsort(-(queries @ self.coarse.T), axis=1, kind="stable")[:, : self.probes]
+    def visited(self, queries: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists in the order in which each query visits them, and how
+        many it visits: ``probes``, and until they hold ``least`` vectors."""
+        order = np.argsort(-(queries @ self.coarse.T), axis=1, kind="stable")
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(1) + 1
+        return order, np.minimum(np.maximum(enough, self.probes), len(self.coarse))
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with each code: (query, subspace, code)."""
@@ -115,112 +137,154 @@ def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
 
 
-def search_block(quantiser: Quantiser, list_id: int, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """Each query's k best of a block (ids ascending): ranked by table, then
-    measured in double precision."""
+def search_block(quantiser: Quantiser | None, list_id: int, keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """Each query's k best of a block (by ascending id): ranked by table, then
+    measured in double precision; without a quantiser all are measured."""
     out = []
-    exact = vectors.astype(np.float64)
+    exact, queries = vectors.astype(np.float64), queries.astype(np.float64)
     for a in range(0, len(queries), 256):
-        some, names = queries[a : a + 256], query_ids[a : a + 256]
-        tables = quantiser.tables(some)
-        rough = np.repeat((some @ quantiser.coarse[list_id])[:, None], len(ids), axis=1)
-        for s in range(SUBSPACES):
-            rough += tables[:, s, codes[:, s]]
-        rough[names[:, None] == ids] = -np.inf
+        some, names = queries[a : a + 256], asking[a : a + 256]
+        if quantiser:
+            tables = quantiser.tables(some.astype(np.float32))
+            rough = np.repeat((some @ quantiser.coarse[list_id])[:, None], len(keys), axis=1)
+            for s in range(SUBSPACES):
+                rough += tables[:, s, codes[:, s]]
+        else:
+            rough = np.stack([(exact * q).sum(1) for q in some])
+        rough[names[:, None] == keys] = -np.inf
         for q, scores in enumerate(rough):
-            rows = best_rows(scores, RERANK * k)
+            rows = best_rows(scores, (RERANK if quantiser else 1) * k)
             rows = rows[scores[rows] > -np.inf]
-            measured = (exact[rows] * some[q].astype(np.float64)).sum(1)
+            measured = (exact[rows] * some[q]).sum(1)
             order = np.lexsort((ids[rows], -measured))[:k]
             out += zip([int(names[q])] * len(order), ids[rows[order]].tolist(), measured[order].tolist(), strict=True)
     return out
 
 
-_LOADED: dict[str, Quantiser] = {}
+_LOADED: dict[str, dict[int, Quantiser]] = {}
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Rows with an id and a vector of finite, non-null components, not all zero."""
+    """Rows with an id and a vector of finite, non-null components, not all
+    zero, each under a key of its own; components are doubles unless they are
+    floats already."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
-    return rows.where("vec_id is not null and v is not null and size(v) > 0").where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = vectors.select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
+    rows = rows.where("vec_id is not null and v is not null and size(v) > 0").where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
+    return rows.withColumn("width", F.size("v"))
+
+
+def fitted(rows: DataFrame, k: int, common_widths: list[int], counts: dict[int, int]) -> dict[int, Quantiser]:
+    """A quantiser for each common length; the sample grows with the square
+    root of the rows."""
+    out = {}
+    for width in common_widths:
+        own, total = rows.where(F.col("width") == width), counts[width]
+        lists = max(LEAST_LISTS, int(OF_ROOT * math.isqrt(total)))
+        most = max(SAMPLE, PER_LIST * lists)
+        # a little more than is wanted, so that the smallest hashes of the rows are surely among these
+        share = min(1.0, 2 * most / total)
+        picked = own.select("v", F.xxhash64("key").alias("h")).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("h").limit(most)
+        out[width] = Quantiser.fit(np.array([r.v for r in picked.collect()], np.float32), k, lists)
+    return out
 
 
 def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFrame:
     """Each query's k nearest by inner product: query_id, rank, vec_id, score.
 
-    Queries are the rows whose id is divisible by ``query_every``; a row is
-    not its own neighbour.  Null, zero or non-finite vectors take no part, nor
-    do vectors of another length than the most frequent one; an empty table
-    gives no rows.  Of rows with the same id one takes part.
+    Queries are the rows whose id is divisible by ``query_every``; candidates
+    are all other rows with a vector of the same length, also those that share
+    the query's id.  Rows with the same id are rows of their own, as queries
+    too (their ranks start from 1 each).  Null, zero or non-finite vectors
+    take no part; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
-    rows = usable(vectors)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
+    rows = common.stored(usable(vectors), "vectors")
+    found = sorted(rows.groupBy("width").count().orderBy(F.desc("count"), "width").limit(int(1 / COMMON_LENGTH)).collect())
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = common.stored(rows.where(F.size("v") == sizes.n).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    total = rows.count()
-    lists = min(MOST_LISTS, max(LEAST_LISTS, total // LIST_VECTORS))
-    most = max(SAMPLE, PER_LIST * lists)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= int(min(1.0, most / total) * (1 << 30))).orderBy(F.xxhash64("vec_id")).limit(most)
-    sample = np.array([r.v for r in picked.collect()], np.float32)  # at most ``most`` rows
-    if not len(sample):
-        sample = np.array([r.v for r in rows.limit(most).collect()], np.float32)
-    shared, key = spark.sparkContext.broadcast(Quantiser.fit(sample, k, lists)), uuid.uuid4().hex
-    width = int(sizes.n)
-
-    def loaded() -> Quantiser:
-        if key not in _LOADED:
+    total, counts = rows.count(), {r.width: r["count"] for r in found}
+    kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
+    quantisers = fitted(rows, k, [w for w, n in counts.items() if n >= COMMON_LENGTH * total], counts)
+    shared, mark = spark.sparkContext.broadcast(quantisers), uuid.uuid4().hex
+
+    def loaded() -> dict[int, Quantiser]:
+        if mark not in _LOADED:
             _LOADED.clear()
-            _LOADED[key] = shared.value
-        return _LOADED[key]
+            _LOADED[mark] = shared.value
+        return _LOADED[mark]
+
+    def matrix(column: pa.Array, width: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width)
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    def by_width(widths: pa.Array):
+        """Rows of a batch for each length."""
+        sizes = widths.to_numpy()
+        return [(int(w), np.flatnonzero(sizes == w)) for w in np.unique(sizes)]
 
     @F.arrow_udf("int")
-    def list_of(vectors: pa.Array) -> pa.Array:
-        return pa.array(nearest(matrix(vectors), loaded().coarse), pa.int32())
+    def list_of(vectors: pa.Array, widths: pa.Array) -> pa.Array:
+        out = np.zeros(len(vectors), np.int32)
+        for width, rows in by_width(widths):
+            if quantiser := loaded().get(width):
+                out[rows] = nearest(matrix(vectors.take(pa.array(rows)), width).astype(np.float32), quantiser.coarse)
+        return pa.array(out)
 
     def encode(members: pa.Table) -> pa.Table:
         """A block: its vectors by ascending id, their codes and themselves."""
-        members = members.combine_chunks().sort_by("vec_id")
-        vectors, list_id = matrix(members.column("v").chunk(0)), members.column("list")[0].as_py()
-        codes = loaded().encode(vectors, np.full(len(vectors), list_id))
-        columns = {"list": pa.array([list_id], pa.int32()), "block": pa.array([members.column("block")[0].as_py()], pa.int32())}
-        blobs = {"ids": members.column("vec_id").to_numpy().astype("<i8"), "codes": codes, "vectors": vectors.astype("<f4")}
+        members = members.combine_chunks().sort_by([("vec_id", "ascending"), ("key", "ascending")])
+        width, list_id = members.column("width")[0].as_py(), members.column("list")[0].as_py()
+        vectors = matrix(members.column("v").chunk(0), width)
+        quantiser = loaded().get(width)
+        codes = quantiser.encode(vectors.astype(np.float32), np.full(len(vectors), list_id)) if quantiser else np.zeros(0, np.uint8)
+        columns = {n: pa.array([members.column(n)[0].as_py()], pa.int32()) for n in ("width", "list", "block")}
+        blobs = {"keys": members.column("key").to_numpy().astype("<i8"), "ids": members.column("vec_id").to_numpy().astype("<i8"), "codes": codes, "vectors": vectors}
         return pa.table(columns | {n: pa.array([b.tobytes()], pa.binary()) for n, b in blobs.items()})
 
+    listed = common.stored(rows.withColumn("list", list_of("v", "width")), "lists")
+    counted = listed.groupBy("width", "list").agg(F.count("*").alias("n"))
+    blocks = counted.select("width", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = {w: np.zeros(len(q.coarse), np.int64) for w, q in quantisers.items()}
+    for r in counted.where(F.col("width").isin(list(sizes))).collect():  # a row a list: they grow with the root of the rows
+        sizes[r.width][r.list] = r.n
+
     def ask(batches):
         for batch in batches:
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            lists = loaded().visited(x)
-            out = []
-            for list_id in np.unique(lists):
-                members = np.flatnonzero((lists == list_id).any(1))
-                out.append((int(list_id), ids[members].astype("<i8").tobytes(), x[members].astype("<f4").tobytes()))
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["list", "query_ids", "queries"])
+            keys, out = batch.column(0).to_numpy(), []
+            for width, rows in by_width(batch.column(2)):
+                x = matrix(batch.column(1).take(pa.array(rows)), width)
+                if quantiser := loaded().get(width):
+                    order, enough = quantiser.visited(x.astype(np.float32), sizes[width], LEAST_SEEN * k)
+                    query, lists = np.repeat(np.arange(len(rows)), enough), np.concatenate([o[:n] for o, n in zip(order, enough.tolist(), strict=True)])
+                else:
+                    query, lists = np.arange(len(rows)), np.zeros(len(rows), np.int64)
+                for list_id in np.unique(lists):
+                    members = query[lists == list_id]
+                    out.append((width, int(list_id), keys[rows[members]].astype("<i8").tobytes(), x[members].tobytes()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["width", "list", "asking", "queries"])
 
     def search(batches):
         for batch in batches:
-            found = []
-            for list_id, ids, codes, stored, query_ids, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = np.frombuffer(ids, "<i8")
-                found += search_block(loaded(), list_id, block, np.frombuffer(codes, np.uint8).reshape(-1, SUBSPACES), np.frombuffer(stored, "<f4").reshape(-1, width), np.frombuffer(query_ids, "<i8"), np.frombuffer(queries, "<f4").reshape(-1, width), k)
-            columns = list(zip(*found, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    listed = common.stored(rows.select("vec_id", "v", list_of("v").alias("list")), "lists")
-    counted = listed.groupBy("list").count().collect()  # MOST_LISTS rows at most
-    blocks = F.broadcast(spark.createDataFrame([(r["list"], -(-r["count"] // BLOCK)) for r in counted], "list int, blocks int"))
-    dealt = listed.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    index = common.stored(dealt.select("list", "block", "vec_id", "v").groupBy("list", "block").applyInArrow(encode, "list int, block int, ids binary, codes binary, vectors binary"), "index")
-    asked = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(ask, "list int, query_ids binary, queries binary")
-    sent = asked.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_ids", "queries")
-    pairs = index.join(sent, ["list", "block"]).select("list", "ids", "codes", "vectors", "query_ids", "queries")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            best = []
+            for width, list_id, keys, ids, codes, stored, asking, queries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                of = lambda raw: np.frombuffer(raw, kind).reshape(-1, width)  # noqa: E731,B023
+                coded = np.frombuffer(codes, np.uint8).reshape(-1, SUBSPACES)
+                best += search_block(loaded().get(width), list_id, np.frombuffer(keys, "<i8"), np.frombuffer(ids, "<i8"), coded, of(stored), np.frombuffer(asking, "<i8"), of(queries), k)
+            columns = list(zip(*best, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["asking", "vec_id", "score"])
+
+    place = ["width", "list"]
+    dealt = listed.join(blocks, place).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    index = common.stored(dealt.select(*place, "block", "key", "vec_id", "v").groupBy(*place, "block").applyInArrow(encode, "width int, list int, block int, keys binary, ids binary, codes binary, vectors binary"), "index")
+    queries = rows.where(F.col("vec_id") % query_every == 0)
+    asked = queries.select("key", "v", "width").mapInArrow(ask, "width int, list int, asking binary, queries binary")
+    sent = asked.join(blocks, place).select(*place, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "asking", "queries")
+    pairs = index.join(sent, [*place, "block"]).select(*place, "keys", "ids", "codes", "vectors", "asking", "queries")
+    answers = pairs.mapInArrow(search, "asking long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("asking").orderBy(F.desc("score"), "vec_id"))
+    best = answers.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = queries.select(F.col("key").alias("asking"), F.col("vec_id").alias("query_id"))
+    return best.join(names, "asking").select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gutterline.llm import ann
 
@@ -42,7 +43,64 @@ def test_ties_go_to_smaller_ids(spark):
 
 def test_unusable_vectors_take_no_part(spark):
     vectors = [(0, [1.0, 2.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [None, 1.0]), (6, [2.0, 1.0]), (20, [0.5, 0.5]), (40, [0.0, 0.0]), (60, []), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0])]
-    rows = ann.neighbours(table(spark, vectors)).collect()
-    assert {(r.query_id, r.rank, r.vec_id) for r in rows} == {(0, 1, 6), (0, 2, 20), (20, 1, 0), (20, 2, 6)}
+    rows = ann.neighbours(table(spark, [*vectors, (80, [1.0, 1.0, 1.0]), (100, [9.0])])).collect()
+    assert {(r.query_id, r.rank, r.vec_id) for r in rows} == {(0, 1, 6), (0, 2, 20), (20, 1, 0), (20, 2, 6), (80, 1, 7)}
     assert ann.neighbours(table(spark, [(0, None)])).count() == 0
     assert ann.neighbours(table(spark, [(0, [1.0])])).count() == 0
+
+
+def against_all(spark, ids, x, kind="float", k=20):
+    """Mean and least recall, by score; each query row checked on its own."""
+    rows = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x, strict=True)], f"vec_id long, embedding array<{kind}>")
+    found = {}
+    for r in sorted(ann.neighbours(rows, k).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    x, shares = np.asarray(x, np.float32 if kind == "float" else np.float64).astype(np.float64), []
+    for q in sorted({int(i) for i in ids if i % 20 == 0}):
+        same, wanted = np.flatnonzero(np.asarray(ids) == q), []
+        for row in same:
+            scores = (x * x[row]).sum(1)
+            scores[row] = -np.inf
+            wanted.append(np.sort(scores)[::-1][: min(k, len(x) - 1)])
+        got = sorted(s for _, _, s in found[q])[::-1]
+        assert len(got) == sum(map(len, wanted))
+        least = min(w[-1] for w in wanted) - 1e-9
+        shares.append(sum(s >= least for s in got) / len(got) if len(same) > 1 else sum(s >= wanted[0][-1] - 1e-9 for s in got) / len(got))
+        assert len(same) > 1 or [r for r, _, _ in found[q]] == list(range(1, len(got) + 1))
+    return np.mean(shares), min(shares)
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clustered", "skewed"])
+def test_recall_on_other_shapes(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "gaussian":
+        x = rng.normal(size=(3000, 24))
+    elif kind == "clustered":
+        x = rng.normal(size=(60, 24))[rng.integers(0, 60, 3000)] + 0.1 * rng.normal(size=(3000, 24))
+    else:  # a large cloud and small groups far off
+        x = np.concatenate([rng.normal(size=(2700, 24)) * 0.3 + 2, np.repeat(rng.normal(size=(60, 24)) * 5, 5, axis=0) + 0.05 * rng.normal(size=(300, 24))])
+    order = rng.permutation(len(x))
+    mean, least = against_all(spark, np.arange(len(x)), x[order])
+    assert mean >= 0.9 and least >= 0.5
+
+
+def test_repeated_ids_are_candidates_and_queries(spark):
+    rows = [(1, [2.0, 0.0]), (1, [3.0, 0.0]), (20, [1.0, 0.0]), (40, [1.0, 1.0]), (40, [0.0, 2.0])]
+    out = ann.neighbours(table(spark, rows)).collect()
+    assert [(r.vec_id, r.score) for r in sorted(out, key=lambda r: r.rank) if r.query_id == 20] == [(1, 3.0), (1, 2.0), (40, 1.0), (40, 0.0)]
+    assert sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == 40) == sorted([(1, 1, 3.0), (2, 1, 2.0), (3, 40, 2.0), (4, 20, 1.0), (1, 40, 2.0), (2, 1, 0.0), (3, 1, 0.0), (4, 20, 0.0)])
+    rng = np.random.default_rng(6)
+    mean, _ = against_all(spark, np.arange(1500) // 3, rng.normal(size=(1500, 8)))
+    assert mean >= 0.9
+
+
+def test_doubles_are_measured_as_doubles(spark):
+    rows = spark.createDataFrame([(0, [1 / 3, 0.0]), (1, [1.0, 1e-12])], "vec_id long, embedding array<double>")
+    assert [r.score for r in ann.neighbours(rows).collect()] == [1 / 3]
+
+
+def test_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "OF_ROOT", 6.0)
+    monkeypatch.setattr(ann, "PER_LIST", 4)
+    mean, _ = against_all(spark, np.arange(3000), np.random.default_rng(7).normal(size=(3000, 16)))
+    assert mean >= 0.9
