@@ -26,6 +26,10 @@ ORDER = 4
 #: The sample: passages in all (shared by the languages), their length in
 #: characters, and one in how many is kept for calibration.
 PASSAGES, PASSAGE_CHARS, CALIBRATE_EVERY = 1600, 2000, 4
+#: Buckets in which a language's passages are ranked; a language that is learned
+#: has one passage of each at least, so this many languages are learned at most.
+BUCKETS = 16
+MOST_LANGUAGES = PASSAGES // BUCKETS
 #: Characters that a text's posterior counts at most.
 EVIDENCE_CHARS = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -260,15 +264,17 @@ def calibrate(identifier: Identifier, texts: list[str], langs: list[str]) -> Cal
 def sampled_passages(labelled: DataFrame) -> DataFrame:
     """A bounded sample of (lang, passage, at): at most ``PASSAGES`` rows,
     shared evenly by the languages, each one passage of a text at a place
-    that a hash of the row chooses."""
+    that a hash of the row chooses.  Of more than ``MOST_LANGUAGES`` values of
+    lang, as a dirty column has, those of most rows are learned (of equal ones
+    the first by name)."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "lang").alias("at"))
-    langs = max(1, rows.select("lang").distinct().count())
-    buckets = 16
-    each = max(1, PASSAGES // (langs * buckets))
+    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(langs))
+    each = PASSAGES // (max(1, len(langs)) * BUCKETS)
     # ranked within buckets of a language, so a frequent one is spread; the
     # limit is applied before the shuffle as well
     start = F.pmod(F.shiftright("at", 16), F.greatest(F.char_length("text") - PASSAGE_CHARS, F.lit(0)) + 1) + 1
-    passages = rows.select("lang", "at", F.pmod("at", F.lit(buckets)).alias("bucket"), F.col("text").substr(start.cast("int"), F.lit(PASSAGE_CHARS)).alias("passage"))
+    passages = rows.select("lang", "at", F.pmod("at", F.lit(BUCKETS)).alias("bucket"), F.col("text").substr(start.cast("int"), F.lit(PASSAGE_CHARS)).alias("passage"))
     rank = F.row_number().over(Window.partitionBy("lang", "bucket").orderBy("at", "passage"))
     return passages.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "passage", "at", "rank")
 
@@ -343,7 +349,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame) -> DataFrame:
-    """The documents that some learned language accounts for, columns as they are."""
+    """The documents that some learned language accounts for, columns as they are.
+
+    Null texts, and those without a letter, go; null ids and repeated rows
+    stay as they are; with no labelled row every document goes; an empty table
+    stays empty.  What a text is decides alone, so ties don't occur.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
     models, calibration = fitted(docs.where(~held_out()).select("doc_id", "lang", "text"))

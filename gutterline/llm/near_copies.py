@@ -1,4 +1,10 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: the pipeline's stage.
+"""Near-duplicates by Jaccard similarity of word shingles: operator 8 as a stage.
+
+SimHash fingerprints over the same shingles, met by covering LSH, give the
+first candidates (operator 8); each is confirmed on the whole sets.  At a
+similarity of 0.8 two fingerprints differ in some ten of 64 bits, beyond any
+radius that covering masks can afford, so an exact way follows for the pairs
+that these tables don't promise.
 
 A text is the set of its word shingles.  Two sets of similarity t or more
 share a shingle among the first n - ceil(t n) + 1 of each, in any order that
@@ -7,9 +13,9 @@ lost.  A sample says which shingles are common; the order puts these last, so
 that few texts meet.  The order decides the cost alone, never the result.
 
 Texts that share a prefix shingle are a bucket.  One of its members is
-compared with each other one first; then all pairs of a bucket that these
-links leave in different components.  What is left out could only join what is
-joined already.  Every link is confirmed on the whole sets.
+compared with each other one that isn't linked to it yet; then all pairs of a
+bucket that these links leave in different components.  What is left out could
+only join what is joined already.  Every link is confirmed on the whole sets.
 
 Two bounds, both exact, spare most texts the confirmation.  From the first
 shared shingle on, enough must be left of both sets.  And a parity sketch (bit
@@ -131,26 +137,47 @@ def _may_be_alike(similarity: float) -> Column:
     return enough & (differing <= (1 - similarity) / (1 + similarity) * total + 1e-9)
 
 
-def links(texts: DataFrame, prints: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def simhash_candidates(sims: DataFrame) -> DataFrame:
+    """Operator 8 over rows of fp and sim (a text's SimHash): pairs (a < b) of
+    texts, one of each fingerprint with the others of it, and one of each of
+    two fingerprints that covering LSH links."""
+    firsts = common.stored(sims.groupBy("sim").agg(F.min("fp").alias("first")), "firsts")
+    same = sims.join(firsts, "sim").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    of = lambda side: firsts.select(F.col("sim").alias(side), F.col("first").alias(f"of_{side}"))
+    near = simhash.links(firsts.select(F.col("sim").alias("fp"))).join(of("a"), "a").join(of("b"), "b")
+    return same.union(near.select(F.least("of_a", "of_b"), F.greatest("of_a", "of_b")))
+
+
+def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a < b) between distinct texts that have the same components as
-    all pairs of that similarity.  ``texts`` has fp and text, ``prints`` each fp once."""
+    all pairs of that similarity.  ``texts`` has fp and text, ``sims`` each fp
+    once with its SimHash, ``prints`` each fp once."""
+    candidates = common.stored(simhash_candidates(sims), "candidates")
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ends = common.stored(texts.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "ends")
+    first = common.stored(confirmed(candidates, ends, size, similarity), "first")
+    joined = simhash.components(first).withColumnRenamed("node", "fp")
+
     every = max(1, prints.count() // SAMPLE)
     known, counts = common_shingles(texts.where(F.pmod("fp", F.lit(every)) == 0).dropDuplicates(["fp"]), size)
-    sets = common.stored(prefixes(texts, size, similarity, known, counts).dropDuplicates(["fp"]), "sets")
-    rows = sets.select("fp", "size", F.posexplode("prefix").alias("pos", "value"))
-    buckets = common.stored(rows.groupBy("value").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("value", "fp")).alias("hub")).where("n > 1"), "buckets")
+    sets = prefixes(texts, size, similarity, known, counts).dropDuplicates(["fp"]).join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sets = common.stored(sets, "sets")
+    rows = sets.select("fp", "size", "root", F.posexplode("prefix").alias("pos", "value"))
+    hub = F.min_by(F.struct("fp", "root"), F.xxhash64("value", "fp"))
+    mixed = F.min("root") != F.max("root")
+    buckets = common.stored(rows.groupBy("value").agg(F.count("*").alias("n"), hub.alias("hub"), mixed.alias("mixed")).where("mixed").select("value", "n", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root")), "buckets")
     bits = sets.select("fp", *(F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)))
     members = common.stored(_with_values(rows, buckets).join(bits, "fp"), "members")
     wanted = common.stored(texts.select("fp", "text").dropDuplicates(["fp"]).join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
     fits = _may_be_alike(similarity)
 
     hubs = _sided(members.where("fp = hub"), "a", "value", "n", F.col("fp").alias("a"))
-    tried = _with_values(_sided(members, "b", "value", F.col("fp").alias("b")), hubs).where("a <> b").where(fits)
+    tried = _with_values(_sided(members.where("root <> hub_root"), "b", "value", F.col("fp").alias("b")), hubs).where(fits)
     tried = common.stored(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    near = common.stored(confirmed(tried, wanted, size, similarity), "near")
+    near = common.stored(first.union(confirmed(tried, wanted, size, similarity)), "near")
 
     roots = simhash.components(near).withColumnRenamed("node", "fp")
-    placed = members.drop("n", "hub").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    placed = members.drop("n", "hub", "hub_root", "root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "n")
     mixed = common.stored(_with_values(placed, mixed), "mixed")
     parts = F.ceil(F.col("n") / LARGE_BUCKET)
@@ -167,6 +194,7 @@ def first_of_each(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMI
     words than a shingle has one, of all its words."""
     common.small_batches(docs.sparkSession)
     print_of = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = common.stored(docs.select("doc_id", F.xxhash64("text").alias("digest"), print_of.alias("fp"), simhash.fingerprint_of(F.col("text"), size).alias("sim")), "fingerprints")
+    sims = marked.groupBy("fp").agg(F.min("sim").alias("sim"))
     texts = docs.select(print_of.alias("fp"), "text")
-    marked = common.stored(docs.select("doc_id", F.xxhash64("text").alias("digest"), print_of.alias("fp")), "fingerprints")
-    return simhash.smallest_ids(docs, marked, simhash.classes(marked, linked_by=lambda prints: links(texts, prints, size, similarity)))
+    return simhash.smallest_ids(docs, marked.drop("sim"), simhash.classes(marked, linked_by=lambda prints: links(texts, sims, prints, size, similarity)))

@@ -56,12 +56,13 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0]) if len(hashes) else 0
 
 
-def fingerprint_of(text: Column) -> Column:
-    """The 64-bit fingerprint of a text column as a long; a null text is empty: 0."""
+def fingerprint_of(text: Column, size: int = SHINGLE) -> Column:
+    """The 64-bit fingerprint of a text column, over shingles of ``size``
+    words, as a long; a null text is empty: 0."""
 
     @F.arrow_udf("long")
     def fingerprints(texts: pa.Array) -> pa.Array:
-        return pa.array([majority(shingle_hashes(raw)) for raw in common.text_bytes(texts)], pa.int64())
+        return pa.array([majority(shingle_hashes(raw, size)) for raw in common.text_bytes(texts)], pa.int64())
 
     return fingerprints(text)
 
@@ -113,7 +114,7 @@ def links(prints: DataFrame) -> DataFrame:
 
     grouped = groups.mapInArrow(compare, "a long, b long")
     large = members.where(F.col("n") > LARGE_BUCKET).select("fp").distinct()
-    near = large.select("fp", F.explode(half_ball(F.col("fp"))).alias("value"))
+    near = common.stored(large.select("fp", F.explode(half_ball(F.col("fp"))).alias("value")), "half_balls")
     hubs = near.groupBy("value").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     hubbed = near.join(hubs, "value").where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     return pairs.union(grouped).union(hubbed).distinct()
