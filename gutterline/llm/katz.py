@@ -1,8 +1,9 @@
 """Operator 5: language-model scores by Katz backoff.
 
-A word model of order two.  Counts are discounted by Good-Turing; the weight
-of a backoff is what the discounts free, over what the lower order gives to
-words unseen in the context, so every distribution sums to one.
+A word model of order ``ORDER``, or any other.  Counts are discounted by
+Good-Turing; the weight of a backoff is what the discounts free, over what the
+lower order gives to words unseen in the context, so every distribution sums
+to one.  A token's probability is found order by order, the lower one first.
 
 Texts are packed into blocks of tokens: the sorted 64-bit hashes of a block's
 words and, for each token, its place among them.  Blocks ask, and at the same
@@ -10,8 +11,8 @@ time tell, tables that are partitioned by hash: a block sends each n-gram of
 its own once, with its count in training texts; a partition sums and answers
 every block in the order in which it was asked.  So an n-gram that is in every
 text costs a row for each block, wherever it is frequent, and nothing is
-joined token by token.  Three rounds do it: words, pairs of words, and the
-sums that each context's backoff weight needs.
+joined token by token.  Each order takes a round for its counts, and each but
+the first one for the sums that its contexts' backoff weights need.
 """
 
 from __future__ import annotations
@@ -29,19 +30,23 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Tokens of a block, and tokens for each partition of a table.
-BLOCK_TOKENS, PARTITION_TOKENS = 500_000, 1_000_000
+#: Words of an n-gram at most.
+ORDER = 2
+#: Tokens of a block, and tokens for each partition of a table.  Both bound a
+#: task's memory; blocks times partitions is the number of messages of a round.
+BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 4_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Words that a worker keeps the hash of.
 KEPT_WORDS = 500_000
-#: Hashes of the end of a text and of the context before its first word.
-END, START = np.uint64(xxhash.xxh64_intdigest(b"\0end")), np.uint64(xxhash.xxh64_intdigest(b"\0start"))
+#: What stands for the end of a text, and for the context before its first
+#: word: odd, as no word's hash is.
+END, START = np.uint64(1), np.uint64(3)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word) & ~1  # odd ones are no words
         if len(word) < 64:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -80,19 +85,34 @@ class Block:
         """Which tokens are in training texts."""
         return np.repeat(~self.held, self.lengths)
 
-    def contexts(self) -> np.ndarray:
-        """The place in the vocabulary of each token's context."""
-        before = np.empty_like(self.stream)
-        before[1:] = self.stream[:-1]
-        starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        before[starts] = np.searchsorted(self.vocabulary, START)
-        return before
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of the distinct pairs, where each token's pair is
-        among them, and a token of each."""
-        hashes = pair_hash(self.vocabulary[self.contexts()], self.vocabulary[self.stream])
-        keys, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def starts(self) -> np.ndarray:
+        """The first token of each text."""
+        return np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+
+    def before(self, values: np.ndarray, at_start) -> np.ndarray:
+        """What stands before each token of its text; ``at_start`` before the first."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts()] = at_start
+        return out
+
+    def hashes(self, order: int) -> np.ndarray:
+        """The hash of the n-gram that ends at each token."""
+        words = self.vocabulary[self.stream]
+        return words if order == 1 else pair_hash(self.contexts(order), words)
+
+    def contexts(self, order: int) -> np.ndarray:
+        """The hash of what stands before each token in its n-gram."""
+        return self.before(self.hashes(order - 1), START)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of the distinct n-grams, where each token's is among
+        them, and a token of each."""
+        if order == 1:
+            first = np.empty(len(self.vocabulary), np.int64)
+            first[self.stream] = np.arange(len(self.stream))
+            return self.vocabulary, self.stream, first
+        keys, first, inverse = np.unique(self.hashes(order), return_index=True, return_inverse=True)
         return keys, inverse, first
 
 
@@ -108,11 +128,12 @@ def blocks(docs: DataFrame, held: Column) -> DataFrame:
         def block() -> pa.RecordBatch:
             lengths = np.array([len(t) for t in tokens], np.int64)
             all_tokens = np.concatenate(tokens)
-            vocabulary = np.unique(np.append(all_tokens, START))
+            vocabulary = np.unique(all_tokens)
             values = {
                 "block": pa.array([TaskContext.get().partitionId() << 24 | number], pa.int64()),
                 "doc_ids": pa.array([ids], pa.list_(pa.int64())),
                 "n_tokens": pa.array([int(lengths.sum())], pa.int64()),
+                "n_training": pa.array([marks.count(False)], pa.int64()),
                 "held": pa.array([np.array(marks, "u1").tobytes()], pa.binary()),
                 "lengths": pa.array([lengths.astype("<i8").tobytes()], pa.binary()),
                 "vocabulary": pa.array([packed(vocabulary.astype("<u8"))], pa.binary()),
@@ -135,7 +156,7 @@ def blocks(docs: DataFrame, held: Column) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held"), "text")
-    return rows.mapInArrow(pack, "block long, doc_ids array<long>, n_tokens long, held binary, lengths binary, vocabulary binary, stream binary")
+    return rows.mapInArrow(pack, "block long, doc_ids array<long>, n_tokens long, n_training long, held binary, lengths binary, vocabulary binary, stream binary")
 
 
 def sliced(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -193,17 +214,9 @@ def count_of_counts(totals: np.ndarray) -> bytes:
     return np.array([(totals > 0).sum(), totals.sum(), *n[1 : DISCOUNTED + 2]], "<i8").tobytes()
 
 
-def sum_words(table: pa.Table) -> pa.Table:
-    """A partition of the words: each one's count over all blocks."""
-    keys, lengths, values = received(table, a="<u4")
-    _, inverse = np.unique(keys, return_inverse=True)
-    totals = np.bincount(inverse, values["a"]).astype(np.int64)
-    return answers(table, totals[inverse].astype("<u8"), lengths, count_of_counts(totals))
-
-
-def sum_pairs(table: pa.Table) -> pa.Table:
-    """A partition of the pairs: twice the count, and one more for the one
-    block that is to account for the pair."""
+def sum_counts(table: pa.Table) -> pa.Table:
+    """A partition of the n-grams: twice the count over all blocks, and one
+    more for the one block that is to account for the n-gram."""
     keys, lengths, values = received(table, a="<u4")
     of = np.repeat(np.array(table.column("block").to_pylist(), np.int64), lengths)
     _, inverse = np.unique(keys, return_inverse=True)
@@ -275,20 +288,20 @@ class Unigrams:
         return np.where(c > 0, self.discounts.counts(c) / max(self.total, 1), self.unknown)
 
 
-def exchanged(asked: DataFrame, answer, name: str) -> tuple[DataFrame, np.ndarray]:
-    """Send messages to their partitions; the answers, block by block, and
-    the partitions' statistics."""
+def exchanged(asked: DataFrame, answer, name: str) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Send messages to their partitions; the answers, block by block, the
+    table that has them, and the sum of the partitions' statistics."""
     out = common.stored(asked.groupBy("part").applyInArrow(answer, ANSWER), name)
     stats = [np.frombuffer(r.answer, "<i8") for r in out.where("block = -1").select("answer").toLocalIterator()]
     by_block = out.where("block >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "answer"))).alias(name))
-    return by_block, np.sum(stats, axis=0) if stats else np.zeros(DISCOUNTED + 3, np.int64)
+    return by_block, out, np.sum(stats, axis=0) if stats else np.zeros(DISCOUNTED + 3, np.int64)
 
 
 def joined(parts: list[dict], kind: str) -> np.ndarray:
     return np.concatenate([unpacked(p["answer"], kind) for p in parts]) if parts else np.zeros(0, kind)
 
 
-def scored(docs: DataFrame, held: Column) -> DataFrame:
+def scored(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     """Scores of all documents by a model of those that aren't held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -299,88 +312,122 @@ def scored(docs: DataFrame, held: Column) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     # bucketed, so that answers are dealt to the blocks and blocks stay where they are
-    store, buckets = f"blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks(docs, held).write.option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(store, format="parquet")
+    folder, buckets = common.new_folder(spark, "blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = f"blocks_{uuid.uuid4().hex}"
+    blocks(docs, held).write.option("compression", "zstd").option("path", folder).bucketBy(buckets, "block").saveAsTable(store, format="parquet")
     texts = spark.table(store)
+    texts.stored_in = folder
     tokens = texts.agg(F.sum("n_tokens")).first()[0]
     rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a block
     try:
         if not tokens:
-            return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-        return _scored(texts, min(20, max(6, math.ceil(math.log2(max(1, tokens / PARTITION_TOKENS))))))
+            return spark.createDataFrame([], SCORES)
+        return _scored(texts, max(6, math.ceil(math.log2(max(1, tokens / PARTITION_TOKENS)))), order)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
         spark.sql(f"drop table {store}")
+        common.released(texts)
 
 
-def _scored(texts: DataFrame, bits: int) -> DataFrame:
-    packed_columns = ["block", "held", "lengths", "vocabulary", "stream"]
+@dataclass
+class Evaluated:
+    """What a block's answers say of its tokens, up to some order: each
+    n-gram's count, and its probability by recursion from the words on."""
 
-    def tell_words(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.read(row)
-                counts = np.bincount(block.stream[block.training()], minlength=len(block.vocabulary))
-                yield messages(row["block"], block.vocabulary, bits, a=counts.astype("<u4"))
+    counts: list[np.ndarray]
+    marks: list[np.ndarray]
+    p: list[np.ndarray]
 
-    def tell_pairs(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.read(row)
-                keys, inverse, _ = block.pairs()
-                counts = np.bincount(inverse[block.training()], minlength=len(keys))
-                yield messages(row["block"], keys, bits, a=counts.astype("<u4"))
-
-    lean = texts.select(packed_columns)
-    words, word_stats = exchanged(lean.mapInArrow(tell_words, MESSAGE), sum_words, "words")
-    pairs, pair_stats = exchanged(lean.mapInArrow(tell_pairs, MESSAGE), sum_pairs, "pairs")
-    unigrams, discounts = Unigrams.of(word_stats), Discounts.good_turing(pair_stats.tolist()[2:])
-
-    def context_counts(block: Block, counts: np.ndarray) -> np.ndarray:
-        """Counts of the vocabulary as contexts: a text's start is as frequent
-        as its end."""
-        out = counts.copy()
-        out[np.searchsorted(block.vocabulary, START)] = counts[np.searchsorted(block.vocabulary, END)]
+    @classmethod
+    def of(cls, block: Block, row: dict, orders: int, unigrams: Unigrams, discounts: list[Discounts], texts: int) -> Evaluated:
+        """``discounts`` are those of order 2 and on, ``texts`` the number of training texts."""
+        out = cls([], [], [])
+        for n in range(1, orders + 1):
+            answer = joined(row[f"counts{n}"], "<u8").astype(np.int64)
+            _, inverse, _ = block.grams(n)
+            out.marks.append(answer & 1)
+            out.counts.append((answer >> 1)[inverse])
+        out.p.append(unigrams.probability(out.counts[0]))
+        for n in range(2, orders + 1):
+            if f"weights{n}" not in row:
+                break
+            weight = joined(row[f"weights{n}"], "<f8")[np.unique(block.contexts(n), return_inverse=True)[1]]
+            r, of_context = out.counts[n - 1], out.of_contexts(block, n, texts)
+            own = discounts[n - 2].counts(r) / np.maximum(of_context + (weight < 0), 1)
+            out.p.append(np.where(r > 0, own, np.abs(weight) * out.p[-1]))
         return out
 
-    def tell_contexts(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                block = Block.read(row)
-                counts, pair = joined(row["words"], "<u8").astype(np.int64), joined(row["pairs"], "<u8").astype(np.int64)
-                _, _, first = block.pairs()
-                own = (pair & 1) == 1
-                context, word, r = block.contexts()[first[own]], block.stream[first[own]], pair[own] >> 1
-                size = len(block.vocabulary)
-                kept, below = np.bincount(context, discounts.counts(r), size), np.bincount(context, unigrams.probability(counts[word]), size)
-                yield messages(row["block"], block.vocabulary, bits, a=kept.astype("<f8"), b=below.astype("<f8"), c=context_counts(block, counts).astype("<u8"))
+    def of_contexts(self, block: Block, order: int, texts: int) -> np.ndarray:
+        """How often each token's context is followed by something in
+        training: a text's start as often as there are texts."""
+        return block.before(self.counts[order - 2], texts)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scored(texts: DataFrame, bits: int, order: int) -> DataFrame:
+    lean = texts.select("block", "held", "lengths", "vocabulary", "stream")
+
+    def tell_counts(n: int):
+        def tell(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = Block.read(row)
+                    keys, inverse, _ = block.grams(n)
+                    counts = np.bincount(inverse[block.training()], minlength=len(keys))
+                    yield messages(row["block"], keys, bits, a=counts.astype("<u4"))
+
+        return tell
+
+    counted, stats, tables = lean.select("block"), [], []
+    for n in range(1, order + 1):
+        answered, out, of_table = exchanged(lean.mapInArrow(tell_counts(n), MESSAGE), sum_counts, f"counts{n}")
+        counted = counted.join(answered, "block")
+        stats.append(of_table)
+        tables.append(out)
+    answered = common.stored(counted, "answers")
+    common.released(*tables)
+    unigrams, discounts = Unigrams.of(stats[0]), [Discounts.good_turing(s.tolist()[2:]) for s in stats[1:]]
+    n_texts = int(texts.agg(F.sum("n_training")).first()[0])
+
+    def tell_weights(n: int):
+        def tell(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    block = Block.read(row)
+                    known = Evaluated.of(block, row, n, unigrams, discounts, n_texts)
+                    _, _, first = block.grams(n)
+                    own = first[known.marks[n - 1] == 1]
+                    keys, context = np.unique(block.contexts(n), return_inverse=True)
+                    kept = np.bincount(context[own], discounts[n - 2].counts(known.counts[n - 1][own]), len(keys))
+                    below = np.bincount(context[own], known.p[n - 2][own], len(keys))
+                    total = np.zeros(len(keys), np.int64)
+                    total[context] = known.of_contexts(block, n, n_texts)
+                    yield messages(row["block"], keys, bits, a=kept.astype("<f8"), b=below.astype("<f8"), c=total.astype("<u8"))
+
+        return tell
+
+    full = answered
+    for n in range(2, order + 1):
+        weights, _, _ = exchanged(lean.join(full, "block").mapInArrow(tell_weights(n), MESSAGE), sum_contexts, f"weights{n}")
+        full = full.join(weights, "block")
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block.read(row)
-                counts, pair = joined(row["words"], "<u8").astype(np.int64), joined(row["pairs"], "<u8").astype(np.int64) >> 1
-                weight = joined(row["contexts"], "<f8")
-                _, inverse, _ = block.pairs()
-                contexts, r = block.contexts(), pair[inverse]
-                of_context = context_counts(block, counts)[contexts]
-                lower = unigrams.probability(counts)[block.stream]
-                backoff = weight[contexts]
-                p = np.where(r > 0, discounts.counts(r) / np.maximum(of_context + (backoff < 0), 1), np.abs(backoff) * lower)
-                starts = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
-                c = counts[block.stream]
+                known = Evaluated.of(block, row, order, unigrams, discounts, n_texts)
+                c, starts = known.counts[0], block.starts()
                 base = np.log10((c + 1) / (unigrams.total + unigrams.distinct + 1))
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(starts), unigrams.total)), pa.array(sums(base)), pa.array(sums(np.log10(p)))],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(sums((c > 0).astype(np.int64))), pa.array(np.full(len(starts), unigrams.total)), pa.array(sums(base)), pa.array(sums(np.log10(known.p[order - 1])))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    answered = common.stored(words.join(pairs, "block"), "answers")
-    contexts, _ = exchanged(lean.join(answered, "block").mapInArrow(tell_contexts, MESSAGE), sum_contexts, "contexts")
-    full = texts.drop("n_tokens").join(answered, "block").join(contexts, "block")
-    return common.stored(full.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    return common.stored(texts.drop("n_tokens", "n_training").join(full, "block").mapInArrow(score, SCORES), "scores")
 
 
 def held_out(id_column: str = "doc_id") -> Column:

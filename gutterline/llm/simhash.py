@@ -134,7 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        state = common.stored(small, "edges")
+        past, state = state, common.stored(small, "edges")
+        common.released(past)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
