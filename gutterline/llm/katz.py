@@ -34,7 +34,7 @@ from . import common
 ORDER = 2
 #: Tokens of a block, and tokens for each partition of a table.  Both bound a
 #: task's memory; blocks times partitions is the number of messages of a round.
-BLOCK_TOKENS, PARTITION_TOKENS = 1_000_000, 4_000_000
+BLOCK_TOKENS, PARTITION_TOKENS = 600_000, 4_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Words that a worker keeps the hash of.
@@ -319,7 +319,7 @@ def scored(docs: DataFrame, held: Column, order: int = ORDER) -> DataFrame:
     texts.stored_in = folder
     tokens = texts.agg(F.sum("n_tokens")).first()[0]
     rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a block
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a row is a block
     try:
         if not tokens:
             return spark.createDataFrame([], SCORES)
