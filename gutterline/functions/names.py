@@ -42,9 +42,16 @@ def openable(name: Column) -> Column:
 
 
 def natural_key(name: Column, width: int = 20) -> Column:
-    """A key that sorts digit runs by value and letters without case."""
+    """A key that sorts digit runs by value and letters without case; runs of
+    more than ``width`` digits sort by their length behind the shorter ones."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), F.lpad(r, width, "0")).otherwise(F.lower(r))), "")
+
+    def digits(run: Column) -> Column:
+        value = F.regexp_replace(run, "^0+(?=.)", "")
+        longer = F.concat(F.lit(":"), F.lpad(F.length(value).cast("string"), 10, "0"), value)
+        return F.when(F.length(value) <= width, F.lpad(value, width, "0")).otherwise(longer)
+
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), digits(r)).otherwise(F.lower(r))), "")
 
 
 def resolve_link(text: Column) -> Column:
@@ -76,8 +83,10 @@ def file_name(url: Column, disposition: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters' codes, as a long."""
-    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the text's UTF-16 units, as a long."""
+    raw = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.filter(F.sequence(F.lit(0), F.length(raw) - 1, F.lit(4)), lambda i: i < F.length(raw))
+    codes = F.when(F.length(raw) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(units, lambda i: F.conv(F.substr(raw, i + 1, F.lit(4)), 16, 10).cast("long")))
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
 
 

@@ -38,21 +38,34 @@ def _below(points: np.ndarray, axis: int, at: float) -> float:
     return _area(np.array(kept)) if kept else 0.0
 
 
-def _best_cut(shapes: list[np.ndarray], axis: int, limit: float) -> tuple[float, list[int], list[int]] | None:
+class _Shape:
+    """A polygon with its bounds and area; one that fills its bounds is a box."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points, self.low, self.high, self.area = points, points.min(0).tolist(), points.max(0).tolist(), _area(points)
+        self.is_box = self.area == (self.high[0] - self.low[0]) * (self.high[1] - self.low[1])
+
+    def below(self, axis: int, at: float) -> float:
+        low, high = self.low[axis], self.high[axis]
+        if high <= at:
+            return self.area
+        if low >= at:
+            return 0.0
+        return self.area * ((at - low) / (high - low)) if self.is_box else _below(self.points, axis, at)
+
+
+def _best_cut(shapes: list[_Shape], axis: int, limit: float) -> tuple[float, list[int], list[int]] | None:
     """The first of the cuts that slice least: how much, and both sides."""
     best = None
-    areas = [_area(s) for s in shapes]
-    spans = [(float(s[:, axis].min()), float(s[:, axis].max())) for s in shapes]
-    solid = [i for i, a in enumerate(areas) if a > 0]  # a shape without area has no side
-    for at in sorted({v for span in spans for v in span}):
+    solid = [i for i, s in enumerate(shapes) if s.area > 0]  # a shape without area has no side
+    for at in sorted({v for s in shapes for v in (s.low[axis], s.high[axis])}):
         lower, upper, worst = [], [], 0.0
         for i in solid:
-            low, high = spans[i]
-            part = areas[i] if high <= at else 0.0 if low >= at else _below(shapes[i], axis, at)
-            worst = max(worst, min(part, areas[i] - part) / areas[i])
+            part, area = shapes[i].below(axis, at), shapes[i].area
+            worst = max(worst, min(part, area - part) / area)
             if worst > limit:
                 break
-            (lower if part >= areas[i] - part else upper).append(i)
+            (lower if part >= area - part else upper).append(i)
         if worst <= limit and lower and upper and (best is None or worst < best[0]):
             best = (worst, lower, upper)
             if worst == 0:
@@ -77,13 +90,14 @@ def topological(shapes: list[np.ndarray], right_to_left: bool = True) -> list[in
     start = low[:, 1] * 1e6 + (-high[:, 0] if right_to_left else low[:, 0])
     by_start = np.argsort(start, kind="stable").tolist()
     out: list[int] = []
-    while len(out) < n:
-        waiting = [k for k in by_start if k not in out]
-        free = [k for k in waiting if not before[waiting, k].any()]
-        if not free:
-            out += waiting
-            break
-        out.append(free[0])
+    waiting, ahead = by_start, before.sum(0)
+    while waiting:
+        free = next((k for k in waiting if ahead[k] == 0), None)
+        if free is None:
+            return out + waiting
+        out.append(free)
+        waiting = [k for k in waiting if k != free]
+        ahead = ahead - before[free]
     return out
 
 
@@ -91,20 +105,21 @@ def place_in_order(shapes: list[np.ndarray], right_to_left: bool = True, limit:
     """Indices of shapes in reading order; those without area drop out
     wherever a cut is made."""
     done: list[int] = []
+    known = [_Shape(s) for s in shapes]
     stack = [list(range(len(shapes)))]
     while stack:
         some = stack.pop()
         if len(some) <= 1:
             done += some
             continue
-        here = [shapes[i] for i in some]
+        here = [known[i] for i in some]
         rows, columns = _best_cut(here, 1, limit), _best_cut(here, 0, limit)
         if rows and (not columns or rows[0] <= columns[0]):
             parts = [rows[1], rows[2]]
         elif columns:
             parts = [columns[2], columns[1]] if right_to_left else [columns[1], columns[2]]
         else:
-            done += [some[k] for k in topological(here, right_to_left)]
+            done += [some[k] for k in topological([s.points for s in here], right_to_left)]
             continue
         stack += [[some[k] for k in part] for part in reversed(parts)]
     return done
@@ -153,32 +168,70 @@ def _shared(a, b) -> float:
     return max(0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
 
 
-def join_boxes(boxes: list[list[float]], overlap: float = 0.5, column: float = 0.85) -> list[list[float]]:
+#: Samples a side of the grid on which two outlines are compared.
+OUTLINE_SAMPLES = 48
+
+
+def _inside(points: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether places lie in a polygon, by rays to the right."""
+    out = np.zeros(np.broadcast(x, y).shape, bool)
+    for (x1, y1), (x2, y2) in zip(points, np.roll(points, -1, axis=0), strict=True):
+        if y1 != y2:
+            out ^= ((y1 > y) != (y2 > y)) & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))
+    return out
+
+
+def outline_share(a: np.ndarray, b: np.ndarray) -> float:
+    """How much of the smaller of two outlines lies in the other, by samples
+    where their bounds cross."""
+    low, high = np.maximum(a.min(0), b.min(0)), np.minimum(a.max(0), b.max(0))
+    smaller = min(_area(a), _area(b))
+    if (high <= low).any() or smaller <= 0:
+        return 0.0
+    step = (high - low) / OUTLINE_SAMPLES
+    x, y = (low[i] + (np.arange(OUTLINE_SAMPLES) + 0.5) * step[i] for i in (0, 1))
+    both = _inside(a, x[:, None], y[None]) & _inside(b, x[:, None], y[None])
+    return float(both.sum() * step[0] * step[1] / smaller)
+
+
+def join_boxes(boxes: list[list[float]], overlap: float = 0.5, column: float = 0.85, outlines: list[np.ndarray | None] | None = None) -> list[list[float]]:
     """Rectangles (x, y, w, h, conf) of one column that overlap by half of the
-    smaller become one, again and again until none do."""
+    smaller become one, again and again until none do.  Where both have
+    outlines these must overlap as much; a joined rectangle is its own outline."""
 
-    def one(a, b) -> bool:
+    def one(i, j) -> bool:
+        a, b = out[i], out[j]
         smaller = min(a[2] * a[3], b[2] * b[3])
         across = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-        return smaller > 0 and _shared(a, b) / smaller >= overlap and across / min(a[2], b[2]) >= column
+        if smaller <= 0 or _shared(a, b) / smaller < overlap or across / min(a[2], b[2]) < column:
+            return False
+        return shapes[i] is None and shapes[j] is None or outline_share(outline(i), outline(j)) >= overlap
+
+    def outline(i) -> np.ndarray:
+        return corners(dict(zip("xywh", out[i], strict=False))) if shapes[i] is None else shapes[i]
 
-    out = [list(b) for b in boxes]
-    while pair := next(((i, j) for i in range(len(out)) for j in range(i + 1, len(out)) if one(out[i], out[j])), None):
+    out, shapes = [list(b) for b in boxes], list(outlines or [None] * len(boxes))
+    while pair := next(((i, j) for i in range(len(out)) for j in range(i + 1, len(out)) if one(i, j)), None):
         a, b = out[pair[0]], out.pop(pair[1])
+        shapes.pop(pair[1])
         x, y = min(a[0], b[0]), min(a[1], b[1])
         out[pair[0]] = [x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y, max(a[4], b[4])]
+        shapes[pair[0]] = None
     return out
 
 
 def joined_splits(panels: DataFrame) -> DataFrame:
-    """Panels after joining those that were seen in two parts."""
+    """Panels after joining those that were seen in two parts; a column
+    ``polygon`` (an array of x and y), if there is one, gives their outlines."""
+    outlined = ["polygon"] if "polygon" in panels.columns else []
 
     def page(page_id, boxes):
         best_first = sorted(boxes, key=lambda b: (-b["conf"], b["det_id"]))
-        joined = join_boxes([[float(b[c]) for c in ("x", "y", "w", "h", "conf")] for b in best_first])
+        outlines = [np.array([(p["x"], p["y"]) for p in b["polygon"]], float) if b.get("polygon") else None for b in best_first]
+        joined = join_boxes([[float(b[c]) for c in ("x", "y", "w", "h", "conf")] for b in best_first], outlines=outlines)
         return [{"page_id": page_id, "place": place, "x": x, "y": y, "w": w, "h": h, "conf": conf} for place, (x, y, w, h, conf) in enumerate(joined)]
 
-    return _pages(panels, page, "page_id long, place long, x double, y double, w double, h double, conf double", "conf")
+    return _pages(panels, page, "page_id long, place long, x double, y double, w double, h double, conf double", "conf", *outlined)
 
 
 def lone_panels(texts: list[tuple], panels: list[tuple], width: float, height: float, least: float = 0.04) -> list[tuple]:

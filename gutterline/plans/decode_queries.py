@@ -28,14 +28,14 @@ _MARGIN = lambda s: f"least(greatest({s} * {D(0.08)}, {D(3)}), {D(12)})"  # noqa
 
 @query(
     "m13_decode_text",
-    f"{WITH}, m as (select *, {_MARGIN('w')} as mx, {_MARGIN('h')} as my from det where conf >= {D(0.05)} and det_id % 3 <> 0), b as (select *, greatest(x - mx, {D(0)}) as x1, greatest(y - my, {D(0)}) as y1, least(x + w + mx, {D(1000)}) as x2, least(y + h + my, {D(1500)}) as y2 from m) select page_id, det_id - 1 as place, det_id % 3 = 2 as free, {micro_sql('x1')} as x, {micro_sql('y1')} as y, {micro_sql('x2 - x1')} as w, {micro_sql('y2 - y1')} as h from b where x2 - x1 >= 2 and y2 - y1 >= 2",
+    f"{WITH}, m as (select *, {_MARGIN('w')} as mx, {_MARGIN('h')} as my from det where conf >= {D(0.3)} and det_id % 3 <> 0), b as (select *, greatest(x - mx, {D(0)}) as x1, greatest(y - my, {D(0)}) as y1, least(x + w + mx, {D(1000)}) as x2, least(y + h + my, {D(1500)}) as y2 from m) select page_id, det_id - 1 as place, det_id % 3 = 2 as free, {micro_sql('x1')} as x, {micro_sql('y1')} as y, {micro_sql('x2 - x1')} as w, {micro_sql('y2 - y1')} as h from b where x2 - x1 >= 2 and y2 - y1 >= 2",
 )
 def decode_text(spark, sf):
     """Each page's boxes as a detector's flat arrays, unpacked."""
     corners = F.array("x", "y", F.col("x") + F.col("w"), F.col("y") + F.col("h"))
     pages = detections(spark, sf).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("det_id", (F.col("det_id") % 3).alias("label"), "conf", corners.alias("corners")))).alias("d"))
     outputs = pages.select("page_id", F.col("d.label").alias("labels"), F.flatten("d.corners").alias("boxes"), F.col("d.conf").alias("scores"))
-    return decode.decoded_text(outputs, 1000, 1500, BROWSER.text_floor).select("page_id", "place", "free", *(micro(F.col(c)).alias(c) for c in "xywh"))
+    return decode.decoded_text(outputs, 1000, 1500, BROWSER.text_model_floor).select("page_id", "place", "free", *(micro(F.col(c)).alias(c) for c in "xywh"))
 
 
 _CHANNELS = 8

@@ -14,6 +14,7 @@ class Profile:
     frame_floor: float = 0.02
     balloon_floor: float = 0.25
     text_floor: float = 0.05
+    text_model_floor: float = 0.3
     panel_conf: float = 0.25
     rescue_conf: float = 0.08
     rescue_area: float = 0.1
@@ -42,4 +43,4 @@ class Profile:
 
 
 BROWSER = Profile()
-CLI = replace(BROWSER, frame_floor=0.25, rescue_conf=0.25, text_floor=0.12, reveal_ms=420, read_min_ms=650, read_max_ms=2800, read_per_ink=240_000)
+CLI = replace(BROWSER, frame_floor=0.25, rescue_conf=0.25, text_floor=0.12, text_model_floor=0.12, reveal_ms=420, read_min_ms=650, read_max_ms=2800, read_per_ink=240_000)

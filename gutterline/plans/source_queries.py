@@ -10,6 +10,7 @@ from ..sources import archive, pages
 from ..sources.shared import new_folder
 from ..streaming import session
 from .inputs import DETECTIONS_SQL, detections, table
+from .profiles import BROWSER
 from .registry import query
 from .timeline_queries import dialogue
 
@@ -53,22 +54,28 @@ def manifest_roundtrip(spark, sf):
     return panels.groupBy("book", "page_id").agg(F.count("*").alias("panels"), F.min(F.get("k.bbox", F.lit(0)).cast("long")).alias("least_x"), F.max("k.conf").alias("best"))
 
 
+def session_books(spark, sf):
+    """The frames of each key's session: those of the conversation of its
+    number, a frame for each turn, three to a page."""
+    beat = lambda t, reveals, ms, hold: F.struct(t.cast("long").alias("t"), F.lit(reveals).alias("reveals"), F.lit(ms).cast("long").alias("ms"), hold.cast("long").alias("hold"))
+    enter, reveal, tail, read = BROWSER.enter_ms, BROWSER.reveal_ms, BROWSER.tail_ms, timeline.read_ms(F.col("ink"))
+    beats = F.array(beat(F.lit(0), False, enter, F.lit(0)), beat(F.lit(enter), True, reveal, read), beat(F.lit(enter + reveal) + read, False, 0, F.lit(tail)))
+    frames = dialogue(spark, sf).select("panel", "ord", F.struct(beats.alias("beats"), F.floor(F.col("ord") / 3).cast("long").alias("page"), F.col("ord").cast("string").alias("name")).alias("frame"))
+    return frames.groupBy(F.col("panel").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "frame"))), lambda e: e.frame).alias("frames"))
+
+
 def commands(spark, sf, rows=None):
-    """Commands of each user from its events, with the frames of the
-    conversation of its number: a frame for each turn."""
-    beat = lambda t, reveals: F.struct(t.cast("long").alias("t"), F.lit(reveals).alias("reveals"))
-    turns = dialogue(spark, sf).select("panel", "ord", F.array(beat(F.lit(0), False), beat(F.lit(450), True), beat(F.lit(750) + timeline.read_ms(F.col("ink")), False)).alias("beats"))
-    books = turns.groupBy(F.col("panel").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "beats"))), lambda e: e.beats).alias("frames"))
+    """Commands of each user from its events."""
     kind = F.when(F.col("event_type") == "view", "tick").when(F.col("event_type") == "click", "next").when(F.col("event_type") == "purchase", "reveal_all").when(F.col("event_type") == "signup", "prev").otherwise("seek")
     amount = F.when(F.col("event_type") == "error", F.floor(F.col("value")) % 5).otherwise(F.floor(F.col("value") * 20)).cast("long")
     rows = table(spark, sf, "events") if rows is None else rows
-    asked = rows.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), kind.alias("command"), amount.alias("amount"))
-    return asked.join(books, "key", "left")
+    return rows.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), kind.alias("command"), amount.alias("amount"))
 
 
 @query("r2_director_events")
 def director_events(spark, sf):
-    return session.replayed(commands(spark, sf))
+    asked = commands(spark, sf)
+    return session.replayed(asked, session_books(spark, sf).join(asked.select("key").distinct(), "key", "left_semi"))
 
 
 def event_stream(spark, sf):
@@ -79,7 +86,7 @@ def event_stream(spark, sf):
 @query("r2_director_stream")
 def director_stream(spark, sf):
     """The same events from a stream with a state for each session."""
-    return session.drained(session.replay_stream(commands(spark, sf, event_stream(spark, sf))), new_folder(spark, "director"))
+    return session.drained(session.replay_stream(commands(spark, sf, event_stream(spark, sf)).join(session_books(spark, sf), "key", "left")), new_folder(spark, "director"))
 
 
 @query("r7_window_stream", "with w as (select cast(floor(epoch_us(ts) / cast(10000000 as double)) as bigint) * 10 as start_s, count(*) as marks, count(*) filter (event_type = 'error') as errors, max(cast(floor(value * cast(1000 as double)) as bigint)) as worst from events group by 1) select * from w where start_s + 10 <= (select epoch_us(max(ts)) / 1000000.0 - 60 from events)")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "key long, t long, n long, kind string, frame long, beat long"
-STATE = "frame long, elapsed long, fired long, playing boolean, waiting boolean, seen long"
+STATE = "frame long, elapsed long, fired long, playing boolean, waiting boolean, held boolean, seen long"
+#: How long a frame without beats stays, in ms.
+DEFAULT_HOLD = 4000
 
 
 @dataclass
@@ -27,15 +30,33 @@ class Session:
     fired: int = 0
     playing: bool = True
     waiting: bool = False
+    held: bool = False
     seen: int = 0
 
 
-Beats = list[tuple[int, bool]]  # (time, whether it reveals), by time
+class Beat(NamedTuple):
+    t: int
+    reveals: bool
+    ms: int = 0
+    hold: int = 0
 
 
-def _fire(s: Session, beats: Beats, until: float) -> list[tuple[str, int, int]]:
+@dataclass
+class Frame:
+    """Beats by time; the page and the name of the frame on it."""
+
+    beats: list[Beat]
+    page: int = 0
+    name: str = ""
+
+    def duration(self, fallback: int) -> int:
+        """Until the last of its beats is over and has been held."""
+        return max((b.t + b.ms + b.hold for b in self.beats), default=fallback)
+
+
+def _fire(s: Session, beats: list[Beat], until: float) -> list[tuple[str, int, int]]:
     out = []
-    while s.fired < len(beats) and beats[s.fired][0] <= until:
+    while s.fired < len(beats) and beats[s.fired].t <= until:
         out.append(("beat", s.frame, s.fired))
         s.fired += 1
     return out
@@ -46,9 +67,18 @@ def _seek(s: Session, to: int, n: int) -> list[tuple[str, int, int]]:
     return [("frame", s.frame, -1)]
 
 
-def _next(s: Session, frames: list[Beats], complete: bool) -> list[tuple[str, int, int]]:
-    beats = frames[s.frame]
-    pending = next((t for t, reveals in beats[s.fired :] if reveals), None)
+def first_of_page(frames: list[Frame], page: int, name: str | None = None) -> int | None:
+    """The first frame of a page, or the one of that name if the page has it."""
+    on_page = [i for i, f in enumerate(frames) if f.page == page]
+    return next((i for i in on_page if frames[i].name == name), next(iter(on_page), None))
+
+
+def _next(s: Session, frames: list[Frame], complete: bool) -> list[tuple[str, int, int]]:
+    if s.held:  # this step lets go of what holds the frame
+        s.held = False
+        return []
+    beats = frames[s.frame].beats
+    pending = next((b.t for b in beats[s.fired :] if b.reveals), None)
     if pending is not None:
         s.elapsed = max(s.elapsed, pending)
         return _fire(s, beats, s.elapsed)
@@ -64,17 +94,23 @@ def _next(s: Session, frames: list[Beats], complete: bool) -> list[tuple[str, in
     return out
 
 
-def advance(s: Session, frames: list[Beats], command: str, amount: int = 0, complete: bool = True) -> list[tuple[str, int, int]]:
+def advance(s: Session, frames: list[Frame], command: str, amount: int = 0, complete: bool = True, name: str | None = None, fallback: int = DEFAULT_HOLD, before: list[Frame] | None = None) -> list[tuple[str, int, int]]:
     """Apply one command: tick (by ``amount`` ms), next, prev, seek (to
-    ``amount``), reveal_all, grew, play, pause, toggle.  Events are (kind,
-    frame, beat)."""
+    ``amount``), seek_page (the first frame of page ``amount``), seek_frame
+    (the one of that ``name`` there, or the page), source (``frames`` have
+    taken the place of ``before``: to the same page), hold and release (while
+    a frame is held it doesn't end, and a step only lets go), reveal_all,
+    grew, play, pause, toggle.  Events are (kind, frame, beat)."""
     if not frames:
         return []
-    beats = frames[s.frame]
+    if command == "source":
+        page = before[s.frame].page if before else 0
+        return _seek(s, first_of_page(frames, page) or 0, len(frames))
+    beats = frames[s.frame].beats
     if command == "tick":
         s.elapsed += amount
         out = _fire(s, beats, s.elapsed)
-        if s.playing and not s.waiting and s.elapsed >= (beats[-1][0] if beats else 0):
+        if s.playing and not s.waiting and not s.held and s.elapsed >= frames[s.frame].duration(fallback):
             out += _next(s, frames, complete)
         return out
     if command == "next":
@@ -83,28 +119,34 @@ def advance(s: Session, frames: list[Beats], command: str, amount: int = 0, comp
         return _seek(s, s.frame - 1, len(frames)) if s.frame > 0 else []
     if command == "seek":
         return _seek(s, amount, len(frames))
+    if command in ("seek_page", "seek_frame"):
+        to = first_of_page(frames, amount, name if command == "seek_frame" else None)
+        return [] if to is None else _seek(s, to, len(frames))
     if command == "reveal_all":
-        last = max((t for t, reveals in beats if reveals), default=-1)
+        last = max((b.t for b in beats if b.reveals), default=-1)
         if last < 0:
             return []
         s.elapsed = max(s.elapsed, last)
         return _fire(s, beats, s.elapsed)
     if command == "grew":
         return _seek(s, s.frame + 1, len(frames)) if s.waiting and s.frame < len(frames) - 1 else []
+    if command in ("hold", "release"):
+        s.held = command == "hold"
     if command in ("play", "pause", "toggle"):
         s.playing = {"play": True, "pause": False, "toggle": not s.playing}[command]
     return []
 
 
-def _frames_of(rows: pd.DataFrame) -> list[Beats]:
-    """The session's frames, which each of its commands carries."""
-    first = rows["frames"].iloc[0]
-    return [] if first is None else [[(int(b["t"]), bool(b["reveals"])) for b in frame] for frame in first]
+def _frames_of(rows: pd.DataFrame) -> list[Frame]:
+    """The session's frames, from the first of the rows that carry them."""
+    first = rows["frames"].iloc[0] if len(rows) else None
+    if first is None:
+        return []
+    return [Frame([Beat(int(b["t"]), bool(b["reveals"]), int(b["ms"]), int(b["hold"])) for b in f["beats"]], int(f["page"]), f["name"]) for f in first]
 
 
-def _replayed(s: Session, key: int, rows: pd.DataFrame) -> pd.DataFrame:
+def _replayed(s: Session, key: int, rows: pd.DataFrame, frames: list[Frame]) -> pd.DataFrame:
     out = []
-    frames = _frames_of(rows)
     for row in rows.sort_values(["t", "command"]).itertuples():
         for kind, frame, beat in advance(s, frames, row.command, int(row.amount)):
             out.append((key, row.t, s.seen, kind, frame, beat))
@@ -112,24 +154,26 @@ def _replayed(s: Session, key: int, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "t", "n", "kind", "frame", "beat"])
 
 
-def replayed(commands: DataFrame) -> DataFrame:
-    """Events of all sessions of a table of (key, t, command, amount, frames)."""
+def replayed(commands: DataFrame, books: DataFrame) -> DataFrame:
+    """Events of all sessions: ``commands`` has key, t, command, amount,
+    ``books`` the frames of each key once."""
 
-    def session(key, rows):
-        return _replayed(Session(), key[0], rows)
+    def session(key, rows, book):
+        return _replayed(Session(), key[0], rows, _frames_of(book))
 
-    return commands.groupBy("key").applyInPandas(session, EVENTS)
+    return commands.groupBy("key").cogroup(books.groupBy("key")).applyInPandas(session, EVENTS)
 
 
 def replay_stream(commands: DataFrame) -> DataFrame:
-    """The same over a stream; a session's state is kept from batch to batch."""
+    """The same over a stream of commands that carry their session's frames;
+    its state is kept from batch to batch."""
 
     def session(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = Session(*state.get) if state.exists else Session()
         rows = pd.concat(list(batches))
         if len(rows):
-            yield _replayed(s, key[0], rows)
-        state.update((s.frame, s.elapsed, s.fired, s.playing, s.waiting, s.seen))
+            yield _replayed(s, key[0], rows, _frames_of(rows))
+        state.update((s.frame, s.elapsed, s.fired, s.playing, s.waiting, s.held, s.seen))
 
     return commands.groupBy("key").applyInPandasWithState(session, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 

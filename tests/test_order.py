@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from gutterline.operators.order import join_boxes, lone_panels, place_in_order, topological
+from gutterline.operators.order import join_boxes, lone_panels, outline_share, place_in_order, topological
 
 
 def rect(x, y, w, h):
@@ -65,3 +65,22 @@ def test_lone_panels_fill_the_gap():
     panels = [(0, 0, 1000, 400), (0, 900, 1000, 600)]
     assert lone_panels([(300, 600, 100, 50)], panels, 1000, 1500) == [(0.0, 400, 1000, 500)]
     assert lone_panels([(300, 600, 100, 50), (500, 700, 50, 50)], panels, 1000, 1500) == [(0.0, 400, 1000, 500)]
+
+
+def test_outlines_must_overlap_too():
+    """Two halves of a diagonal cut: their bounds overlap, they don't."""
+    upper, lower = np.array([[0, 0], [100, 0], [0, 400]], float), np.array([[100, 0], [100, 400], [0, 400]], float)
+    boxes = [[0, 0, 100, 400, 0.9], [0, 0, 100, 400, 0.8]]
+    assert join_boxes(boxes, outlines=[upper, lower]) == boxes and len(join_boxes(boxes)) == 1
+    assert len(join_boxes(boxes, outlines=[upper, upper + 5])) == 1 and len(join_boxes(boxes, outlines=[upper, None])) == 1
+    assert abs(outline_share(upper, rect(0, 0, 100, 400)) - 1) < 0.05 and outline_share(upper, rect(200, 0, 9, 9)) == 0
+    assert abs(outline_share(rect(0, 0, 100, 100), rect(50, 0, 100, 100)) - 0.5) < 1e-9
+
+
+def test_box_and_polygon_paths_agree():
+    """A box with a point too many on a side goes the polygon's way."""
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        boxes = [rect(*rng.integers(0, 900, 2), *rng.integers(20, 500, 2)) for _ in range(rng.integers(2, 9))]
+        bent = [np.vstack([b[:1], (b[:1] + b[1:2]) / 2 + [[0, 1e-9]], b[1:]]) for b in boxes]
+        assert place_in_order(boxes) == place_in_order(bent)

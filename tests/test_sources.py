@@ -51,3 +51,14 @@ def test_links(spark):
     assert named("https://h/a", "attachment; filename*=UTF-8''%C3%B1.cbz; filename=x.cbz") == "ñ.cbz"
     assert named("https://h/a", "attachment; filename*=UTF-8''%ZZ; filename=\"x.cbz\"") == "x.cbz"
     assert named("https://h/", None) == "tomo"
+
+
+def test_long_digit_runs_and_characters_beyond_the_first_plane(spark):
+    digits = ["1" + "0" * 20, "9" * 20, "00000000000000000000000007", "8", "2" + "0" * 25]
+    rows = spark.createDataFrame([(f"p{d}.png",) for d in digits], "n string")
+    assert [r[0] for r in rows.orderBy(names.natural_key(F.col("n"))).collect()] == [f"p{d}.png" for d in sorted(digits, key=int)]
+    text, h = "aé\U0001f600", 2166136261
+    raw = text.encode("utf-16-be")
+    for i in range(0, len(raw), 2):
+        h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 % 2**32
+    assert [r[0] for r in spark.createDataFrame([(text,), ("",), (None,)], "n string").select(names.fnv1a(F.col("n"))).collect()] == [h, 2166136261, None]
