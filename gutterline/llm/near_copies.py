@@ -15,7 +15,10 @@ that few texts meet.  The order decides the cost alone, never the result.
 Texts that share a prefix shingle are a bucket.  One of its members is
 compared with each other one that isn't linked to it yet; then all pairs of a
 bucket that these links leave in different components.  What is left out could
-only join what is joined already.  Every link is confirmed on the whole sets.
+only join what is joined already.  Before the first of these a text's root is
+the smallest text that one round of stars finds for it: that spares rounds, and
+costs one comparison at most of each member of a bucket.  Every link is
+confirmed on the whole sets.
 
 Two bounds, both exact, spare most texts the confirmation.  From the first
 shared shingle on, enough must be left of both sets.  And a parity sketch (bit
@@ -137,6 +140,11 @@ def _may_be_alike(similarity: float) -> Column:
     return enough & (differing <= (1 - similarity) / (1 + similarity) * total + 1e-9)
 
 
+def _rooted(links: DataFrame) -> DataFrame:
+    """fp and root of each text that ``links`` join to a smaller one."""
+    return links.groupBy(F.col("b").alias("fp")).agg(F.min("a").alias("root"))
+
+
 def simhash_candidates(sims: DataFrame) -> DataFrame:
     """Operator 8 over rows of fp and sim (a text's SimHash): pairs (a < b) of
     texts, one of each fingerprint with the others of it, and one of each of
@@ -156,7 +164,7 @@ def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHIN
     ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ends = common.stored(texts.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "ends")
     first = common.stored(confirmed(candidates, ends, size, similarity), "first")
-    joined = simhash.components(first).withColumnRenamed("node", "fp")
+    joined = _rooted(simhash.contracted(first))
 
     every = max(1, prints.count() // SAMPLE)
     known, counts = common_shingles(texts.where(F.pmod("fp", F.lit(every)) == 0).dropDuplicates(["fp"]), size)
@@ -177,6 +185,7 @@ def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHIN
     near = common.stored(first.union(confirmed(tried, wanted, size, similarity)), "near")
 
     roots = simhash.components(near).withColumnRenamed("node", "fp")
+    near = roots.select(F.col("root").alias("a"), F.col("fp").alias("b"))
     placed = members.drop("n", "hub", "hub_root", "root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "n")
     mixed = common.stored(_with_values(placed, mixed), "mixed")

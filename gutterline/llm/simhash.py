@@ -120,6 +120,30 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(grouped).union(hubbed).distinct()
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return common.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+
+
+def _starred(state: DataFrame) -> DataFrame:
+    """A large and a small star over edges (u > v); the components stay."""
+    both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+    starred = common.stored(small, "edges")
+    common.released(state)
+    return starred
+
+
+def contracted(links: DataFrame, rounds: int = 1) -> DataFrame:
+    """Links (a, b) with the components of ``links``, after some rounds of stars."""
+    state = _edges(links)
+    for _ in range(rounds):
+        state = _starred(state)
+    return state.select(F.col("v").alias("a"), F.col("u").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 
@@ -127,15 +151,9 @@ def components(edges: DataFrame) -> DataFrame:
     for each node that isn't its own root.  Each round is written to the
     shared folder; it ends when a round changes nothing.
     """
-    state, before = common.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"), None
+    state, before = _edges(edges), None
     while True:
-        both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        past, state = state, common.stored(small, "edges")
-        common.released(past)
+        state = _starred(state)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
