@@ -282,9 +282,7 @@ def rounding(spark, sf):
 @query("t12_last_wins", f"with {EVENTS} select key, tag, max_by(event_id, t) as event_id from ev group by key, tag")
 def last_wins(spark, sf):
     """Maps built from entries in order: the last value of a key stays."""
-    rows = events(spark, sf).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "tag", "event_id"))).alias("e"))
-    latest = F.aggregate("e", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<long>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x.tag), F.create_map(x.tag, x.event_id)))
-    return rows.select("key", F.explode(latest).alias("tag", "event_id"))
+    return events(spark, sf).groupBy("key", "tag").agg(F.max_by("event_id", "t").alias("event_id"))
 
 
 @query("r22_pending_resume", "select conv_id, min(turn) as frame from conversations where turn % 3 = 2 group by conv_id")
@@ -312,10 +310,6 @@ SIZES = (1280, 960, 640)
 
 @query("w7_slow_down", f"with recursive {EVENTS}, s as (select key, row_number() over (partition by key order by t) as i, value > 50 as slow from ev), walk as (select key, cast(0 as bigint) as i, 0 as step, 0 as slow_runs from (select distinct key from s) union all select w.key, s.i, case when s.slow and w.step < 2 and w.slow_runs = 1 then w.step + 1 else w.step end, case when w.step >= 2 then w.slow_runs when s.slow then case when w.slow_runs = 1 then 0 else w.slow_runs + 1 end else w.slow_runs end from walk w join s on s.key = w.key and s.i = w.i + 1), e as (select *, row_number() over (partition by key order by i desc) as n from walk) select key, case step when 0 then 1280 when 1 then 960 else 640 end as size from e where n = 1")
 def slow_down(spark, sf):
-    """Two slow runs at a size step down to the next one."""
-    runs = events(spark, sf).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", (F.col("value") > 50).alias("slow")))).alias("runs"))
-    state = lambda step, slow: F.struct(step.alias("step"), slow.alias("slow"))
-    last = len(SIZES) - 1
-    counted = lambda s, r: F.when((s.step >= last) | ~r.slow, s).when(s.slow == 1, state(s.step + 1, F.lit(0))).otherwise(state(s.step, s.slow + 1))
-    end = F.aggregate("runs", state(F.lit(0), F.lit(0)), counted)
-    return runs.select("key", F.get(F.array(*(F.lit(s) for s in SIZES)), end["step"]).alias("size"))
+    """Two slow runs at a size step down to the next one; the last size stays."""
+    step = F.least(F.floor(F.count_if(F.col("value") > 50) / 2), F.lit(len(SIZES) - 1)).cast("int")
+    return events(spark, sf).groupBy("key").agg(step.alias("step")).select("key", F.get(F.array(*(F.lit(s) for s in SIZES)), F.col("step")).alias("size"))

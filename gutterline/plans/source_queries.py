@@ -14,22 +14,24 @@ from .profiles import BROWSER
 from .registry import query
 from .timeline_queries import dialogue
 
+#: Page numbers to a book: a book stays small, and their number grows with the pages.
+PAGES = 200
 _ENTRY = "'p' || lpad(cast(page_id as varchar(20)), 8, '0') || '.html'"
 
 
-@query("s1_archive_roundtrip", f"select cast(page_id % 7 as varchar) as book, {_ENTRY} as name, cast(octet_length(encode(coalesce(html, ''))) as bigint) as size, sha256(coalesce(html, '')) as digest from pages")
+@query("s1_archive_roundtrip", f"select cast(page_id // {PAGES} as varchar) as book, {_ENTRY} as name, cast(octet_length(encode(coalesce(html, ''))) as bigint) as size, sha256(coalesce(html, '')) as digest from pages")
 def archive_roundtrip(spark, sf):
     """Pages written to an archive for each book and read back."""
     path = new_folder(spark, "books")
-    archive.write_books(table(spark, sf, "pages").select((F.col("page_id") % 7).alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
+    archive.write_books(table(spark, sf, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
     return archive.read_books(spark, path).select("book", "name", "size", F.sha2("data", 256).alias("digest"))
 
 
-@query("s3_archive_listing", f"select cast(page_id % 7 as varchar) as book, count(*) as entries, min({_ENTRY}) as first_name from pages group by 1")
+@query("s3_archive_listing", f"select cast(page_id // {PAGES} as varchar) as book, count(*) as entries, min({_ENTRY}) as first_name from pages group by 1")
 def archive_listing(spark, sf):
     """Entries are listed, not inflated."""
     path = new_folder(spark, "books")
-    archive.write_books(table(spark, sf, "pages").select((F.col("page_id") % 7).alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
+    archive.write_books(table(spark, sf, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
     return archive.listed(spark, path).groupBy("book").agg(F.count("*").alias("entries"), F.min("name").alias("first_name"))
 
 
@@ -43,12 +45,12 @@ def stored_pages(spark, sf):
 
 @query(
     "s18_manifest_roundtrip",
-    f"with {DETECTIONS_SQL} select page_id % 97 as book, page_id, count(*) as panels, min(x) as least_x, max(conf) as best from det where cls = 'frame' group by 1, 2",
+    f"with {DETECTIONS_SQL} select page_id // {PAGES} as book, page_id, count(*) as panels, min(x) as least_x, max(conf) as best from det where cls = 'frame' group by 1, 2",
 )
 def manifest_roundtrip(spark, sf):
     """Panels to one JSON manifest a book, parsed again and flattened."""
     place = (F.row_number().over(Window.partitionBy("page_id").orderBy("det_id")) - 1).alias("place")
-    made = pages.manifests(detections(spark, sf, "frame").select("*", place), F.col("page_id") % 97, (1000, 1500))
+    made = pages.manifests(detections(spark, sf, "frame").select("*", place), F.expr(f"page_id div {PAGES}"), (1000, 1500))
     parsed = made.select("book", pages.parsed_manifest(F.col("manifest")).alias("m")).where(F.size(pages.problems(F.col("m"))) == 0)
     panels = parsed.select("book", F.explode("m.pages").alias("p")).select("book", F.col("p.id").cast("long").alias("page_id"), F.explode("p.panels").alias("k"))
     return panels.groupBy("book", "page_id").agg(F.count("*").alias("panels"), F.min(F.get("k.bbox", F.lit(0)).cast("long")).alias("least_x"), F.max("k.conf").alias("best"))
