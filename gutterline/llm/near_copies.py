@@ -164,6 +164,7 @@ def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHIN
     ends = candidates.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ends = common.stored(texts.join(ends, "fp", "left_semi").dropDuplicates(["fp"]), "ends")
     first = common.stored(confirmed(candidates, ends, size, similarity), "first")
+    common.released(candidates, ends)
     joined = _rooted(simhash.contracted(first))
 
     every = max(1, prints.count() // SAMPLE)
@@ -176,24 +177,28 @@ def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHIN
     buckets = common.stored(rows.groupBy("value").agg(F.count("*").alias("n"), hub.alias("hub"), mixed.alias("mixed")).where("mixed").select("value", "n", F.col("hub.fp").alias("hub"), F.col("hub.root").alias("hub_root")), "buckets")
     bits = sets.select("fp", *(F.col("bits")[i].alias(f"s{i}") for i in range(SKETCH)))
     members = common.stored(_with_values(rows, buckets).join(bits, "fp"), "members")
+    common.released(sets, buckets)
     wanted = common.stored(texts.select("fp", "text").dropDuplicates(["fp"]).join(members.select("fp").distinct(), "fp", "left_semi"), "wanted")
     fits = _may_be_alike(similarity)
 
     hubs = _sided(members.where("fp = hub"), "a", "value", "n", F.col("fp").alias("a"))
     tried = _with_values(_sided(members.where("root <> hub_root"), "b", "value", F.col("fp").alias("b")), hubs).where(fits)
     tried = common.stored(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    near = common.stored(first.union(confirmed(tried, wanted, size, similarity)), "near")
+    near_links = common.stored(first.union(confirmed(tried, wanted, size, similarity)), "near")
+    common.released(first)
 
-    roots = simhash.components(near).withColumnRenamed("node", "fp")
+    roots = simhash.components(near_links).withColumnRenamed("node", "fp")
     near = roots.select(F.col("root").alias("a"), F.col("fp").alias("b"))
     placed = members.drop("n", "hub", "hub_root", "root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "n")
     mixed = common.stored(_with_values(placed, mixed), "mixed")
+    common.released(members, near_links)
     parts = F.ceil(F.col("n") / LARGE_BUCKET)
     left = _sided(mixed, "a", "value", F.pmod(F.xxhash64("fp"), parts).alias("salt"), F.col("fp").alias("a"), F.col("root").alias("root_a"))
     right = _sided(mixed, "b", "value", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), F.col("fp").alias("b"), F.col("root").alias("root_b"))
     others = left.join(right, ["value", "salt"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
     others = common.stored(others.join(tried, ["a", "b"], "left_anti"), "others")
+    common.released(mixed, tried)
     return near.union(confirmed(others, wanted, size, similarity))
 
 
