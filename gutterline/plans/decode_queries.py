@@ -18,7 +18,7 @@ from .more_queries import LIGHT, D, light
 from .profiles import BROWSER
 from .raster_queries import _EIGHT, _FOUR, _components_sql, masks
 from .registry import query
-from .source_queries import _ENTRY
+from .source_queries import _ENTRY, PAGES
 from .timeline_queries import EVENTS, events
 
 WITH = f"with {DETECTIONS_SQL}"
@@ -229,11 +229,11 @@ def gallery(spark, sf):
     return report.cards(_report(spark, sf))
 
 
-@query("s4_archive_entry", f"select cast(page_id % 7 as varchar) as book, {_ENTRY} as name, sha256(coalesce(html, '')) as digest from pages where page_id = 3")
+@query("s4_archive_entry", f"select cast(page_id // {PAGES} as varchar) as book, {_ENTRY} as name, sha256(coalesce(html, '')) as digest from pages where page_id = 3")
 def archive_entry(spark, sf):
     """One entry by name; nothing else is inflated."""
     path = new_folder(spark, "books")
-    archive.write_books(table(spark, sf, "pages").select((F.col("page_id") % 7).alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
+    archive.write_books(table(spark, sf, "pages").select(F.expr(f"page_id div {PAGES}").alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
     return archive.read_books(spark, path).where(F.col("name") == "p00000003.html").select("book", "name", F.sha2("data", 256).alias("digest"))
 
 

@@ -112,10 +112,14 @@ def fx_cli(spark, sf):
 @query("p8_page_frames", "select conv_id, 0 as seq, 'cut' as kind, (rank() over (order by conv_id)) || ' / ' || count(*) over () as label from (select distinct conv_id from conversations)")
 def page_frames(spark, sf):
     """One frame for each page with a single cut, and its label.  Places are
-    counted in ranges of pages, then shifted by the ranges before."""
+    counted in ranges of pages and shifted by the ranges before, these in turn
+    by the spans of ranges before: each window but the last, over a row for
+    each million of page numbers, is bounded."""
     pages = table(spark, sf, "conversations").select("conv_id").distinct().withColumn("range", F.floor(F.col("conv_id") / 1000))
-    sizes = pages.groupBy("range").agg(F.count("*").alias("n"))
-    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    sizes = pages.groupBy("range").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("range") / 1000))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = sizes.groupBy("span").agg(F.sum("n").alias("n")).select("span", earlier(Window.orderBy("span")).alias("spans_before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    before = sizes.withColumn("ranges_before", earlier(Window.partitionBy("span").orderBy("range"))).join(spans, "span").select("range", (F.col("ranges_before") + F.col("spans_before")).alias("before"), "total")
     placed = pages.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("conv_id"))).join(before, "range")
     return placed.select("conv_id", F.lit(0).alias("seq"), F.lit("cut").alias("kind"), F.format_string("%d / %d", F.col("place") + F.col("before"), F.col("total")).alias("label"))
 
