@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, binary_index, byte_bpe, fingerprints, katz, language_id, licenses, packing, pii, simhash
+from . import ann, binary_index, byte_bpe, filter_audit, fingerprints, katz, language_id, licenses, mixing, packing, pii, simhash, spelling
 from .common import table
 
 #: Where the vocabularies are; the same on every machine.
@@ -54,6 +54,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -66,8 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_ann": op9_ann,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_mixing": op11_mixing,
+        "op12_spelling": op12_spelling,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_mixing": mixing.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL}

@@ -8,7 +8,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark, make, monkeypatch):
