@@ -64,6 +64,14 @@ def released(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column, null as empty, without decoding."""
     if isinstance(column, pa.ChunkedArray):

@@ -261,16 +261,28 @@ def calibrate(identifier: Identifier, texts: list[str], langs: list[str]) -> Cal
     return Calibration(usual, between, within, foreign, scale)
 
 
+def even_share(counts: list[int], total: int) -> int:
+    """The most that each may have if ``total`` is shared evenly and none gets more than its count."""
+    share = total
+    for n, count in enumerate(sorted(counts)):
+        share = total // (len(counts) - n)
+        if count >= share:
+            break
+        total -= count
+    return share
+
+
 def sampled_passages(labelled: DataFrame) -> DataFrame:
     """A bounded sample of (lang, passage, at): at most ``PASSAGES`` rows,
-    shared evenly by the languages, each one passage of a text at a place
-    that a hash of the row chooses.  Of more than ``MOST_LANGUAGES`` values of
+    shared evenly by the languages, what one of few rows leaves going to the
+    others, each one passage of a text at a place that a hash of the row
+    chooses.  Of more than ``MOST_LANGUAGES`` values of
     lang, as a dirty column has, those of most rows are learned (of equal ones
     the first by name)."""
     rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "lang").alias("at"))
-    langs = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    rows = rows.where(F.col("lang").isin(langs))
-    each = PASSAGES // (max(1, len(langs)) * BUCKETS)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    rows = rows.where(F.col("lang").isin(list(counts)))
+    each = even_share(list(counts.values()), PASSAGES) // BUCKETS
     # ranked within buckets of a language, so a frequent one is spread; the
     # limit is applied before the shuffle as well
     start = F.pmod(F.shiftright("at", 16), F.greatest(F.char_length("text") - PASSAGE_CHARS, F.lit(0)) + 1) + 1
@@ -358,4 +370,5 @@ def without_rejected(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     models, calibration = fitted(docs.where(~held_out()).select("doc_id", "lang", "text"))
-    return docs.withColumn("__p", predicted(spark, models, calibration, F.col("text"))).where("not __p.rejected").drop("__p")
+    name = common.unused(docs, "predicted")
+    return docs.withColumn(name, predicted(spark, models, calibration, F.col("text"))).where(~F.col(name)["rejected"]).drop(name)

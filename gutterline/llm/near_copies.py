@@ -122,8 +122,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: float)
 
 
 def _with_values(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """Join on value; the values that many rows have are few, and broadcast."""
-    large = rows.join(F.broadcast(values.where(F.col("n") > LARGE_BUCKET)), "value")
+    """Join on value.  Values that many rows have are joined apart: where they
+    turn out few, Spark broadcasts them; where not, it splits their rows."""
+    large = rows.join(values.where(F.col("n") > LARGE_BUCKET), "value")
     return large.union(rows.join(values.where(F.col("n") <= LARGE_BUCKET), "value").select(large.columns))
 
 
@@ -193,10 +194,14 @@ def links(texts: DataFrame, sims: DataFrame, prints: DataFrame, size: int = SHIN
     mixed = placed.groupBy("value").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("value", "n")
     mixed = common.stored(_with_values(placed, mixed), "mixed")
     common.released(members, near_links)
-    parts = F.ceil(F.col("n") / LARGE_BUCKET)
-    left = _sided(mixed, "a", "value", F.pmod(F.xxhash64("fp"), parts).alias("salt"), F.col("fp").alias("a"), F.col("root").alias("root_a"))
-    right = _sided(mixed, "b", "value", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), F.col("fp").alias("b"), F.col("root").alias("root_b"))
-    others = left.join(right, ["value", "salt"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
+    # in a large bucket only sets of near sizes meet: those of a band, or of bands side by side
+    parts, is_large = F.ceil(F.col("n") / LARGE_BUCKET), F.col("n") > LARGE_BUCKET
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1 / similarity)).cast("int")
+    own, bands = F.when(is_large, band).otherwise(0), F.when(is_large, F.array(band - 1, band, band + 1)).otherwise(F.array(F.lit(0)))
+    left = _sided(mixed, "a", "value", F.pmod(F.xxhash64("fp"), parts).alias("salt"), own.alias("band"), F.col("fp").alias("a"), F.col("root").alias("root_a"))
+    spread = mixed.withColumn("band", F.explode(bands)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    right = _sided(spread, "b", "value", "salt", "band", F.col("fp").alias("b"), F.col("root").alias("root_b"))
+    others = left.join(right, ["value", "salt", "band"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
     others = common.stored(others.join(tried, ["a", "b"], "left_anti"), "others")
     common.released(mixed, tried)
     return near.union(confirmed(others, wanted, size, similarity))

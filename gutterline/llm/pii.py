@@ -48,15 +48,15 @@ SPELLED_HINT = re.compile(rf"(?i)\b(?:{_WORD})(?:[ \t,.()-]+|[ \t]+(?:{DOT})[ \t
 DIGIT_WORD = re.compile(rf"(?i)\b(?:{_WORD})\b")
 SPELLED_PIECE = re.compile(rf"(?i)\b(?:{_WORD})\b|\b(?:{DOT})\b|\b(?:{PLUS})\b|[ \t,-]+")
 BRACKETED = re.compile(rf"(?i)(?<![ \t])[ \t]*+[\[({{<][ \t]*+(?:(@|{AT})|(\.|{DOT}))[ \t]*[\])}}>][ \t]*")
-#: An "at", spelled or not, and the label behind it; what may come in front of
-#: it (read backwards); and the labels that follow.
-AT_SIGN = re.compile(rf"(?i)(?:[ \t]+(?:{AT}|@)[ \t]+|@)(?=[a-z0-9-]*\b)")
+#: An "at", spelled or not; a spelled dot at the end of what comes in front of
+#: it; and the labels that follow.
+AT_SIGN = re.compile(rf"(?i)(?:(?<![ \t])[ \t]++(?:{AT}|@)[ \t]++|@)(?=[a-z0-9-]*\b)")
 _SPELLED_DOT = rf"[ \t]{{1,4}}(?:{DOT}|\.)[ \t]{{1,4}}"
-LOCAL_PARTS = re.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+(?:[ \t]{{1,4}}(?:{DOT})[ \t]{{1,4}}[a-z0-9._%+-]+)*\Z")
+DOT_BEFORE = re.compile(rf"(?i)[ \t]{{1,4}}(?:{DOT})[ \t]{{1,4}}\Z")
 DOMAIN_PARTS = re.compile(rf"(?i)[a-z0-9-]+(?:(?:{_SPELLED_DOT}|\.)[a-z0-9-]+)*(?:{_SPELLED_DOT}|\.)(?:(?:{ENDINGS})|[a-z]{{2}})\b")
-#: A local part and its spelled dots are sought in so many characters before the "at".
-LOCAL_CHARS = 80
-MAIL_SIGN = re.compile(rf"(?i)[ \t]+(?:({AT}|@)|({DOT}|\.))[ \t]+")
+#: Characters that hold the longest match of ``DOT_BEFORE``.
+DOT_CHARS = 8 + max(map(len, DOT.split("|")))
+MAIL_SIGN = re.compile(rf"(?i)(?<![ \t])[ \t]++(?:({AT}|@)|({DOT}|\.))[ \t]++")
 # Words that can't be the first label of a spelled address.
 NO_LABELS = frozenset("the a an this that every each his her its my our your their le la les el los las un una une der die das ein eine".split())
 SPELLED_DOTS = re.compile(rf"(?i)\b[0-9]+(?:[ \t]+(?:{DOT})[ \t]+[0-9]+){{3}}\b")
@@ -175,30 +175,44 @@ def _pieces(text: str, within: list[tuple[int, int]]) -> list[tuple[int, int, st
     return [(m.start(), m.end(), _spelled_piece(m)) for a, b in within for m in SPELLED_PIECE.finditer(text, a, b)]
 
 
+def local_part(text: str, end: int, free: int) -> tuple[int, int]:
+    """Where the local part that ends at ``end`` begins, spelled dots taken for
+    dots, and where its last piece does; both are ``end`` if there is none.
+    Not before ``free``."""
+
+    def back(at: int) -> int:
+        while at > free and text[at - 1] in LOCAL:
+            at -= 1
+        return at
+
+    begin = last = back(end)
+    while begin < end and (dot := DOT_BEFORE.search(text, max(free, begin - DOT_CHARS), begin)) and (further := back(dot.start())) < dot.start():
+        begin = further
+    return begin, last
+
+
 def spelled_mails(text: str) -> list[tuple[int, int]]:
     """Stretches that read as an address with a spelled sign, leftmost first.
 
-    Sought from the "at", so in time linear in the text: the part before it
-    within ``LOCAL_CHARS``, dots included where they are spelled on both sides.
+    Sought from the "at", so in time linear in the text: neither what is read
+    back from it nor what follows it goes beyond the next "at".
     """
     out, free = [], 0
     for sign in AT_SIGN.finditer(text):
         if sign.start() < free or not (domain := DOMAIN_PARTS.match(text, sign.end())):
             continue
-        start = max(free, sign.start() - LOCAL_CHARS)
-        local = LOCAL_PARTS.search(text[start : sign.start()])
-        if not local:
+        begin, last_piece = local_part(text, sign.start(), free)
+        if last_piece == sign.start():
             continue
         signs = "@" in sign[0], re.search(rf"(?i)[ \t](?:{DOT})[ \t]", domain[0]) is not None
         first = re.match(r"[a-zA-Z0-9-]*", domain[0])[0].lower()
-        last = re.search(r"[a-zA-Z]+\Z", domain[0])[0].lower()
+        last = re.search(r"[a-zA-Z]+\Z", domain[0][-80:])[0].lower()
         # a plain pair of words around "at" is prose unless the dot gives it away
-        if not (signs[0] or signs[1]) or first in NO_LABELS or not MAIL_SIGN.search(text, sign.start(), domain.end()) and not local[0].count(" "):
+        if not (signs[0] or signs[1]) or first in NO_LABELS or not MAIL_SIGN.search(text, sign.start(), domain.end()) and begin == last_piece:
             continue
         if last not in _ENDINGS and not signs[1]:
             continue
-        begin = start + local.start() if signs[1] else start + local.end() - len(re.search(r"[A-Za-z0-9._%+-]+\Z", local[0])[0])
-        out.append((begin, domain.end()))
+        out.append((begin if signs[1] else last_piece, domain.end()))
         free = domain.end()
     return out
 

@@ -197,9 +197,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
 def smallest_ids(docs: DataFrame, marked: DataFrame, grouped: DataFrame) -> DataFrame:
     """The document of smallest id of each component in ``grouped``;
     ``marked`` has doc_id, digest (of the text) and fp of each document."""
-    digest = F.xxhash64("text")
+    names = {n: common.unused(docs, n) for n in ("first_id", "first_digest", "own_digest")}
     first = marked.join(grouped, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.digest").alias("__digest"))
-    rows = docs.withColumn("__key", digest)
-    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__digest")))
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = first.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select(F.col("of.doc_id").alias(names["first_id"]), F.col("of.digest").alias(names["first_digest"]))
+    rows = docs.withColumn(names["own_digest"], F.xxhash64("text"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col(names["first_id"])) & (F.col(names["own_digest"]) == F.col(names["first_digest"])))
+    return kept.dropDuplicates(["doc_id", names["own_digest"]]).select(*[F.col(f"`{c}`") for c in docs.columns])

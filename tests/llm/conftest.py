@@ -3,7 +3,7 @@ import pytest
 pytest.importorskip("gutterline.llm")
 
 #: Columns that clash with names that the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, bucket string, block string, rank string, span string, held string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, bucket string, block string, rank string, span string, held string, own_digest string, predicted string, __key string, __p string"
 
 
 @pytest.fixture(scope="session")
@@ -11,7 +11,7 @@ def make(spark):
     """Documents from (doc_id, text) or (doc_id, text, lang), with clashing extra columns."""
 
     def build(*rows):
-        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", None, None, *["x"] * 7) for r in rows]
+        full = [(r[0], r[1], r[2] if len(r) > 2 else "en", None, None, *["x"] * 11) for r in rows]
         return spark.createDataFrame(full, SCHEMA)
 
     return build

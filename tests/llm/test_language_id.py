@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gutterline.llm import language_id as L
@@ -60,3 +61,8 @@ def test_probabilities_sum_to_one():
 
 def test_odd_documents(odd):
     assert L.identify(odd).count() == 13
+
+
+@pytest.mark.parametrize(("counts", "total", "share"), [([1000] * 4, 1600, 400), ([1] * 96 + [1000] * 4, 1600, 376), ([5, 5], 100, 95), ([], 10, 10)])
+def test_shares_of_the_sample(counts, total, share):
+    assert L.even_share(counts, total) == share and sum(min(c, share) for c in counts) <= total

@@ -77,6 +77,30 @@ def test_long_runs_take_linear_time(text):
     assert time.monotonic() - began < 10
 
 
+@pytest.mark.parametrize("trigger", ["write to a@b.com", "ask jo at", "jo dot", "see [", "one two", "1 dot 2", "plus", "jo at x dot com"])
+def test_runs_behind_each_trigger_take_linear_time(trigger):
+    for run in (" ", "\t", ".", "1", "-", "a ", "dot ", " at ", "@", "one ", "( "):
+        long = run * (200_000 // len(run))
+        for text in (f"{trigger} {long}x", f"{trigger}{long}", f"{long}{trigger} x"):
+            began = time.monotonic()
+            pii.spans(text)
+            assert time.monotonic() - began < 5, (trigger, run)
+
+
+@pytest.mark.parametrize("run", [" ", "\t", ".", "1"])
+def test_two_million_of_a_kind(run):
+    began = time.monotonic()
+    for trigger in ("a@b.com", "dot", "at"):
+        pii.spans(f"to {trigger} now{run * 2_000_000}x")
+    assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("local", ["ab dot " * 20 + "zz", "x" * 300, "a.b" * 50 + " dot " + "y" * 90])
+def test_long_local_parts_are_whole(local):
+    base, more = pii.spans(f"to {local} at example dot org now")
+    assert base == [] and more == [(3, 0, 3 + len(local) + len(" at example dot org"))]
+
+
 @pytest.mark.parametrize(("piece", "added"), [("jo [at] mail [dot] com, plain a.b@c.de; ", 1), ("jane dot doe at example dot org and ", 1), ("one nine two dot one six eight dot one dot one; ", 1), ("call 4111 1111 1111 1111 or jo@x\u0430.de. ", 1)])
 def test_many_matches_take_linear_time(make, piece, added):
     text = piece * (2_000_000 // len(piece))
