@@ -141,6 +141,14 @@ def samples_inside(outer: Box, inner: Box, per_side: int = 6) -> Column:
     return count(inner.x, inner.w, outer.x, outer.right) * count(inner.y, inner.h, outer.y, outer.bottom)
 
 
+def samples_in_polygon(polygon: Column, inner: Box, per_side: int = 6) -> Column:
+    """How many of a grid of points over ``inner``, edges included, lie in a polygon."""
+    step = lambda start, size, k: start.cast("double") + size.cast("double") * k.cast("double") / (per_side - 1)
+    places = F.sequence(F.lit(0), F.lit(per_side * per_side - 1))
+    held = lambda k: contains(polygon, step(inner.x, inner.w, F.floor(k / per_side)), step(inner.y, inner.h, k % per_side))
+    return F.size(F.filter(places, held))
+
+
 def tension(ink: Column, jagged: Column, tilted: Column) -> Column:
     """0 to 1: half ink, three tenths ragged outline, two tenths tilt."""
     unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))

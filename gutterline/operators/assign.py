@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import Box, samples_inside
+from ..functions.geometry import Box, contains, samples_in_polygon, samples_inside
 from ..plans.profiles import BROWSER, Profile
 from .detections import inside, overlaps, ranked_by_confidence
 
@@ -40,37 +40,47 @@ def nearest_panels(boxes: DataFrame, panels: DataFrame) -> DataFrame:
 def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER) -> DataFrame:
     """The panels that own each box, and by which rule.
 
-    A panel with nearly all of it owns it alone, the smallest of several.
-    Else, if some panel has half of it, all with a quarter do, detected panels
-    before filled-in ones.  Else the box that overlaps most, detected panels
-    first; else the nearest.  Shares count sample points in the panel.
+    A tail's tip in a single panel that the box touches decides.  Else a panel
+    with nearly all of the box owns it alone, the smallest of several.  Else,
+    if some panel has half of it, all with a quarter share it, detected panels
+    before filled-in ones, unless its focus lies in one of several.  Else the
+    panel that overlaps most has it, detected ones first; else the nearest.
+
+    Shares count sample points in the panel's ``polygon``, or in its box where
+    panels have no such column; ``tail`` and ``focus`` are columns of boxes,
+    structs of x and y that can be null or absent.  One row for each box and
+    rule's minimum is kept while panels are looked at, so a box's panels meet
+    in one aggregation.
     """
-    pairs = boxes.select("page_id", F.struct("det_id", *"xywh").alias("a")).join(panels.select("page_id", F.struct("det_id", "conf", *"xywh").alias("b")), "page_id")
-    a, b = Box.field(F.col("a")), Box.field(F.col("b"))
-    rows = pairs.withColumn("hits", samples_inside(b, a)).withColumn("inter", a.intersection(b)).withColumn("area", b.area).withColumn("seen", F.col("b.conf") >= profile.rescue_conf)
-    box = Window.partitionBy("page_id", "a.det_id")
-    first = lambda *order: F.row_number().over(box.orderBy(*order)) == 1
-    points = 36
-    whole, clear, shared = (F.col("hits") >= share * points for share in (profile.whole_share, profile.clear_share, profile.shared_share))
-    some = lambda c: F.max(c.cast("int")).over(box) == 1
-    rows = rows.withColumns(
-        {
-            "any_whole": some(whole), "any_clear": some(clear), "any_seen_shared": some(shared & F.col("seen")),
-            "any_seen_touch": some((F.col("inter") > 0) & F.col("seen")), "any_touch": some(F.col("inter") > 0),
-            "smallest": first(F.desc(whole), "area", "b.det_id"), "most_seen": first(F.desc("seen"), F.desc("inter"), "b.det_id"), "most": first(F.desc("inter"), "b.det_id"),
-        }
-    )
+    point = lambda name: F.col(name).alias(name) if name in boxes.columns else F.lit(None).cast("struct<x: double, y: double>").alias(name)
+    shaped = "polygon" in panels.columns
+    left = boxes.select("page_id", F.struct("det_id", *"xywh", point("tail"), point("focus")).alias("a"))
+    right = panels.select("page_id", F.struct("det_id", "conf", *"xywh", *(["polygon"] if shaped else [])).alias("b"))
+    pairs, a, b = left.join(right, "page_id"), Box.field(F.col("a")), Box.field(F.col("b"))
+    outline = F.col("b.polygon") if shaped else b.polygon()
+    holds = lambda name: F.coalesce(contains(outline, F.col(f"a.{name}.x").cast("double"), F.col(f"a.{name}.y").cast("double")) & F.col(f"a.{name}").isNotNull(), F.lit(False))
     dx = F.greatest(b.x * 2 - (a.x * 2 + a.w), F.lit(0), a.x * 2 + a.w - b.right * 2)
     dy = F.greatest(b.y * 2 - (a.y * 2 + a.h), F.lit(0), a.y * 2 + a.h - b.bottom * 2)
-    rows = rows.withColumn("nearest", first(dx * dx + dy * dy, "b.det_id"))
-    rule = (
-        F.when(F.col("any_whole"), F.when(F.col("smallest"), "whole"))
-        .when(F.col("any_clear"), F.when(shared & (F.col("seen") | ~F.col("any_seen_shared")), "shared"))
-        .when(F.col("any_seen_touch"), F.when(F.col("most_seen"), "box"))
-        .when(F.col("any_touch"), F.when(F.col("most"), "box"))
-        .otherwise(F.when(F.col("nearest"), "nearest"))
-    )
-    return rows.withColumn("rule", rule).where("rule is not null").select("page_id", F.col("a.det_id").alias("box_id"), F.col("b.det_id").alias("panel_id"), "rule")
+    facts = pairs.select(
+        "page_id", F.col("a.det_id").alias("box_id"), F.col("b.det_id").alias("panel_id"), a.intersection(b).alias("inter"), b.area.alias("area"), (dx * dx + dy * dy).alias("gap"),
+        (samples_in_polygon(outline, a) if shaped else samples_inside(b, a)).alias("hits"), (F.col("b.conf") >= profile.rescue_conf).alias("seen"), holds("tail").alias("tailed"), holds("focus").alias("focused"),
+    )
+    whole, clear, shared = (F.col("hits") >= share * 36 for share in (profile.whole_share, profile.clear_share, profile.shared_share))
+    pointed, touched = F.col("tailed") & (F.col("inter") > 0), F.col("inter") > 0
+    best = lambda when, value: F.min(F.when(when, F.struct(value.alias("value"), "panel_id")))["panel_id"]
+    found = facts.groupBy("page_id", "box_id").agg(
+        F.count_if(pointed).alias("tails"), best(pointed, F.lit(0)).alias("tail"), best(whole, F.col("area")).alias("whole"), F.coalesce(F.bool_or(clear), F.lit(False)).alias("clear"),
+        F.collect_list(F.when(shared, F.struct("panel_id", "seen", "focused"))).alias("sharing"), best(touched & F.col("seen"), -F.col("inter")).alias("seen_box"), best(touched, -F.col("inter")).alias("box"), best(F.lit(True), F.col("gap")).alias("nearest"),
+    )
+    found = found.withColumn("seen_sharing", F.filter("sharing", lambda p: p.seen)).withColumn("sharing", F.when(F.size("seen_sharing") > 0, F.col("seen_sharing")).otherwise(F.col("sharing")))
+    found = found.withColumn("in_focus", F.filter("sharing", lambda p: p.focused))
+    one, ids = (lambda c: F.array(F.col(c))), (lambda c: F.transform(c, lambda p: p.panel_id))
+    rules = (
+        ("tail", F.col("tails") == 1, one("tail")), ("whole", F.col("whole").isNotNull(), one("whole")), ("focus", F.col("clear") & (F.size("sharing") > 1) & (F.size("in_focus") == 1), ids("in_focus")),
+        ("shared", F.col("clear"), ids("sharing")), ("box", F.col("seen_box").isNotNull(), one("seen_box")), ("box", F.col("box").isNotNull(), one("box")), ("nearest", F.lit(True), one("nearest")),
+    )
+    chosen = F.coalesce(*(F.when(when, F.struct(F.lit(name).alias("rule"), panels.alias("panels"))) for name, when, panels in rules))
+    return found.select("page_id", "box_id", chosen.alias("chosen")).select("page_id", "box_id", F.explode("chosen.panels").alias("panel_id"), "chosen.rule")
 
 
 def framed(panels: DataFrame, owned: DataFrame) -> DataFrame:

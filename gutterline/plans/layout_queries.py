@@ -133,6 +133,46 @@ def owner_cascade(spark, sf):
     return assign.owners(_one(spark, sf, "balloon"), _one(spark, sf, "frame"))
 
 
+_SLANT = "floor(w * cast(det_id % 3 as double) / 8)"
+_SHAPES = f"""shapes as (select *, [{{'x': x + {_SLANT}, 'y': cast(y as double)}}, {{'x': cast(x + w as double), 'y': cast(y as double)}}, {{'x': x + w - {_SLANT}, 'y': cast(y + h as double)}}, {{'x': cast(x as double), 'y': cast(y + h as double)}}] as poly from det where cls = 'frame')"""
+_INSIDE = "len(list_filter([0, 1, 2, 3], lambda e: (poly[e + 1].y > {y}) <> (poly[(e + 1) % 4 + 1].y > {y}) and {x} < (poly[(e + 1) % 4 + 1].x - poly[e + 1].x) * ({y} - poly[e + 1].y) / nullif(poly[(e + 1) % 4 + 1].y - poly[e + 1].y, 0) + poly[e + 1].x)) % 2 = 1"
+_SHAPED_OWNERS = f"""{_HELD}, {_SHAPES},
+focused as (select h.page_id, h.balloon_id, min_by(t.x + t.w / cast(2 as double), t.det_id) as fx, min_by(t.y + t.h / cast(2 as double), t.det_id) as fy from held h join det t on t.page_id = h.page_id and t.det_id = h.text_id where h.n = 1 group by all),
+boxes as (select d.*, case when d.x % 3 = 0 then d.x + d.w / cast(2 as double) end as tx, case when d.x % 3 = 0 then cast(d.y + d.h + 40 as double) end as ty, fx, fy from det d left join focused f on f.page_id = d.page_id and f.balloon_id = d.det_id where d.cls = 'balloon'),
+points as (select i, j from (select unnest(range(6)) as i), (select unnest(range(6)) as j)),
+shares as (select a.page_id, a.det_id as box_id, b.det_id as panel_id, count(*) filter ({_INSIDE.format(x="(a.x + a.w * cast(i as double) / 5)", y="(a.y + a.h * cast(j as double) / 5)")}) as hits from boxes a join shapes b on b.page_id = a.page_id, points group by all),
+facts as (select s.*, {overlap_sql("a", "b")} as inter, b.w * b.h as area, {_GAP} as gap, b.conf >= cast(0.08 as double) as seen, coalesce({_INSIDE.format(x="tx", y="ty")} and tx is not null, false) as tailed, coalesce({_INSIDE.format(x="fx", y="fy")} and fx is not null, false) as focused
+ from shares s join boxes a on a.page_id = s.page_id and a.det_id = s.box_id join shapes b on b.page_id = s.page_id and b.det_id = s.panel_id),
+sums as (select page_id, box_id, count(*) filter (tailed and inter > 0) as tails, max(hits) as top, count(*) filter (hits >= 9 and seen) > 0 as seen_shared, count(*) filter (inter > 0 and seen) > 0 as seen_touch, count(*) filter (inter > 0) > 0 as touch from facts group by all),
+sharers as (select f.page_id, f.box_id, f.panel_id, f.focused, count(*) over w as n, count(*) filter (f.focused) over w as n_focused from facts f join sums s on s.page_id = f.page_id and s.box_id = f.box_id where s.top >= 18 and f.hits >= 9 and (f.seen or not s.seen_shared) window w as (partition by f.page_id, f.box_id)),
+owned as (select f.page_id, f.box_id, f.panel_id, case when tails = 1 then case when f.tailed and inter > 0 then 'tail' end
+  when top >= 27 then case when row_number() over (partition by f.page_id, f.box_id order by (hits >= 27) desc, area, f.panel_id) = 1 then 'whole' end
+  when top >= 18 then case when h.n > 1 and h.n_focused = 1 then case when h.focused then 'focus' end when h.n is not null then 'shared' end
+  when seen_touch then case when row_number() over (partition by f.page_id, f.box_id order by seen desc, inter desc, f.panel_id) = 1 then 'box' end
+  when touch then case when row_number() over (partition by f.page_id, f.box_id order by inter desc, f.panel_id) = 1 then 'box' end
+  when row_number() over (partition by f.page_id, f.box_id order by gap, f.panel_id) = 1 then 'nearest' end as rule
+ from facts f join sums s on s.page_id = f.page_id and s.box_id = f.box_id left join sharers h on h.page_id = f.page_id and h.box_id = f.box_id and h.panel_id = f.panel_id)"""
+
+
+def shaped_frames(frames: DataFrame) -> DataFrame:
+    """Frames with a slanted outline in their box."""
+    slant = F.floor(F.col("w") * (F.col("det_id") % 3).cast("double") / 8)
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y, right, bottom = F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    return frames.withColumn("polygon", F.array(corner(x + slant, y), corner(right, y), corner(right - slant, bottom), corner(x, bottom)))
+
+
+@query("j8_owner_shapes", f"{WITH}, {_SHAPED_OWNERS} select page_id, box_id, panel_id, rule from owned where rule is not null")
+def owner_shapes(spark, sf):
+    """Owners by outline, by the tail's tip and by the centre of the first text that a balloon holds."""
+    texts, balloons = _one(spark, sf, "text"), _one(spark, sf, "balloon")
+    centre = F.struct((F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") / 2).alias("y"))
+    held = assign.texts_in_balloons(texts, balloons).join(texts.select("page_id", F.col("det_id").alias("text_id"), centre.alias("centre")), ["page_id", "text_id"])
+    focus = held.groupBy("page_id", F.col("balloon_id").alias("det_id")).agg(F.min_by("centre", "text_id").alias("focus"))
+    tail = F.when(F.col("x") % 3 == 0, F.struct((F.col("x") + F.col("w") / 2).alias("x"), (F.col("y") + F.col("h") + 40).cast("double").alias("y")))
+    return assign.owners(balloons.withColumn("tail", tail).join(focus, ["page_id", "det_id"], "left"), shaped_frames(_one(spark, sf, "frame")))
+
+
 @query("j9_nearest_box", f"""{WITH}, p as (select a.page_id, a.det_id as box_id, b.det_id as panel_id, cast({_GAP} as bigint) as gap4 from det a join det b on a.page_id = b.page_id and b.cls = 'frame' where a.cls = 'text')
  select page_id, box_id, panel_id, gap4 from (select *, row_number() over (partition by page_id, box_id order by gap4, panel_id) as n from p) where n = 1""")
 def nearest_box(spark, sf):

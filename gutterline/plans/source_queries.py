@@ -80,6 +80,42 @@ def director_events(spark, sf):
     return session.replayed(asked, session_books(spark, sf).join(asked.select("key").distinct(), "key", "left_semi"))
 
 
+def played_rows(spark, sf, rows=None):
+    """Frames and commands of sessions over books that grow: the frames of a
+    session, by panel and by page, come evenly over the time of its events."""
+    events = table(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    times = events.groupBy("key").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    books = session_books(spark, sf).join(times, "key")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    at = F.col("first") + F.floor((F.col("last") - F.col("first")) * F.col("pos") / F.size("frames"))
+    panels = books.select("*", F.posexplode("frames").alias("pos", "f")).select("key", at.alias("t"), F.lit("frame").alias("kind"), F.lit("panels").alias("source"), nothing("long").alias("amount"), F.col("f.name").alias("name"), F.col("f.page").alias("page"), F.to_json("f.beats").alias("beats"))
+    pages = panels.groupBy("key", "page").agg(F.min("t").alias("t"), F.min_by("beats", "t").alias("beats")).select("key", "t", F.lit("frame").alias("kind"), F.lit("whole").alias("source"), nothing("long").alias("amount"), F.concat(F.lit("p"), F.col("page").cast("string")).alias("name"), "page", "beats")
+    closed = books.select("key", F.col("last").alias("t"), F.lit("close").alias("kind"), F.explode(F.array(F.lit("panels"), F.lit("whole"))).alias("source"), nothing("long").alias("amount"), nothing("string").alias("name"), nothing("long").alias("page"), nothing("string").alias("beats"))
+    rows = table(spark, sf, "events") if rows is None else rows
+    value = F.floor(F.col("value")).cast("long")
+    kind = F.when(F.col("event_type") == "view", "tick").when(F.col("event_type") == "click", "next").when(F.col("event_type") == "purchase", "reveal_all").when(F.col("event_type") == "signup", "source").otherwise("seek_frame")
+    name = F.when(kind == "source", F.when(value % 2 == 0, "whole").otherwise("panels")).otherwise((value % 7).cast("string"))
+    asked = rows.select(F.col("user_id").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), kind.alias("kind"), nothing("string").alias("source"), F.when(kind == "tick", value * 20).otherwise(value % 3).alias("amount"), name.alias("name"), nothing("long").alias("page"), nothing("string").alias("beats"))
+    return panels.unionByName(pages).unionByName(closed), asked
+
+
+@query("r4_growing_sessions")
+def growing_sessions(spark, sf):
+    """Sessions that wait at the edge of a growing book, go on when it grows, and change sources."""
+    frames, asked = played_rows(spark, sf)
+    return session.played(frames.unionByName(asked))
+
+
+@query("r5_growing_stream")
+def growing_stream(spark, sf):
+    """The same from two streams, of frames and of commands, into one state."""
+    folder = new_folder(spark, "growing")
+    frames, asked = played_rows(spark, sf, event_stream(spark, sf))
+    frames.write.parquet(f"{folder}/frames")
+    coming = spark.readStream.schema(frames.schema).parquet(f"{folder}/frames")
+    return session.drained(session.played(coming.unionByName(asked)), folder)
+
+
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
     return spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")

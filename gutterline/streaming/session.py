@@ -4,18 +4,24 @@ A session replays frames by commands.  ``advance`` is the whole state
 machine: state and one command in, new state and events out.  It runs under
 ``applyInPandasWithState`` on a stream and under ``applyInPandas`` on a table;
 both give the same events.
+
+Books that grow while they are read are sessions of their own: frames and
+commands are rows of one table or stream, and ``played`` keeps the frames so
+far in a list state beside the session's.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 EVENTS = "key long, t long, n long, kind string, frame long, beat long"
 STATE = "frame long, elapsed long, fired long, playing boolean, waiting boolean, held boolean, seen long"
@@ -48,6 +54,8 @@ class Frame:
     beats: list[Beat]
     page: int = 0
     name: str = ""
+    #: What the beats were read from, where they came as JSON.
+    text: str = ""
 
     def duration(self, fallback: int) -> int:
         """Until the last of its beats is over and has been held."""
@@ -178,6 +186,96 @@ def replay_stream(commands: DataFrame) -> DataFrame:
     return commands.groupBy("key").applyInPandasWithState(session, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: What grows and what is asked, in one table: a ``frame`` row brings a frame of
+#: a source (its page, name and beats as JSON), a ``close`` row says that the
+#: source is complete, any other kind is a command with its amount or name.
+PLAYED = "key long, t long, kind string, source string, amount long, name string, page long, beats string"
+_FRAME = "source string, page long, name string, beats string"
+
+
+@dataclass
+class Shelf:
+    """The frames so far of each source, which sources are complete, and which is played."""
+
+    frames: dict[str, list[Frame]] = field(default_factory=dict)
+    closed: set[str] = field(default_factory=set)
+    source: str | None = None
+
+    def add(self, source: str, page: int, name: str, beats: str) -> None:
+        self.frames.setdefault(source, []).append(Frame([Beat(int(b["t"]), bool(b["reveals"]), int(b["ms"]), int(b["hold"])) for b in json.loads(beats or "[]")], page, name, beats))
+
+    def answer(self, s: Session, row) -> list[tuple[str, int, int]]:
+        """The events of one row.  A session plays the source of its first
+        frame; a frame that comes to the played source wakes who waits for it."""
+        if row.kind == "frame":
+            self.add(row.source, int(row.page), row.name, row.beats)
+            self.source = row.source if self.source is None else self.source
+            return advance(s, self.frames[row.source], "grew") if row.source == self.source else []
+        if row.kind == "close":
+            self.closed.add(row.source)
+            return []
+        playing = self.frames.get(self.source, [])
+        if row.kind == "source":
+            if not (to := self.frames.get(row.name)):
+                return []
+            self.source = row.name
+            return advance(s, to, "source", before=playing)
+        return advance(s, playing, row.kind, int(row.amount or 0), complete=self.source in self.closed, name=row.name)
+
+
+def _answered(key: int, rows: pd.DataFrame, s: Session, shelf: Shelf) -> pd.DataFrame:
+    """Events of rows of one session, in their order."""
+    rows = rows.assign(rank=rows["kind"].map({"frame": 0, "close": 1}).fillna(2)).sort_values(["t", "rank", "kind", "source", "page", "name", "amount"], kind="stable").astype(object)
+    out = []
+    for row in rows.where(rows.notna(), None).itertuples():
+        for kind, frame, beat in shelf.answer(s, row):
+            out.append((key, row.t, s.seen, kind, frame, beat))
+            s.seen += 1
+    return pd.DataFrame(out, columns=["key", "t", "n", "kind", "frame", "beat"])
+
+
+class Playback(StatefulProcessor):
+    """A session over a book that grows: its own state, and a list of frames to which batches only add."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.session = handle.getValueState("session", f"{STATE}, source string, closed string")
+        self.frames = handle.getListState("frames", _FRAME)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        shelf, s = Shelf(), Session()
+        if self.session.exists():
+            *kept, shelf.source, closed = self.session.get()
+            s, shelf.closed = Session(*kept), set(json.loads(closed))
+            for frame in self.frames.get():
+                shelf.add(*frame)
+        before = {source: len(frames) for source, frames in shelf.frames.items()}
+        yield _answered(key[0], pd.concat(list(rows)), s, shelf)
+        if added := [(source, f.page, f.name, f.text) for source, frames in shelf.frames.items() for f in frames[before.get(source, 0) :]]:
+            self.frames.appendList(added)
+        self.session.update((s.frame, s.elapsed, s.fired, s.playing, s.waiting, s.held, s.seen, shelf.source, json.dumps(sorted(shelf.closed))))
+
+    def close(self) -> None:
+        pass
+
+
+def played(rows: DataFrame) -> DataFrame:
+    """Events of sessions over growing books, from rows like ``PLAYED``: a
+    table, or a stream, whose state store has to keep lists (RocksDB).
+
+    Rows of a session are taken by time, frames before what is asked at that
+    time; frames of one time come by source, page and name.  A stream's batch
+    is taken whole before the next one.
+    """
+    rows = rows.select([c.split()[0] for c in PLAYED.split(", ")])
+    if rows.isStreaming:
+        return rows.groupBy("key").transformWithStateInPandas(Playback(), EVENTS, "Append", "None")
+
+    def session(key, own):
+        return _answered(key[0], own, Session(), Shelf())
+
+    return rows.groupBy("key").applyInPandas(session, EVENTS)
+
+
 def frame_windows(marks: DataFrame, late: str = "1 minute") -> DataFrame:
     """Tumbling windows of ten seconds over (ts, event_type, value): rows,
     errors and the worst value.  Rows later than the watermark are dropped."""
@@ -189,6 +287,10 @@ def frame_windows(marks: DataFrame, late: str = "1 minute") -> DataFrame:
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into Parquet files; their rows."""
     spark = stream.sparkSession
+    keeper = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(keeper)
+    spark.conf.set(keeper, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # the query takes it when it starts
     running = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
+    spark.conf.set(keeper, before)
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
