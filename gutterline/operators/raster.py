@@ -77,10 +77,11 @@ def labels(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Connected parts of a 0/1 mask, numbered from 1 in scan order."""
     out = np.zeros(mask.shape, int)
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    number = 0
     for start in zip(*np.nonzero(mask), strict=True):
         if out[start]:
             continue
-        number, queue = out.max() + 1, deque([start])
+        number, queue = number + 1, deque([start])
         out[start] = number
         while queue:
             y, x = queue.popleft()

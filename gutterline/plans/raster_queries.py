@@ -1,11 +1,14 @@
-"""Queries over 8 x 8 rasters from the embeddings."""
+"""Queries over 8 x 8 rasters from the embeddings, and over pages drawn from the detections."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators import raster
-from .inputs import table
+from ..functions import geometry as g
+from ..operators import page_rasters, raster
+from .inputs import detections, table
 from .registry import query
 
 GRID = """px as (select vec_id, cast(i as int) as p, cast(i % 8 as int) as x, cast(i // 8 as int) as y, case when cast(embedding[i + 1] as double) < cast(-0.1 as double) then 1 else 0 end as v from embeddings, range(64) r(i))"""
@@ -114,3 +117,61 @@ def mask_polygon(spark, sf):
 @query("g6_pockets")
 def pockets(spark, sf):
     return raster.pockets(masks(spark, sf))
+
+
+#: Pixels of a drawn page, and units of the detections to a pixel.
+WIDE, HIGH, UNITS = 100, 180, 10
+
+
+def drawn_pages(spark, sf):
+    """(page_id, width, light): each page's detections as a picture.  Frames
+    are dark, balloons outlined paper, a third of them with a tail below,
+    texts lines of ink."""
+    def drawn(dets: list[dict]) -> bytes:
+        light = np.full((HIGH, WIDE), 255, np.uint8)
+        for r in sorted(dets, key=lambda r: (r["layer"], r["det_id"])):
+            left, top, right, bottom = (v // UNITS for v in (r["x"], r["y"], r["x"] + r["w"], r["y"] + r["h"]))
+            part, tail = light[top : bottom + 10, left:right], r["x"] % 3 == 0
+            y, x = np.mgrid[top : top + part.shape[0], left : left + part.shape[1]]
+            if r["cls"] == "frame":
+                part[y < bottom] = 60
+            elif r["cls"] == "text":
+                part[(y < bottom) & (y % 3 == 1)] = 0
+            else:
+                cx, cy = (left + right) / 2, (top + bottom) / 2
+                far, off = np.hypot((x + 0.5 - cx) / ((right - left) / 2), (y + 0.5 - cy) / ((bottom - top) / 2)), np.abs(x + 0.5 - cx)
+                spike, rim = ((off < (end - y) / 3) & (y >= cy) & (y < end) & tail for end in (bottom + 7, bottom + 10))
+                part[(far < 1) | rim] = 0
+                part[(far < 0.8) | spike] = 255
+        return light.tobytes()
+
+    def draw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([WIDE] * len(batch), pa.int64()), pa.array([drawn(d) for d in batch.column(1).to_pylist()], pa.binary())], names=["page_id", "width", "light"])
+
+    layer = F.when(F.col("cls") == "frame", 0).when(F.col("cls") == "balloon", 1).otherwise(2)
+    rows = detections(spark, sf).groupBy("page_id").agg(F.collect_list(F.struct("det_id", "cls", *"xywh", layer.alias("layer"))).alias("dets"))
+    return rows.mapInArrow(draw, "page_id long, width long, light binary")
+
+
+@query("g7_fill_orphans")
+def fill_orphans(spark, sf):
+    """Panels for drawn zones that none of the chosen frames, a third of them, covers; others lend their shape."""
+    frames = detections(spark, sf, "frame").withColumn("chosen", F.col("det_id") % 3 == 0).withColumn("polygon", g.Box.of().polygon())
+    return page_rasters.orphan_panels(drawn_pages(spark, sf), frames, (WIDE * UNITS, HIGH * UNITS))
+
+
+@query("m23_balloon_tails")
+def balloon_tails(spark, sf):
+    """Tips of the tails that balloons have in the picture, outside their outlines."""
+    cx, cy = (F.col("x") + F.col("w") / 2) / UNITS, (F.col("y") + F.col("h") / 2) / UNITS
+    turn = lambda k: F.lit(2 * np.pi) * k / 24
+    corner = lambda k: F.struct((cx + F.col("w") / 2 / UNITS * F.cos(turn(k))).alias("x"), (cy + F.col("h") / 2 / UNITS * F.sin(turn(k))).alias("y"))
+    return page_rasters.balloon_tails(drawn_pages(spark, sf), detections(spark, sf, "balloon").withColumn("polygon", F.transform(F.sequence(F.lit(0), F.lit(23)), corner)))
+
+
+@query("m29_paper_pockets")
+def paper_pockets(spark, sf):
+    """Which texts lie in a pocket of the picture's paper, or what stands against it."""
+    texts = detections(spark, sf, "text").select("page_id", "det_id", *((F.col(c) / UNITS).alias(c) for c in "xywh"))
+    return page_rasters.paper_pockets(drawn_pages(spark, sf), texts)
