@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..operators import timeline
-from ..sources import archive, pages
+from ..sources import archive, loose, pages
 from ..sources.shared import new_folder
 from ..streaming import session
 from .inputs import DETECTIONS_SQL, detections, table
@@ -27,6 +27,27 @@ def archive_roundtrip(spark, sf):
     return archive.read_books(spark, path).select("book", "name", "size", F.sha2("data", 256).alias("digest"))
 
 
+@query("s7_loose_files", f"select cast(page_id // {PAGES} as varchar) as book, 'p' || page_id || '.png' as name, row_number() over (partition by page_id // {PAGES} order by page_id) - 1 as place, cast(octet_length(encode(coalesce(html, ''))) as bigint) as size, sha256(coalesce(html, '')) as digest from pages")
+def loose_files(spark, sf):
+    """Pages as files of their own, read back in natural order."""
+    path = new_folder(spark, "loose")
+    rows = table(spark, sf, "pages").withColumn("kind", F.explode(F.array(F.lit(".png"), F.lit(".txt"))))  # the texts aren't pages
+    named = F.concat(F.lit("p"), F.col("page_id").cast("string"), "kind")
+    loose.write_files(rows.select(F.expr(f"page_id div {PAGES}").alias("book"), named.alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data")), path)
+    return loose.read_files(spark, path).select("book", "name", "place", "size", F.sha2("data", 256).alias("digest"))
+
+
+@query("s14_changed_archives", f"select cast(page_id // {PAGES} as varchar) as book, count(*) as entries, bool_or(page_id % 1000 = 7) as rewritten from pages group by 1")
+def changed_archives(spark, sf):
+    """Books written, then written again with a few pages changed: only those books are."""
+    path = new_folder(spark, "books")
+    entries = table(spark, sf, "pages").select("page_id", F.expr(f"page_id div {PAGES}").alias("book"), F.expr(_ENTRY).alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("data"))
+    loose.write_changed(entries, path)
+    again = loose.write_changed(entries.withColumn("data", F.when(F.col("page_id") % 1000 == 7, F.concat("data", F.lit(b"!"))).otherwise(F.col("data"))), path)
+    listed = archive.listed(spark, path).groupBy("book").agg(F.count("*").alias("entries"))
+    return listed.join(again.withColumn("rewritten", F.lit(True)), "book", "left").select("book", "entries", F.coalesce("rewritten", F.lit(False)).alias("rewritten"))
+
+
 @query("s3_archive_listing", f"select cast(page_id // {PAGES} as varchar) as book, count(*) as entries, min({_ENTRY}) as first_name from pages group by 1")
 def archive_listing(spark, sf):
     """Entries are listed, not inflated."""
