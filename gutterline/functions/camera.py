@@ -67,3 +67,15 @@ def luma(red: Column, green: Column, blue: Column) -> Column:
 
 def note_frequency(midi: Column) -> Column:
     return F.pow(F.lit(2.0), (midi - 69) / 12.0) * 440
+
+
+def shake_amplitude(amp: Column, ms: Column, elapsed: Column) -> Column:
+    """How far a shake of ``ms`` still throws the picture: it dies away as the
+    square of what is left of it; 0 once it is over."""
+    left = F.greatest(ms - elapsed, F.lit(0)) / F.greatest(ms, F.lit(1))
+    return amp * left * left
+
+
+def shaken(at: Column, amplitude: Column, chance: Column) -> Column:
+    """A coordinate thrown by a shake, for a chance of 0 to 1 that is drawn anew each time."""
+    return at + (chance * 2 - 1) * amplitude

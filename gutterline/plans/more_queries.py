@@ -151,6 +151,13 @@ def letterbox(spark, sf):
     return rows.select("page_id", "det_id", micro(F.col("b.scale")).alias("scale"), "b.w", "b.h")
 
 
+@query("m26_shake", f"{WITH}, s as (select page_id, det_id, w % 20 as amp, h as ms, x as elapsed from det where cls = 'frame') select page_id, det_id, {micro_sql('amp * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double))')} as amplitude, {micro_sql('x_low')} as furthest_left from (select *, 100 - amp * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) as x_low from s)")
+def shake(spark, sf):
+    """How far a shake throws the picture, and the furthest that it puts x = 100 to the left."""
+    rows = detections(spark, sf, "frame").select("page_id", "det_id", cam.shake_amplitude(F.col("w") % 20, F.col("h"), F.col("x")).alias("a"))
+    return rows.select("page_id", "det_id", micro(F.col("a")).alias("amplitude"), micro(cam.shaken(F.lit(100), F.col("a"), F.lit(0.0))).alias("furthest_left"))
+
+
 @query("m25_zoom_limits", f"with {EVENTS} select event_id, {micro_sql(f'case when value / {D(50)} > 1 then least({D(1)} * value / {D(50)}, greatest({D(1.5)}, {D(1)})) else greatest({D(1)} * value / {D(50)}, least({D(0.2)}, {D(1)})) end')} as scale from ev")
 def zoom_limits(spark, sf):
     return events(spark, sf).select("event_id", micro(cam.zoomed(F.lit(1.0), F.col("value") / 50, 0.2, 1.5)).alias("scale"))
