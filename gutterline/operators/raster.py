@@ -74,23 +74,48 @@ def bilinear(image: Column, side: int, target: int) -> Column:
 
 
 def labels(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """Connected parts of a 0/1 mask, numbered from 1 in scan order."""
-    out = np.zeros(mask.shape, int)
-    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
-    number = 0
-    for start in zip(*np.nonzero(mask), strict=True):
-        if out[start]:
-            continue
-        number, queue = number + 1, deque([start])
-        out[start] = number
-        while queue:
-            y, x = queue.popleft()
-            for dy, dx in steps:
-                v, u = y + dy, x + dx
-                if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1] and mask[v, u] and not out[v, u]:
-                    out[v, u] = number
-                    queue.append((v, u))
-    return out
+    """Connected parts of a 0/1 mask, numbered from 1 in scan order.
+
+    Runs of cells take the least number of the runs that touch them in the
+    next row, again and again, until nothing changes.
+    """
+    height, width = mask.shape
+    edges = np.diff(np.pad(mask.astype(np.int8) != 0, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edges == 1)
+    end, touch = np.nonzero(edges == -1)[1], 1 if diagonal else 0
+    if not len(row):
+        return np.zeros(mask.shape, int)
+    wide = width + 3  # a key for each place, with room between rows
+    first = np.searchsorted(row * wide + end, (row + 1) * wide + start + 1 - touch)
+    last = np.searchsorted(row * wide + start, (row + 1) * wide + end - 1 + touch, "right")
+    counts = np.maximum(last - first, 0)
+    upper = np.repeat(np.arange(len(row)), counts)
+    lower = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(counts.cumsum() - counts, counts)
+    root = np.arange(len(row))
+    while True:
+        least = np.minimum(root[upper], root[lower])
+        before = root.copy()
+        for side in (before[upper], before[lower], upper, lower):
+            np.minimum.at(root, side, least)
+        root = root[root]
+        if (root == before).all():
+            break
+    number = np.unique(root, return_inverse=True)[1] + 1
+    out = np.zeros(mask.size, int)
+    lengths = end - start
+    out[np.repeat(row * width + start, lengths) + np.arange(lengths.sum()) - np.repeat(lengths.cumsum() - lengths, lengths)] = np.repeat(number, lengths)
+    return out.reshape(mask.shape)
+
+
+def measures(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Areas, left, top, right and bottom cells of labelled parts, the first part at 0."""
+    ys, xs = np.nonzero(found)
+    part = found[ys, xs] - 1
+    count = int(found.max(initial=0))
+    left, top, right, bottom = (np.full(count, v) for v in (found.shape[1], found.shape[0], -1, -1))
+    for of, side, at in ((np.minimum, left, xs), (np.minimum, top, ys), (np.maximum, right, xs), (np.maximum, bottom, ys)):
+        of.at(side, part, at)
+    return np.bincount(part, minlength=count), left, top, right, bottom
 
 
 def components(masks: DataFrame, diagonal: bool = True, side: int = SIDE) -> DataFrame:
@@ -100,10 +125,9 @@ def components(masks: DataFrame, diagonal: bool = True, side: int = SIDE) -> Dat
         for batch in batches:
             rows = []
             for vec_id, mask in zip(batch["vec_id"], batch["mask"], strict=True):
-                found = labels(np.asarray(mask).reshape(side, side), diagonal)
-                for label in range(1, found.max() + 1):
-                    ys, xs = np.nonzero(found == label)
-                    rows.append((vec_id, label, len(xs), xs.min(), ys.min(), xs.max() - xs.min() + 1, ys.max() - ys.min() + 1))
+                parts = measures(labels(np.asarray(mask).reshape(side, side), diagonal))
+                for label, (area, left, top, right, bottom) in enumerate(zip(*parts, strict=True), 1):
+                    rows.append((vec_id, label, area, left, top, right - left + 1, bottom - top + 1))
             yield pd.DataFrame(rows, columns=["vec_id", "label", "area", "x", "y", "w", "h"])
 
     return masks.select("vec_id", "mask").mapInPandas(measure, "vec_id long, label long, area long, x long, y long, w long, h long")
