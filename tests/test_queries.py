@@ -8,7 +8,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from gutterline.plans import decode_queries, extra_queries, layout_queries, more_queries, name_queries, raster_queries, source_queries, timeline_queries  # noqa: E402,F401
+from gutterline.plans import decode_queries, extra_queries, layout_queries, lift_queries, more_queries, name_queries, raster_queries, source_queries, timeline_queries  # noqa: E402,F401
 from gutterline.plans.registry import ORACLES, QUERIES  # noqa: E402
 
 
