@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .geometry import Box
 
 
+# The limits of zooming, in views of the whole page.
+ZOOM_OUT, ZOOM_IN = 0.8, 6
+
+
 def fit(box: Box, width: float, height: float, zoom: Column | float = 1.0) -> Column:
     """The transform that shows a box whole and centred: scale, x, y."""
     scale = F.least(F.lit(float(width)) / box.w, F.lit(float(height)) / box.h) * zoom
@@ -15,12 +19,26 @@ def fit(box: Box, width: float, height: float, zoom: Column | float = 1.0) -> Co
     return F.struct(scale.alias("scale"), centre(width, box.x, box.w).alias("x"), centre(height, box.y, box.h).alias("y"))
 
 
-def zoomed(scale: Column, factor: Column, low: float = 0.05, high: float = 8.0) -> Column:
+def zoomed(scale: Column, factor: Column, low: Column | float = 0.05, high: Column | float = 8.0) -> Column:
     """A scale after zooming; limits stop it but never push it back."""
     closer = F.least(scale * factor, F.greatest(F.lit(high), scale))
     return F.when(factor > 1, closer).otherwise(F.greatest(scale * factor, F.least(F.lit(low), scale)))
 
 
+def zoom_limits(page_width: Column, page_height: Column, width: float, height: float) -> Column:
+    """How far a view of that size may zoom on a page: ``low`` shows it whole
+    with air around it, ``high`` the screen of its print."""
+    whole = F.least(F.lit(float(width)) / page_width, F.lit(float(height)) / page_height)
+    return F.struct((whole * ZOOM_OUT).alias("low"), (whole * ZOOM_IN).alias("high"))
+
+
+def zoomed_at(scale: Column, x: Column, y: Column, factor: Column, at_x: Column, at_y: Column, limits: Column) -> Column:
+    """The transform after zooming within limits, which leaves a place where it is: scale, x, y."""
+    after = zoomed(scale, factor, limits["low"], limits["high"])
+    moved = lambda at, start: at - (at - start) * (after / scale)
+    return F.struct(after.alias("scale"), moved(at_x, x).alias("x"), moved(at_y, y).alias("y"))
+
+
 def glided(start: Column, target: Column, elapsed_ms: Column, glide_ms: float) -> Column:
     """Where an exponential glide is after a time; there at once without one."""
     left = F.exp(F.lit(-5.0) * elapsed_ms / glide_ms) if glide_ms > 0 else F.lit(0.0)

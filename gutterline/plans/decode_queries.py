@@ -76,7 +76,12 @@ def paper(spark, sf):
     return light(spark, sf).select("vec_id", F.transform("mask", lambda v: F.least(v + 60, F.lit(255))).alias("mask"))
 
 
-@query("m19_ink_by_light", f"with {_PAPER} select vec_id, cast(p as bigint) as p, a from al")
+@query(
+    "m19_ink_by_light",
+    f"""with l as (select vec_id, [least(greatest(least(cast(floor({D(128)} + {D(255)} * cast(e as double)) as bigint), 255), 0) + 60, 255) for e in embedding] as vs from embeddings),
+ t as (select vec_id, vs, list_sort(vs)[cast(floor(len(vs) * {D(0.85)}) as bigint) + 1] as tone, len([v for v in vs if v >= 195]) as bright from l)
+ select vec_id, i as p, cast(floor(greatest(least((tone - vs[i + 1]) * 255 / cast(greatest(tone, 1) as double), {D(255)}), {D(0)})) as bigint) as a from t, range(64) r(i) where tone >= 195 and bright >= len(vs) * {D(0.22)}""",
+)
 def ink_by_light(spark, sf):
     return paper(spark, sf).select("vec_id", F.posexplode(lift.ink_by_light(F.col("mask"))).alias("p", "a")).select("vec_id", F.col("p").cast("long").alias("p"), "a")
 

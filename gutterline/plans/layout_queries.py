@@ -390,6 +390,31 @@ def jaggedness(spark, sf):
     return rows.select("page_id", "det_id", micro(g.jaggedness(F.col("p"))).alias("jagged"), micro(g.tilt(F.col("p"))).alias("tilted"))
 
 
+# frames whose upper and lower sides slope
+_SLOPED = f"""{WITH}, f as (select page_id, det_id, conf, cast(w as double) as w, cast(h as double) as h, cast(page_id % 5 * 10 as double) as up, cast(det_id % 4 * 15 as double) as down from det where cls = 'frame'),
+ e as (select page_id, det_id, conf, w * h - w * up / 2 - w * down / 2 as area, unnest([{{'dx': w, 'dy': up}}, {{'dx': cast(0 as double), 'dy': h - up}}, {{'dx': -w, 'dy': -down}}, {{'dx': cast(0 as double), 'dy': down - h}}]) as d from f),
+ l as (select *, sqrt(d.dx * d.dx + d.dy * d.dy) as len, abs(atan2(d.dy, d.dx)) % (pi() / 2) as turn from e),
+ k as (select page_id, det_id, any_value(conf) as ink, sum(least(turn, pi() / 2 - turn) / (pi() / 4) * len) / sum(len) as tilted, sum(len) * sum(len) / (4 * pi() * any_value(area)) as jagged from l group by page_id, det_id)"""
+
+
+def _sloped(spark, sf):
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box, up, down = g.Box.of(), F.col("page_id") % 5 * 10, F.col("det_id") % 4 * 15
+    corners = F.array(at(box.x, box.y), at(box.right, box.y + up), at(box.right, box.bottom), at(box.x, box.bottom - down))
+    return _one(spark, sf, "frame").select("page_id", "det_id", "conf", corners.alias("p"))
+
+
+@query("m16_tilt", f"{_SLOPED} select page_id, det_id, {micro_sql('tilted')} as tilted from k")
+def tilted(spark, sf):
+    return _sloped(spark, sf).select("page_id", "det_id", micro(g.tilt(F.col("p"))).alias("tilted"))
+
+
+@query("m17_tension", f"{_SLOPED} select page_id, det_id, {micro_sql('least(1, 0.5 * least(1, greatest(0, (ink - 0.12) / 0.4)) + 0.3 * least(1, greatest(0, (jagged - 1.15) / 0.8)) + 0.2 * least(1, tilted * 4))')} as tension from k")
+def tension(spark, sf):
+    """From the ink (a detection's confidence stands for it), the ragged outline and the tilt."""
+    return _sloped(spark, sf).select("page_id", "det_id", micro(g.tension(F.col("conf"), g.jaggedness(F.col("p")), g.tilt(F.col("p")))).alias("tension"))
+
+
 _TENSION = "least(cast(1 as double), cast(0.5 as double) * least(cast(1 as double), greatest(cast(0 as double), (conf - cast(0.12 as double)) / cast(0.4 as double))) + cast(0.3 as double) * least(cast(1 as double), greatest(cast(0 as double), (w * cast(2 as double) / h - cast(1.15 as double)) / cast(0.8 as double))) + cast(0.2 as double) * least(cast(1 as double), x / cast(600 as double) * 4))"
 
 

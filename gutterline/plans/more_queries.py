@@ -151,6 +151,20 @@ def letterbox(spark, sf):
     return rows.select("page_id", "det_id", micro(F.col("b.scale")).alias("scale"), "b.w", "b.h")
 
 
+@query(
+    "p16_zoom_limits",
+    f"""{WITH}, l as (select page_id, det_id, x, y, {D(0.5)} + conf * 8 as factor, least({D(800)} / w, {D(600)} / h) * {D(0.8)} as low, least({D(800)} / w, {D(600)} / h) * 6 as high from det),
+ z as (select *, case when factor > 1 then least(2 * factor, greatest(high, {D(2)})) else greatest(2 * factor, least(low, {D(2)})) end as scale from l)
+ select page_id, det_id, {micro_sql('low')} as low, {micro_sql('high')} as high, {micro_sql('scale')} as scale, {micro_sql('400 - (400 - x) * (scale / 2)')} as x, {micro_sql('300 - (300 - y) * (scale / 2)')} as y from z""",
+)
+def page_zoom(spark, sf):
+    """Zooming by a factor around the middle of an 800 x 600 view, on a page of a detection's size."""
+    rows = detections(spark, sf).withColumn("limits", cam.zoom_limits(F.col("w"), F.col("h"), 800, 600))
+    after = cam.zoomed_at(F.lit(2.0), F.col("x"), F.col("y"), 0.5 + F.col("conf") * 8, F.lit(400), F.lit(300), F.col("limits"))
+    rows = rows.select("page_id", "det_id", "limits", after.alias("a"))
+    return rows.select("page_id", "det_id", micro(F.col("limits.low")).alias("low"), micro(F.col("limits.high")).alias("high"), *(micro(F.col(f"a.{c}")).alias(c) for c in ("scale", "x", "y")))
+
+
 @query("m26_shake", f"{WITH}, s as (select page_id, det_id, w % 20 as amp, h as ms, x as elapsed from det where cls = 'frame') select page_id, det_id, {micro_sql('amp * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double))')} as amplitude, {micro_sql('x_low')} as furthest_left from (select *, 100 - amp * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) * (greatest(ms - elapsed, 0) / cast(greatest(ms, 1) as double)) as x_low from s)")
 def shake(spark, sf):
     """How far a shake throws the picture, and the furthest that it puts x = 100 to the left."""
@@ -169,7 +183,10 @@ def camera_glide(spark, sf):
     return events(spark, sf).select("event_id", F.floor(at * 1000 + 0.5).alias("at"))
 
 
-@query("m18_luma", f"with {LIGHT}, t as (select a.vec_id, a.p, a.v as r, b.v as g, c.v as b from lt a join lt b on b.vec_id = a.vec_id and b.p = a.p + 1 join lt c on c.vec_id = a.vec_id and c.p = a.p + 2 where a.p % 3 = 0 and a.p < 63) select vec_id, p, {micro_sql(f'r * {D(0.299)} + g * {D(0.587)} + b * {D(0.114)}')} as luma from t")
+_LEVEL = lambda k: f"greatest(least(cast(floor({D(128)} + {D(255)} * cast(embedding[{k}] as double)) as bigint), 255), 0)"
+
+
+@query("m18_luma", f"select vec_id, i * 3 as p, {micro_sql(f'{_LEVEL("i * 3 + 1")} * {D(0.299)} + {_LEVEL("i * 3 + 2")} * {D(0.587)} + {_LEVEL("i * 3 + 3")} * {D(0.114)}')} as luma from embeddings, range(21) r(i)")
 def luma(spark, sf):
     pixel = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((i * 3).cast("long").alias("p"), cam.luma(F.get("mask", i * 3), F.get("mask", i * 3 + 1), F.get("mask", i * 3 + 2)).alias("y")))
     return light(spark, sf).select("vec_id", F.explode(pixel).alias("c")).select("vec_id", "c.p", micro(F.col("c.y")).alias("luma"))
