@@ -78,11 +78,12 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 @dataclass
 class Quantiser:
     """Coarse centroids, codebooks (subspace, code, dimension), and how many
-    lists a query visits."""
+    lists a query visits, all for vectors over two to the ``exponent``."""
 
     coarse: np.ndarray
     books: np.ndarray
     probes: int
+    exponent: int = 0
 
     @classmethod
     def fit(cls, sample: np.ndarray, k: int, lists: int = LEAST_LISTS) -> Quantiser:
@@ -124,17 +125,26 @@ class Quantiser:
         return np.einsum("qsw,scw->qsc", parts, self.books)
 
 
+def over(x: np.ndarray, exponent: np.ndarray | int) -> np.ndarray:
+    """Vectors over powers of two, as floats: any doubles have a place there."""
+    return np.ldexp(x.astype(np.float64), -np.asarray(exponent)).astype(np.float32)
+
+
+def as_query(x: np.ndarray) -> np.ndarray:
+    """Each query over a power of two of its own, which changes no order of scores."""
+    return over(x, np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def padded(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, width * SUBSPACES - x.shape[1])))
 
 
 def best_rows(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k best places of a row of scores, of equal ones the first."""
+    """The k best places of a row of scores, and all that equal the last of
+    them: vectors that share all codes are told apart by exact measures only."""
     if len(scores) <= k:
         return np.arange(len(scores))
-    least = np.partition(scores, -k)[-k]
-    above = np.flatnonzero(scores > least)
-    return np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
+    return np.flatnonzero(scores >= np.partition(scores, -k)[-k])
 
 
 def search_block(quantiser: Quantiser | None, list_id: int, keys: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, asking: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
@@ -145,8 +155,9 @@ def search_block(quantiser: Quantiser | None, list_id: int, keys: np.ndarray, id
     for a in range(0, len(queries), 256):
         some, names = queries[a : a + 256], asking[a : a + 256]
         if quantiser:
-            tables = quantiser.tables(some.astype(np.float32))
-            rough = np.repeat((some @ quantiser.coarse[list_id])[:, None], len(keys), axis=1)
+            near = as_query(some)
+            tables = quantiser.tables(near)
+            rough = np.repeat((near.astype(np.float64) @ quantiser.coarse[list_id])[:, None], len(keys), axis=1)
             for s in range(SUBSPACES):
                 rough += tables[:, s, codes[:, s]]
         else:
@@ -175,9 +186,10 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("width", F.size("v"))
 
 
-def fitted(rows: DataFrame, k: int, common_widths: list[int], counts: dict[int, int]) -> dict[int, Quantiser]:
-    """A quantiser for each common length; the sample grows with the square
-    root of the rows."""
+def fitted(rows: DataFrame, k: int, common_widths: list[int], counts: dict[int, int], largest: dict[int, float]) -> dict[int, Quantiser]:
+    """A quantiser for each common length, over the power of two that holds
+    its ``largest`` component; the sample grows with the square root of the
+    rows."""
     out = {}
     for width in common_widths:
         own, total = rows.where(F.col("width") == width), counts[width]
@@ -186,7 +198,9 @@ def fitted(rows: DataFrame, k: int, common_widths: list[int], counts: dict[int,
         # a little more than is wanted, so that the smallest hashes of the rows are surely among these
         share = min(1.0, 2 * most / total)
         picked = own.select("v", F.xxhash64("key").alias("h")).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("h").limit(most)
-        out[width] = Quantiser.fit(np.array([r.v for r in picked.collect()], np.float32), k, lists)
+        exponent = math.frexp(largest[width])[1]
+        out[width] = Quantiser.fit(over(np.array([r.v for r in picked.collect()], np.float64), exponent), k, lists)
+        out[width].exponent = exponent
     return out
 
 
@@ -202,12 +216,13 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
     spark = vectors.sparkSession
     common.small_batches(spark)
     rows = common.stored(usable(vectors), "vectors")
-    found = sorted(rows.groupBy("width").count().orderBy(F.desc("count"), "width").limit(int(1 / COMMON_LENGTH)).collect())
+    sized = rows.groupBy("width").agg(F.count("*").alias("count"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("largest"))
+    found = sorted(sized.orderBy(F.desc("count"), "width").limit(int(1 / COMMON_LENGTH)).collect())
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total, counts = rows.count(), {r.width: r["count"] for r in found}
     kind = "<f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "<f8"
-    quantisers = fitted(rows, k, [w for w, n in counts.items() if n >= COMMON_LENGTH * total], counts)
+    quantisers = fitted(rows, k, [w for w, n in counts.items() if n >= COMMON_LENGTH * total], counts, {r.width: r.largest for r in found})
     shared, mark = spark.sparkContext.broadcast(quantisers), uuid.uuid4().hex
 
     def loaded() -> dict[int, Quantiser]:
@@ -229,7 +244,7 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
         out = np.zeros(len(vectors), np.int32)
         for width, rows in by_width(widths):
             if quantiser := loaded().get(width):
-                out[rows] = nearest(matrix(vectors.take(pa.array(rows)), width).astype(np.float32), quantiser.coarse)
+                out[rows] = nearest(over(matrix(vectors.take(pa.array(rows)), width), quantiser.exponent), quantiser.coarse)
         return pa.array(out)
 
     def encode(members: pa.Table) -> pa.Table:
@@ -238,7 +253,7 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
         width, list_id = members.column("width")[0].as_py(), members.column("list")[0].as_py()
         vectors = matrix(members.column("v").chunk(0), width)
         quantiser = loaded().get(width)
-        codes = quantiser.encode(vectors.astype(np.float32), np.full(len(vectors), list_id)) if quantiser else np.zeros(0, np.uint8)
+        codes = quantiser.encode(over(vectors, quantiser.exponent), np.full(len(vectors), list_id)) if quantiser else np.zeros(0, np.uint8)
         columns = {n: pa.array([members.column(n)[0].as_py()], pa.int32()) for n in ("width", "list", "block")}
         blobs = {"keys": members.column("key").to_numpy().astype("<i8"), "ids": members.column("vec_id").to_numpy().astype("<i8"), "codes": codes, "vectors": vectors}
         return pa.table(columns | {n: pa.array([b.tobytes()], pa.binary()) for n, b in blobs.items()})
@@ -256,7 +271,7 @@ def neighbours(vectors: DataFrame, k: int = 20, query_every: int = 20) -> DataFr
             for width, rows in by_width(batch.column(2)):
                 x = matrix(batch.column(1).take(pa.array(rows)), width)
                 if quantiser := loaded().get(width):
-                    order, enough = quantiser.visited(x.astype(np.float32), sizes[width], LEAST_SEEN * k)
+                    order, enough = quantiser.visited(as_query(x), sizes[width], LEAST_SEEN * k)
                     query, lists = np.repeat(np.arange(len(rows)), enough), np.concatenate([o[:n] for o, n in zip(order, enough.tolist(), strict=True)])
                 else:
                     query, lists = np.arange(len(rows)), np.zeros(len(rows), np.int64)

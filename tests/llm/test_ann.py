@@ -104,3 +104,23 @@ def test_many_lists(spark, monkeypatch):
     monkeypatch.setattr(ann, "PER_LIST", 4)
     mean, _ = against_all(spark, np.arange(3000), np.random.default_rng(7).normal(size=(3000, 16)))
     assert mean >= 0.9
+
+
+@pytest.mark.parametrize("size", [1e-300, 1e30, 1e150])
+def test_doubles_of_any_size(spark, size):
+    """Beyond floats the quantiser sees vectors over a power of two."""
+    x = np.random.default_rng(8).normal(size=(2000, 16))
+    rows = [(i, (v * size).tolist()) for i, v in enumerate(x)]
+    found = {}
+    for r in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    best = {i: set([j for j in np.argsort(-(x @ x[i])).tolist() if j != i][:20]) for i in range(0, 2000, 20)}
+    assert set(found) == set(best) and all(len(f) == 20 for f in found.values())
+    if size > 1e-150:  # below, all products are 0 and ties go to smaller ids
+        assert np.mean([len(found[i] & best[i]) / 20 for i in best]) >= 0.9
+
+
+def test_vectors_that_only_doubles_tell_apart(spark):
+    x = 1 + 1e-9 * np.random.default_rng(9).normal(size=(3000, 16))
+    mean, _ = against_all(spark, np.arange(3000), x, "double")
+    assert mean >= 0.9
