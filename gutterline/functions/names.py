@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Endings of pages and of books.
 PAGE_SUFFIX = r"(?i)\.(jpe?g|png|webp|gif|avif|bmp)$"
 BOOK_SUFFIX = r"(?i)^(cbza|cbz|cbr|zip|rar)$"
 # browsers' messages for a part of a program that is gone.
@@ -55,20 +56,32 @@ def natural_key(name: Column, width: int = 20) -> Column:
 
 
 def resolve_link(text: Column) -> Column:
-    """A shared link as a struct of url and error; one of them is null."""
+    """A shared link as a struct of url and error; one of them is null.
+
+    Scheme and host come out in lower case, without a default port, with a
+    path, and with spaces encoded; dot segments stay.
+    """
     trimmed = F.trim(text)
     url = F.when(trimmed.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z0-9+.-]+)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#:]+)", 1))
-    path = F.regexp_extract(url, r"^[^:]+://[^/?#]+(/[^?#]*)", 1)
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    authority = F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)
+    host = F.lower(F.regexp_extract(authority, "^(?:.*@)?([^@:]*)", 1))
+    port = F.regexp_extract(authority, ":([0-9]+)$", 1)
+    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    port = F.when(usual, "").otherwise(F.concat(F.lit(":"), port))
+    encoded = lambda part: F.replace(part, F.lit(" "), F.lit("%20"))
+    path = encoded(F.regexp_extract(url, r"^[^:]+://[^/?#]+(/[^?#]*)", 1))
+    path = F.when(path == "", "/").otherwise(path)
+    query, fragment = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), encoded(F.regexp_extract(url, "(#.*)$", 1))
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~p.rlike("^(dl|raw)(=|$)") & (p != "")), "&")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    error = F.when(trimmed == "", "linkEmpty").when(~scheme.isin("http", "https") | (host == ""), "linkInvalid").when(host.isin(*DRIVE_HOSTS), "linkDrive")
-    dropbox = F.concat(scheme, F.lit("://dl.dropboxusercontent.com"), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    invalid = ~scheme.isin("http", "https") | (host == "") | host.rlike(r"[\s<>^|%\\]")
+    error = F.when(trimmed == "", "linkEmpty").when(invalid, "linkInvalid").when(host.isin(*DRIVE_HOSTS), "linkDrive")
+    dropbox = F.concat(scheme, F.lit("://dl.dropboxusercontent.com"), port, path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)), fragment)
     code = (F.size(parts) >= 5) & F.get(parts, F.lit(2)).isin("blob", "raw")
     raw = F.concat(F.lit("https://raw.githubusercontent.com/"), F.get(parts, F.lit(0)), F.lit("/"), F.get(parts, F.lit(1)), F.lit("/"), F.array_join(F.slice(parts, 4, F.greatest(F.size(parts) - 3, F.lit(0))), "/"))
-    direct = F.when(host.isin("www.dropbox.com", "dropbox.com"), dropbox).when((host == "github.com") & code, raw).otherwise(url)
+    plain = F.concat(scheme, F.lit("://"), F.regexp_extract(authority, "^(.*@)", 1), host, port, path, encoded(F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)), fragment)
+    direct = F.when(host.isin("www.dropbox.com", "dropbox.com"), dropbox).when((host == "github.com") & code, raw).otherwise(plain)
     return F.struct(F.when(error.isNull(), direct).alias("url"), error.alias("error"))
 
 
