@@ -60,11 +60,19 @@ class Box:
         return F.array(corner(self.x, self.y), corner(self.right, self.y), corner(self.right, self.bottom), corner(self.x, self.bottom))
 
 
+def _once(value: Column, of) -> Column:
+    """``of(value)``, with the value computed once however often it is named."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _sides(polygon: Column, term) -> Column:
+    """``term(from, to)`` of each edge, as an array; ``polygon`` is named three times."""
+    return F.zip_with(polygon, F.concat(F.slice(polygon, F.lit(2), F.size(polygon)), F.slice(polygon, 1, 1)), term)
+
+
 def _edges(polygon: Column, term) -> Column:
     """Sum of ``term(from, to)`` over the edges; 0 for no points."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(polygon), F.lit(1)))
-    one = lambda i: term(F.get(polygon, i - 1), F.get(polygon, F.pmod(i, F.greatest(F.size(polygon), F.lit(1)))))
-    return F.when(F.size(polygon) < 1, F.lit(0.0)).otherwise(F.aggregate(F.transform(places, one), F.lit(0.0), lambda a, x: a + x))
+    return _once(polygon, lambda p: F.aggregate(_sides(p, term), F.lit(0.0), lambda a, x: a + x))
 
 
 def polygon_area(polygon: Column) -> Column:
@@ -120,16 +128,13 @@ def contains(polygon: Column, x: Column, y: Column) -> Column:
 def clip(polygon: Column, axis: str, at: Column, keep_lower: bool) -> Column:
     """The part of a polygon on one side of a line across ``axis``."""
     inside = (lambda p: p[axis] <= at) if keep_lower else (lambda p: p[axis] >= at)
-    empty = F.slice(polygon, 1, 0)
-    n = F.greatest(F.size(polygon), F.lit(1))
 
-    def edge(i: Column) -> Column:
-        a, b = F.get(polygon, i - 1), F.get(polygon, F.pmod(i, n))
+    def edge(a: Column, b: Column) -> Column:
         share = (at - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))
         cut = F.struct((a.x + share * (b.x - a.x)).alias("x"), (a.y + share * (b.y - a.y)).alias("y"))
-        return F.concat(F.when(inside(a), F.array(a)).otherwise(empty), F.when((inside(a) != inside(b)) & share.isNotNull(), F.array(cut)).otherwise(empty))
+        return F.array(F.when(inside(a), a), F.when((inside(a) != inside(b)) & share.isNotNull(), cut))
 
-    return F.when(F.size(polygon) < 1, polygon).otherwise(F.flatten(F.transform(F.sequence(F.lit(1), n), edge)))
+    return _once(polygon, lambda p: F.array_compact(F.flatten(_sides(p, edge))))
 
 
 def samples_inside(outer: Box, inner: Box, per_side: int = 6) -> Column:
@@ -143,10 +148,18 @@ def samples_inside(outer: Box, inner: Box, per_side: int = 6) -> Column:
 
 def samples_in_polygon(polygon: Column, inner: Box, per_side: int = 6) -> Column:
     """How many of a grid of points over ``inner``, edges included, lie in a polygon."""
-    step = lambda start, size, k: start.cast("double") + size.cast("double") * k.cast("double") / (per_side - 1)
-    places = F.sequence(F.lit(0), F.lit(per_side * per_side - 1))
-    held = lambda k: contains(polygon, step(inner.x, inner.w, F.floor(k / per_side)), step(inner.y, inner.h, k % per_side))
-    return F.size(F.filter(places, held))
+    step = lambda start, size, k: start.cast("double") + size.cast("double") * F.lit(float(k)) / (per_side - 1)
+
+    def row(p: Column, y: Column) -> Column:
+        """Places of a row from which a ray to the right meets the edges an odd number of times."""
+        edges = F.filter(_sides(p, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda e: (e.a.y > y) != (e.b.y > y))
+        met = F.transform(edges, lambda e: (e.b.x - e.a.x) * (y - e.a.y) / (e.b.y - e.a.y) + e.a.x)
+        held = lambda c, k: (F.size(F.filter(c, lambda at: step(inner.x, inner.w, k) < at)) % 2)
+        return _once(met, lambda c: sum((held(c, k) for k in range(1, per_side)), held(c, 0)))
+
+    heights = F.array(*(step(inner.y, inner.h, k) for k in range(per_side)))
+    hits = _once(polygon, lambda p: F.aggregate(F.transform(heights, lambda y: row(p, y)), F.lit(0), lambda n, k: n + k))
+    return F.coalesce(hits, F.lit(0))
 
 
 def tension(ink: Column, jagged: Column, tilted: Column) -> Column:

@@ -47,3 +47,22 @@ def test_boxes(spark):
 def test_tension(spark):
     row = one(spark, calm=g.tension(F.lit(0.0), F.lit(1.0), F.lit(0.0)), most=g.tension(F.lit(9.0), F.lit(9.0), F.lit(9.0)))
     assert (row.calm, row.most) == (0.0, 1.0)
+
+
+def test_a_polygon_is_computed_once(spark):
+    """However often a fold names its polygon, the plan holds the expression that makes it once."""
+    rows = spark.range(3).select(F.array(*(F.struct((F.col("id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (9, 0), (9, 5), (0, 5)))).alias("p"))
+    cut = lambda lower: g.clip(F.reverse("p"), "x", F.lit(6.0), lower)
+    for column, value in ((g.polygon_area(cut(True)), 30.0), (g.perimeter(cut(False)), 16.0), (g.samples_in_polygon(cut(True), g.Box(F.lit(0), F.lit(0), F.lit(12), F.lit(12))), 9)):
+        found = rows.select(column.alias("v"))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+        assert found.first().v == value
+
+
+def test_samples_in_a_polygon_are_those_that_contain_says(spark):
+    shapes = [[(0, 0), (10, 2), (7, 9), (3, 4), (1, 8)], [(0, 0), (6, 6), (6, 0), (0, 6)], [(2, 2)], [], None, [(0, 0), None, (5, 9)]]
+    rows = spark.createDataFrame([(s and [q and dict(zip("xy", map(float, q))) for q in s],) for s in shapes], "p array<struct<x: double, y: double>>")
+    box = g.Box(F.lit(1), F.lit(1), F.lit(5), F.lit(7))
+    places = [g.contains(F.col("p"), F.lit(1 + 5.0 * i / 5), F.lit(1 + 7.0 * j / 5)).cast("int") for i in range(6) for j in range(6)]
+    for r in rows.select(g.samples_in_polygon(F.col("p"), box).alias("ours"), sum(F.coalesce(c, F.lit(0)) for c in places).alias("theirs")).collect():
+        assert r.ours == r.theirs
