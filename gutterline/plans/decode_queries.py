@@ -13,7 +13,7 @@ from ..operators import decode, lift, orphans, outlines, raster, report, timelin
 from ..operators.detections import overlaps
 from ..sources import archive
 from ..sources.shared import new_folder
-from .inputs import DETECTIONS_SQL, detections, micro, micro_sql, table
+from .inputs import DETECTIONS_SQL, dealt, detections, micro, micro_sql, table
 from .more_queries import LIGHT, D, light
 from .profiles import BROWSER
 from .raster_queries import _EIGHT, _FOUR, _components_sql, masks
@@ -151,7 +151,7 @@ def tail_tips(spark, sf):
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     spike = [point(x + w * 0.56, y + h), point(x + w / 2 + F.col("det_id") * 3, y + h + 20), point(x + w * 0.44, y + h)]
     shape = F.array(point(x, y), point(x + w, y), point(x + w, y + h), *spike, point(x, y + h))
-    return outlines.tail_tips(detections(spark, sf, "balloon").select("page_id", "det_id", shape.alias("polygon")))
+    return outlines.tail_tips(dealt(detections(spark, sf, "balloon")).select("page_id", "det_id", shape.alias("polygon")))
 
 
 _SLACK = 6  # twelve pixels of the screen at twice the scale
