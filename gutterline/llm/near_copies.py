@@ -41,8 +41,9 @@ from . import common, simhash
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Distinct texts in the sample, about; texts of it that make a shingle
-#: common; common shingles that the order knows.
-SAMPLE, COMMON_FROM, COMMON = 10_000, 3, 100_000
+#: common; common shingles that the order knows.  A passage that one text in
+#: ten thousand has should be known: its pairs grow with the square of the input.
+SAMPLE, COMMON_FROM, COMMON = 50_000, 3, 100_000
 #: Members of a bucket from which it is joined in parts.
 LARGE_BUCKET, SALTS = 1024, 256
 #: 64-bit words of a parity sketch.
@@ -74,7 +75,10 @@ def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray
             for raw in common.text_bytes(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(raw, size).view(np.int64))], names=["h"])
 
-    counts = texts.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    often = texts.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where(F.col("count") >= COMMON_FROM).orderBy(F.desc("count"), "h").limit(COMMON)
+    often = common.stored(often, "common")
+    counts = often.toArrow()
+    common.released(often)
     known = counts.column("h").to_numpy().view(np.uint64)
     order = np.argsort(known)
     return known[order], counts.column("count").to_numpy()[order]

@@ -1,9 +1,12 @@
 import itertools
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gutterline.llm import near_copies
+from gutterline.llm import common, near_copies
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -57,3 +60,18 @@ def test_odd_documents(odd, make):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=lambda v: (v is None, v)) == [1, 3, 4, 5, 6, 7, 9, 10, None]
     assert near_copies.first_of_each(make().where("false")).count() == 0
+
+
+def test_order_knows_what_one_text_in_ten_thousand_has():
+    assert near_copies.SAMPLE / 10_000 >= near_copies.COMMON_FROM
+
+
+def test_shuffle_files_go_with_their_query(spark, tmp_path):
+    files = lambda: len(list(Path(spark.conf.get("spark.local.dir")).glob("**/shuffle_*.data")))
+    before, rows = files(), spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    for _ in range(5):
+        assert common.stored(rows, "counts").count() == 7
+    deadline = time.monotonic() + 20
+    while files() > before + 5 and time.monotonic() < deadline:  # counting has a shuffle of its own
+        time.sleep(0.2)
+    assert files() <= before + 5 and spark.conf.get(common.CLEANUP) == "false"
