@@ -41,27 +41,37 @@ def _below(points: np.ndarray, axis: int, at: float) -> float:
 class _Shape:
     """A polygon with its bounds and area; one that fills its bounds is a box."""
 
+    __slots__ = ("area", "high", "is_box", "low", "points")
+
     def __init__(self, points: np.ndarray) -> None:
         self.points, self.low, self.high, self.area = points, points.min(0).tolist(), points.max(0).tolist(), _area(points)
         self.is_box = self.area == (self.high[0] - self.low[0]) * (self.high[1] - self.low[1])
 
-    def below(self, axis: int, at: float) -> float:
-        low, high = self.low[axis], self.high[axis]
-        if high <= at:
-            return self.area
-        if low >= at:
-            return 0.0
-        return self.area * ((at - low) / (high - low)) if self.is_box else _below(self.points, axis, at)
+    @classmethod
+    def of_box(cls, x: float, y: float, w: float, h: float) -> _Shape:
+        """A box; no array is made for it."""
+        out = cls.__new__(cls)
+        x, y, right, bottom = float(x), float(y), float(x + w), float(y + h)
+        out.points, out.low, out.high, out.is_box = None, [min(x, right), min(y, bottom)], [max(x, right), max(y, bottom)], True
+        out.area = (out.high[0] - out.low[0]) * (out.high[1] - out.low[1])
+        return out
 
 
 def _best_cut(shapes: list[_Shape], axis: int, limit: float) -> tuple[float, list[int], list[int]] | None:
     """The first of the cuts that slice least: how much, and both sides."""
     best = None
-    solid = [i for i, s in enumerate(shapes) if s.area > 0]  # a shape without area has no side
+    # a shape without area has no side
+    solid = [(i, s.low[axis], s.high[axis], s.area, s) for i, s in enumerate(shapes) if s.area > 0]
     for at in sorted({v for s in shapes for v in (s.low[axis], s.high[axis])}):
         lower, upper, worst = [], [], 0.0
-        for i in solid:
-            part, area = shapes[i].below(axis, at), shapes[i].area
+        for i, low, high, area, shape in solid:
+            if high <= at:
+                lower.append(i)
+                continue
+            if low >= at:
+                upper.append(i)
+                continue
+            part = area * ((at - low) / (high - low)) if shape.is_box else _below(shape.points, axis, at)
             worst = max(worst, min(part, area - part) / area)
             if worst > limit:
                 break
@@ -76,37 +86,46 @@ def _best_cut(shapes: list[_Shape], axis: int, limit: float) -> tuple[float, lis
 def topological(shapes: list[np.ndarray], right_to_left: bool = True) -> list[int]:
     """Order of shapes that no cut parts: in a row by column, else by height;
     a cycle is broken by nearness to where reading starts."""
-    low, high = np.array([s.min(0) for s in shapes]), np.array([s.max(0) for s in shapes])
+    return _by_precedence([_Shape(s) for s in shapes], right_to_left)
+
+
+def _by_precedence(shapes: list[_Shape], right_to_left: bool) -> list[int]:
     n = len(shapes)
-    before = np.zeros((n, n), bool)
+    after: list[list[int]] = [[] for _ in shapes]
+    ahead = [0] * n
     for i in range(n):
+        (low_i, top_i), (high_i, bottom_i) = shapes[i].low, shapes[i].high
         for j in range(i + 1, n):
-            shared = min(high[i, 1], high[j, 1]) - max(low[i, 1], low[j, 1])
-            if shared > SAME_ROW * min(high[i, 1] - low[i, 1], high[j, 1] - low[j, 1]):
-                first = bool(high[i, 0] > high[j, 0]) == right_to_left
+            top_j, (high_j, bottom_j) = shapes[j].low[1], shapes[j].high
+            if min(bottom_i, bottom_j) - max(top_i, top_j) > SAME_ROW * min(bottom_i - top_i, bottom_j - top_j):
+                first = (high_i > high_j) == right_to_left
             else:
-                first = bool(low[i, 1] <= low[j, 1])
-            before[(i, j) if first else (j, i)] = True
-    start = low[:, 1] * 1e6 + (-high[:, 0] if right_to_left else low[:, 0])
-    by_start = np.argsort(start, kind="stable").tolist()
+                first = top_i <= top_j
+            before, later = (i, j) if first else (j, i)
+            after[before].append(later)
+            ahead[later] += 1
+    waiting = sorted(range(n), key=lambda k: shapes[k].low[1] * 1e6 + (-shapes[k].high[0] if right_to_left else shapes[k].low[0]))
     out: list[int] = []
-    waiting, ahead = by_start, before.sum(0)
     while waiting:
         free = next((k for k in waiting if ahead[k] == 0), None)
         if free is None:
             return out + waiting
         out.append(free)
-        waiting = [k for k in waiting if k != free]
-        ahead = ahead - before[free]
+        waiting.remove(free)
+        for k in after[free]:
+            ahead[k] -= 1
     return out
 
 
 def place_in_order(shapes: list[np.ndarray], right_to_left: bool = True, limit: float = SLICE) -> list[int]:
     """Indices of shapes in reading order; those without area drop out
     wherever a cut is made."""
+    return _placed([_Shape(s) for s in shapes], right_to_left, limit)
+
+
+def _placed(known: list[_Shape], right_to_left: bool, limit: float = SLICE) -> list[int]:
     done: list[int] = []
-    known = [_Shape(s) for s in shapes]
-    stack = [list(range(len(shapes)))]
+    stack = [list(range(len(known)))]
     while stack:
         some = stack.pop()
         if len(some) <= 1:
@@ -119,7 +138,7 @@ def place_in_order(shapes: list[np.ndarray], right_to_left: bool = True, limit:
         elif columns:
             parts = [columns[2], columns[1]] if right_to_left else [columns[1], columns[2]]
         else:
-            done += [some[k] for k in topological([s.points for s in here], right_to_left)]
+            done += [some[k] for k in _by_precedence(here, right_to_left)]
             continue
         stack += [[some[k] for k in part] for part in reversed(parts)]
     return done
@@ -130,8 +149,14 @@ def corners(box: dict) -> np.ndarray:
     return np.array([[x, y], [right, y], [right, bottom], [x, bottom]], float)
 
 
+def _values(column: pa.Array) -> list:
+    plain = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if plain else column.to_pylist()
+
+
 def _pages(rows: DataFrame, work, schema: str, *columns: str) -> DataFrame:
-    """``work(page_id, boxes)`` on each page, its boxes as dicts by det_id.
+    """``work(boxes)`` on each page, its boxes as tuples of det_id, x, y, w, h
+    and ``columns``, by det_id; what it returns are rows without the page.
 
     A page is one row with an array, so a batch carries many pages.
     """
@@ -139,29 +164,32 @@ def _pages(rows: DataFrame, work, schema: str, *columns: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [r for page_id, boxes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in work(page_id, boxes)]
-            yield pa.RecordBatch.from_pylist(out, schema=types)
+            ends = batch.column(1).offsets.to_numpy()
+            boxes = list(zip(*(_values(c) for c in batch.column(1).flatten().flatten()), strict=True))
+            out = [(page_id, *r) for page_id, a, b in zip(batch.column(0).to_pylist(), (ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True) for r in work(boxes[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(types), types, strict=True)], schema=types)
 
     types = to_arrow_schema(StructType.fromDDL(schema))
     return pages.mapInArrow(run, schema)
 
 
 def _ordered(panels: DataFrame, how) -> DataFrame:
-    def page(page_id, boxes):
-        chosen = how([corners(b) for b in boxes])
-        return [{"page_id": page_id, "det_id": boxes[k]["det_id"], "place": place} for place, k in enumerate(chosen)]
+    def page(boxes):
+        if len(boxes) == 1:
+            return [(boxes[0][0], 0)]
+        return [(boxes[k][0], place) for place, k in enumerate(how([_Shape.of_box(*b[1:5]) for b in boxes]))]
 
     return _pages(panels, page, "page_id long, det_id long, place long")
 
 
 def reading_order(panels: DataFrame, right_to_left: bool = True) -> DataFrame:
     """page_id, det_id, place of each panel."""
-    return _ordered(panels, lambda shapes: place_in_order(shapes, right_to_left))
+    return _ordered(panels, lambda shapes: _placed(shapes, right_to_left))
 
 
 def untangled(panels: DataFrame, right_to_left: bool = True) -> DataFrame:
     """As ``reading_order``, by precedence alone."""
-    return _ordered(panels, lambda shapes: topological(shapes, right_to_left))
+    return _ordered(panels, lambda shapes: _by_precedence(shapes, right_to_left))
 
 
 def _shared(a, b) -> float:
@@ -225,11 +253,11 @@ def joined_splits(panels: DataFrame) -> DataFrame:
     ``polygon`` (an array of x and y), if there is one, gives their outlines."""
     outlined = ["polygon"] if "polygon" in panels.columns else []
 
-    def page(page_id, boxes):
-        best_first = sorted(boxes, key=lambda b: (-b["conf"], b["det_id"]))
-        outlines = [np.array([(p["x"], p["y"]) for p in b["polygon"]], float) if b.get("polygon") else None for b in best_first]
-        joined = join_boxes([[float(b[c]) for c in ("x", "y", "w", "h", "conf")] for b in best_first], outlines=outlines)
-        return [{"page_id": page_id, "place": place, "x": x, "y": y, "w": w, "h": h, "conf": conf} for place, (x, y, w, h, conf) in enumerate(joined)]
+    def page(boxes):
+        best_first = sorted(boxes, key=lambda b: (-b[5], b[0]))
+        outlines = [np.array([(p["x"], p["y"]) for p in b[6]], float) if outlined and b[6] else None for b in best_first]
+        joined = join_boxes([[float(v) for v in b[1:6]] for b in best_first], outlines=outlines)
+        return [(place, *box) for place, box in enumerate(joined)]
 
     return _pages(panels, page, "page_id long, place long, x double, y double, w double, h double, conf double", "conf", *outlined)
 
@@ -238,19 +266,23 @@ def lone_panels(texts: list[tuple], panels: list[tuple], width: float, height: f
     """A panel in the gap around each text that lies in none; one that is
     added bounds the next."""
     added: list[tuple] = []
+    known = [(*p, p[0] + p[2], p[1] + p[3]) for p in panels]
     for x, y, w, h in texts:
-        known = [*panels, *added]
-        if any(_shared((x, y, w, h), p) / max(w * h, 1) >= 0.2 for p in known):
-            continue
-        beside = lambda p, a, b, axis: min(p[axis] + p[axis + 2], b) - max(p[axis], a) > 0.1 * (b - a)
-        column = [p for p in known if beside(p, x, x + w, 0)]
-        top = max([0.0, *(p[1] + p[3] for p in column if p[1] + p[3] <= y)])
-        bottom = min([height, *(p[1] for p in column if p[1] >= y + h)])
-        row = [p for p in known if beside(p, top, bottom, 1)]
-        left = max([0.0, *(p[0] + p[2] for p in row if p[0] + p[2] <= x)])
-        right = min([width, *(p[0] for p in row if p[0] >= x + w)])
-        if (right - left) * (bottom - top) >= least * width * height:
-            added.append((left, top, right - left, bottom - top))
+        right_end, low_end = x + w, y + h
+        for px, py, _, _, pr, pb in known:
+            across, down = min(right_end, pr) - max(x, px), min(low_end, pb) - max(y, py)
+            if across > 0 and down > 0 and across * down / max(w * h, 1) >= 0.2:
+                break
+        else:
+            column = [p for p in known if min(p[4], right_end) - max(p[0], x) > 0.1 * (right_end - x)]
+            top = max([0.0, *(p[5] for p in column if p[5] <= y)])
+            bottom = min([height, *(p[1] for p in column if p[1] >= low_end)])
+            row = [p for p in known if min(p[5], bottom) - max(p[1], top) > 0.1 * (bottom - top)]
+            left = max([0.0, *(p[4] for p in row if p[4] <= x)])
+            right = min([width, *(p[0] for p in row if p[0] >= right_end)])
+            if (right - left) * (bottom - top) >= least * width * height:
+                added.append((left, top, right - left, bottom - top))
+                known.append((*added[-1], left + (right - left), top + (bottom - top)))
     return added
 
 
@@ -258,10 +290,9 @@ def filled_around(texts: DataFrame, panels: DataFrame, width: int = 1000, height
     """Panels added around texts that lie in none."""
     rows = texts.withColumn("panel", F.lit(False)).unionByName(panels.withColumn("panel", F.lit(True)))
 
-    def page(page_id, boxes):
-        of = lambda panel: [tuple(float(b[c]) for c in "xywh") for b in boxes if b["panel"] == panel]
-        added = lone_panels(of(False), of(True), width, height)
-        return [{"page_id": page_id, "place": place, "x": x, "y": y, "w": w, "h": h} for place, (x, y, w, h) in enumerate(added)]
+    def page(boxes):
+        of = lambda panel: [(float(b[1]), float(b[2]), float(b[3]), float(b[4])) for b in boxes if b[5] == panel]
+        return [(place, *added) for place, added in enumerate(lone_panels(texts, of(True), width, height))] if (texts := of(False)) else []
 
     return _pages(rows, page, "page_id long, place long, x double, y double, w double, h double", "panel")
 

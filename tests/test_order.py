@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from gutterline.operators import order
 from gutterline.operators.order import join_boxes, lone_panels, outline_share, place_in_order, topological
 
 
@@ -84,3 +85,15 @@ def test_box_and_polygon_paths_agree():
         boxes = [rect(*rng.integers(0, 900, 2), *rng.integers(20, 500, 2)) for _ in range(rng.integers(2, 9))]
         bent = [np.vstack([b[:1], (b[:1] + b[1:2]) / 2 + [[0, 1e-9]], b[1:]]) for b in boxes]
         assert place_in_order(boxes) == place_in_order(bent)
+
+
+def test_pages_of_boxes_make_no_arrays(spark):
+    """Boxes go as plain numbers; a page of one panel isn't looked at."""
+    rng = np.random.default_rng(4)
+    pages = [[rng.integers(0, 900, 4).tolist() for _ in range(rng.integers(2, 9))] for _ in range(200)]
+    for by in (place_in_order, topological):
+        assert [by([rect(*b) for b in p]) for p in pages] == [(order._placed if by is place_in_order else order._by_precedence)([order._Shape.of_box(*b) for b in p], True) for p in pages]
+    rows = [(n, i, *b) for n, p in enumerate(pages[:9]) for i, b in enumerate(p)] + [(99, 7, 1, 2, 3, 4)]
+    found = order.reading_order(spark.createDataFrame(rows, "page_id long, det_id long, x long, y long, w long, h long")).collect()
+    expected = {(n, k, place) for n, p in enumerate(pages[:9]) for place, k in enumerate(place_in_order([rect(*b) for b in p]))}
+    assert {tuple(r) for r in found} == expected | {(99, 7, 0)} and len(found) == len(expected) + 1
