@@ -12,16 +12,20 @@ far in a list state beside the session's.
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 EVENTS = "key long, t long, n long, kind string, frame long, beat long"
 STATE = "frame long, elapsed long, fired long, playing boolean, waiting boolean, held boolean, seen long"
@@ -223,15 +227,44 @@ class Shelf:
         return advance(s, playing, row.kind, int(row.amount or 0), complete=self.source in self.closed, name=row.name)
 
 
-def _answered(key: int, rows: pd.DataFrame, s: Session, shelf: Shelf) -> pd.DataFrame:
-    """Events of rows of one session, in their order."""
-    rows = rows.assign(rank=rows["kind"].map({"frame": 0, "close": 1}).fillna(2)).sort_values(["t", "rank", "kind", "source", "page", "name", "amount"], kind="stable").astype(object)
-    out = []
-    for row in rows.where(rows.notna(), None).itertuples():
+class Row(NamedTuple):
+    """A row like ``PLAYED``, but for its key and with None for what it lacks."""
+
+    t: int
+    kind: str
+    source: str | None
+    amount: int | None
+    name: str | None
+    page: int | None
+    beats: str | None
+
+
+_RANKS = {"frame": 0, "close": 1}
+
+
+def _order(row: Row) -> tuple:
+    """By time, frames before what is asked; what a row lacks comes last."""
+    lacking = lambda v: (v is None, 0 if v is None else v)
+    return (lacking(row.t), _RANKS.get(row.kind, 2), *map(lacking, (row.kind, row.source, row.page, row.name, row.amount)))
+
+
+def _columns(rows: pd.DataFrame) -> Iterator[Row]:
+    """Rows of a pandas table, whose longs with nulls have become doubles."""
+    lists = [rows[c].tolist() for c in Row._fields]
+    return map(Row._make, zip(*([None if v is None or v != v else v for v in column] for column in lists), strict=True))
+
+
+def _events(rows: Iterable[Row], s: Session, shelf: Shelf) -> list[tuple]:
+    """Events (t, n, kind, frame, beat) of rows of one session, in their order."""
+    rows, out = list(rows), []
+    if not shelf.frames and not any(r.kind == "frame" for r in rows):  # nothing to play, whatever is asked
+        shelf.closed.update(r.source for r in rows if r.kind == "close")
+        return out
+    for row in sorted(rows, key=_order):
         for kind, frame, beat in shelf.answer(s, row):
-            out.append((key, row.t, s.seen, kind, frame, beat))
+            out.append((row.t, s.seen, kind, frame, beat))
             s.seen += 1
-    return pd.DataFrame(out, columns=["key", "t", "n", "kind", "frame", "beat"])
+    return out
 
 
 class Playback(StatefulProcessor):
@@ -249,7 +282,8 @@ class Playback(StatefulProcessor):
             for frame in self.frames.get():
                 shelf.add(*frame)
         before = {source: len(frames) for source, frames in shelf.frames.items()}
-        yield _answered(key[0], pd.concat(list(rows)), s, shelf)
+        found = _events(itertools.chain.from_iterable(map(_columns, rows)), s, shelf)
+        yield pd.DataFrame([(key[0], *e) for e in found], columns=["key", "t", "n", "kind", "frame", "beat"])
         if added := [(source, f.page, f.name, f.text) for source, frames in shelf.frames.items() for f in frames[before.get(source, 0) :]]:
             self.frames.appendList(added)
         self.session.update((s.frame, s.elapsed, s.fired, s.playing, s.waiting, s.held, s.seen, shelf.source, json.dumps(sorted(shelf.closed))))
@@ -270,10 +304,14 @@ def played(rows: DataFrame) -> DataFrame:
     if rows.isStreaming:
         return rows.groupBy("key").transformWithStateInPandas(Playback(), EVENTS, "Append", "None")
 
+    types = to_arrow_schema(StructType.fromDDL(EVENTS))
+
     def session(key, own):
-        return _answered(key[0], own, Session(), Shelf())
+        found = _events(map(Row._make, zip(*(own.column(c).to_pylist() for c in Row._fields), strict=True)), Session(), Shelf())
+        columns = zip(*found) if found else [[]] * (len(types) - 1)
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(types)[1:], strict=True))], schema=types)
 
-    return rows.groupBy("key").applyInPandas(session, EVENTS)
+    return rows.groupBy("key").applyInArrow(session, EVENTS)
 
 
 def frame_windows(marks: DataFrame, late: str = "1 minute") -> DataFrame:

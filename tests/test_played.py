@@ -55,6 +55,14 @@ def test_table(spark):
     assert session.played(spark.createDataFrame([], session.PLAYED)).count() == 0
 
 
+def test_table_keeps_long_numbers_and_unknown_times(spark):
+    """A column with nulls isn't turned to doubles; a row without a time comes last."""
+    far = (1 << 53) + 1
+    rows = [frame(0, far - 1, "a"), frame(0, far, "b"), ask(1, "seek_page", far), ask(None, "prev"), *((2, *r[1:]) for r in (ask(1, "next"), close(2)))]
+    events = session.played(spark.createDataFrame(rows, session.PLAYED)).orderBy("n").collect()
+    assert [tuple(r) for r in events] == [(1, 1, 0, "frame", 1, -1), (1, None, 1, "frame", 0, -1)]
+
+
 @pytest.mark.parametrize("batches", [1, 3])
 def test_stream(spark, tmp_path, batches):
     """Frames and commands come as two streams, in files by time; a state outlives each batch."""
