@@ -37,7 +37,7 @@ def nearest_panels(boxes: DataFrame, panels: DataFrame) -> DataFrame:
     return ranked.where("n = 1").select("page_id", F.col("a.det_id").alias("box_id"), F.col("b.det_id").alias("panel_id"), "gap4")
 
 
-def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER) -> DataFrame:
+def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER, with_box: bool = False) -> DataFrame:
     """The panels that own each box, and by which rule.
 
     A tail's tip in a single panel that the box touches decides.  Else a panel
@@ -50,7 +50,7 @@ def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER) -> D
     panels have no such column; ``tail`` and ``focus`` are columns of boxes,
     structs of x and y that can be null or absent.  One row for each box and
     rule's minimum is kept while panels are looked at, so a box's panels meet
-    in one aggregation.
+    in one aggregation.  ``with_box`` adds the box's own x, y, w and h.
     """
     point = lambda name: F.col(name).alias(name) if name in boxes.columns else F.lit(None).cast("struct<x: double, y: double>").alias(name)
     shaped = "polygon" in panels.columns
@@ -58,19 +58,21 @@ def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER) -> D
     right = panels.select("page_id", F.struct("det_id", "conf", *"xywh", *(["polygon"] if shaped else [])).alias("b"))
     pairs, a, b = left.join(right, "page_id"), Box.field(F.col("a")), Box.field(F.col("b"))
     outline = F.col("b.polygon") if shaped else b.polygon()
-    holds = lambda name: F.coalesce(contains(outline, F.col(f"a.{name}.x").cast("double"), F.col(f"a.{name}.y").cast("double")) & F.col(f"a.{name}").isNotNull(), F.lit(False))
+    # a point that no box has is not looked for in each pair's outline
+    holds = lambda name: F.coalesce(contains(outline, F.col(f"a.{name}.x").cast("double"), F.col(f"a.{name}.y").cast("double")) & F.col(f"a.{name}").isNotNull(), F.lit(False)) if name in boxes.columns else F.lit(False)
     dx = F.greatest(b.x * 2 - (a.x * 2 + a.w), F.lit(0), a.x * 2 + a.w - b.right * 2)
     dy = F.greatest(b.y * 2 - (a.y * 2 + a.h), F.lit(0), a.y * 2 + a.h - b.bottom * 2)
+    own = list("xywh") if with_box else []
     facts = pairs.select(
         "page_id", F.col("a.det_id").alias("box_id"), F.col("b.det_id").alias("panel_id"), a.intersection(b).alias("inter"), b.area.alias("area"), (dx * dx + dy * dy).alias("gap"),
-        (samples_in_polygon(outline, a) if shaped else samples_inside(b, a)).alias("hits"), (F.col("b.conf") >= profile.rescue_conf).alias("seen"), holds("tail").alias("tailed"), holds("focus").alias("focused"),
+        (samples_in_polygon(outline, a) if shaped else samples_inside(b, a)).alias("hits"), (F.col("b.conf") >= profile.rescue_conf).alias("seen"), holds("tail").alias("tailed"), holds("focus").alias("focused"), *(F.col(f"a.{c}") for c in own),
     )
     whole, clear, shared = (F.col("hits") >= share * 36 for share in (profile.whole_share, profile.clear_share, profile.shared_share))
     pointed, touched = F.col("tailed") & (F.col("inter") > 0), F.col("inter") > 0
     best = lambda when, value: F.min(F.when(when, F.struct(value.alias("value"), "panel_id")))["panel_id"]
     found = facts.groupBy("page_id", "box_id").agg(
         F.count_if(pointed).alias("tails"), best(pointed, F.lit(0)).alias("tail"), best(whole, F.col("area")).alias("whole"), F.coalesce(F.bool_or(clear), F.lit(False)).alias("clear"),
-        F.collect_list(F.when(shared, F.struct("panel_id", "seen", "focused"))).alias("sharing"), best(touched & F.col("seen"), -F.col("inter")).alias("seen_box"), best(touched, -F.col("inter")).alias("box"), best(F.lit(True), F.col("gap")).alias("nearest"),
+        F.collect_list(F.when(shared, F.struct("panel_id", "seen", "focused"))).alias("sharing"), best(touched & F.col("seen"), -F.col("inter")).alias("seen_box"), best(touched, -F.col("inter")).alias("box"), best(F.lit(True), F.col("gap")).alias("nearest"), *(F.first(c).alias(c) for c in own),
     )
     found = found.withColumn("seen_sharing", F.filter("sharing", lambda p: p.seen)).withColumn("sharing", F.when(F.size("seen_sharing") > 0, F.col("seen_sharing")).otherwise(F.col("sharing")))
     found = found.withColumn("in_focus", F.filter("sharing", lambda p: p.focused))
@@ -80,13 +82,16 @@ def owners(boxes: DataFrame, panels: DataFrame, profile: Profile = BROWSER) -> D
         ("shared", F.col("clear"), ids("sharing")), ("box", F.col("seen_box").isNotNull(), one("seen_box")), ("box", F.col("box").isNotNull(), one("box")), ("nearest", F.lit(True), one("nearest")),
     )
     chosen = F.coalesce(*(F.when(when, F.struct(F.lit(name).alias("rule"), panels.alias("panels"))) for name, when, panels in rules))
-    return found.select("page_id", "box_id", chosen.alias("chosen")).select("page_id", "box_id", F.explode("chosen.panels").alias("panel_id"), "chosen.rule")
+    return found.select("page_id", "box_id", chosen.alias("chosen"), *own).select("page_id", "box_id", F.explode("chosen.panels").alias("panel_id"), "chosen.rule", *own)
 
 
 def framed(panels: DataFrame, owned: DataFrame) -> DataFrame:
     """Each panel's box grown to hold the boxes it owns."""
+    # the page alone is the join's key: rows that lie by page stay where they are
     grown = owned.groupBy("page_id", "panel_id").agg(F.min("x").alias("bx"), F.min("y").alias("by"), F.max(F.col("x") + F.col("w")).alias("bx2"), F.max(F.col("y") + F.col("h")).alias("by2"))
-    rows = panels.withColumnRenamed("det_id", "panel_id").join(grown, ["page_id", "panel_id"], "left")
+    grown = grown.withColumnRenamed("page_id", "grown_page").withColumnRenamed("panel_id", "grown_panel")
+    same = (F.col("page_id") == F.col("grown_page")) & (F.col("panel_id") >= F.col("grown_panel")) & (F.col("panel_id") <= F.col("grown_panel"))
+    rows = panels.withColumnRenamed("det_id", "panel_id").join(grown, same, "left")
     x, y = F.least("x", F.coalesce("bx", "x")), F.least("y", F.coalesce("by", "y"))
     right, bottom = F.col("x") + F.col("w"), F.col("y") + F.col("h")
     return rows.select("page_id", "panel_id", x.alias("x"), y.alias("y"), (F.greatest(right, F.coalesce("bx2", right)) - x).alias("w"), (F.greatest(bottom, F.coalesce("by2", bottom)) - y).alias("h"))

@@ -330,8 +330,7 @@ def directed_shot(spark, sf):
 )
 def framed(spark, sf):
     balloons, panels = _one(spark, sf, "balloon"), _one(spark, sf, "frame")
-    owned = assign.owners(balloons, panels).join(balloons.withColumnRenamed("det_id", "box_id"), ["page_id", "box_id"])
-    return assign.framed(panels.select("page_id", "det_id", *"xywh"), owned)
+    return assign.framed(panels.select("page_id", "det_id", *"xywh"), assign.owners(balloons, panels, with_box=True))
 
 
 @query(

@@ -61,3 +61,17 @@ def test_nothing_to_own(spark):
     assert [tuple(r) for r in assign.owners(boxes, frames).collect()] == [(2, 0, 7, "whole")]
     assert assign.owners(boxes, frames.where("false")).count() == 0
     assert assign.owners(boxes.where("false"), frames).count() == 0
+
+
+def test_framing_deals_rows_by_page_alone(spark, sf):
+    """Once dealt by page, boxes and panels meet where they lie."""
+    from gutterline.plans import layout_queries  # noqa: F401
+    from gutterline.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["p6_framed"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert dealt and not any("box_id" in line or "panel_id" in line for line in dealt)
