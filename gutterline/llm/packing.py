@@ -73,13 +73,13 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int)
     common.small_batches(docs.sparkSession)
 
     def encode(batches):
-        ids_of, end = tokenizing.byte_encoder(tokenizer_path, "<u4"), end_id.to_bytes(4, "little")
+        encoder, end = tokenizing.byte_encoder(tokenizer_path, "<u4"), end_id.to_bytes(4, "little")
         size, task = 4 * capacity, TaskContext.get().partitionId()
         pieces, ranks = 0, [0] * capacity
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
-            for text in batch.column(1).to_pylist():
-                ids = ids_of(text or "") + end
+            for ids in encoder.texts(batch.column(1)):
+                ids += end
                 full = [zlib.crc32(ids[a : a + size]) for a in range(0, len(ids) - size + 1, size)]
                 rest = ids[len(full) * size :]
                 for column, value in zip(columns, (len(ids) // 4, task, pieces, ranks[len(rest) // 4], full, zlib.crc32(rest), rest), strict=True):

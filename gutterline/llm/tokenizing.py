@@ -10,13 +10,23 @@ of a special token.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Words that one worker remembers, and the longest that it remembers.
 CACHE_WORDS = 700_000
 CACHE_CHARS = 48
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 8 << 20
+#: White space as Python has it, and what of it makes a text ``Unsplittable``.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNSPLITTABLE = rf"^(?:[ \n]|$)|[ \n]{SPACE}|{SPACE}(?:[ \n]|$)"
 
 
 class Unsplittable(Exception):
@@ -24,15 +34,22 @@ class Unsplittable(Exception):
 
 
 class WordCache(dict):
-    """Ids of a word as bytes; ``encode(word) -> bytes`` fills in what is missing."""
+    """Ids of a word as bytes; ``encode(word) -> bytes`` fills in what is missing.
+
+    When half of what may be remembered is new, what was not asked for since
+    the last time is forgotten.
+    """
 
     def __init__(self, encode) -> None:
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.older.pop(word, None)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -47,12 +64,22 @@ def byte_characters() -> list[str]:
 
 def plain_stem(word: str) -> bool:
     """Whether a word is Latin letters only, and so one piece of the pattern's."""
-    return word.isalpha() and max(word) < "\u0250"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 def stem_and_mark(word: str) -> tuple[str, str] | None:
     """A plain stem and the one mark behind it: two pieces of the pattern's."""
-    return (word[:-1], word[-1]) if word[-1] in ".,;:!?" and plain_stem(word[:-1]) else None
+    return (word[:-1], word[-1]) if word[-1:] in ".,;:!?" and plain_stem(word[:-1]) else None
+
+
+#: ASCII marks without the apostrophe, which contractions start with.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def stem_and_marks(word: str) -> tuple[str, str] | None:
+    """A plain stem and the marks behind it, if any: a byte-level pattern has all of them as one piece."""
+    stem = word.rstrip(MARKS)
+    return (stem, word[len(stem) :]) if plain_stem(stem) else None
 
 
 def attached_parts(text: str) -> tuple[str, list[str]]:
@@ -150,6 +177,54 @@ class AttachedSpaceEncoder:
             return self.whole(text)
 
 
+class ByteLevelEncoder(AttachedSpaceEncoder):
+    """Encodes whole columns: of many texts at once, each word is looked up once.
+
+    A line break and the word behind it have to be matches of their own.
+    """
+
+    def _part(self, part: str) -> bytes:
+        if cut := stem_and_marks(part):
+            stem, marks = cut
+            return self.words[stem] + self.marks[marks] if marks else self.piece(" " + stem)
+        word = attached_word(part)
+        return self.marks["\n"] + self._head(word[1:]) if word[0] == "\n" else self.whole(word)
+
+    def _head(self, word: str) -> bytes:
+        """A word with no space in front of it."""
+        if cut := stem_and_marks(word):
+            stem, marks = cut
+            return self.piece(stem) + self.marks[marks] if marks else self.piece(stem)
+        return self.whole(word)
+
+    def texts(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of each text; null is empty."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        cuts = np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1
+        for a, b in itertools.pairwise([0, *cuts.tolist(), len(column)]):
+            yield from self._slice(column.slice(a, b - a))
+
+    def _slice(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, UNSPLITTABLE)
+        for special in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        cut = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", " \n"), " ")
+        parts, starts = cut.flatten(), cut.offsets.to_numpy()
+        behind = np.ones(len(parts), bool)
+        behind[starts[:-1]] = False
+        words = parts.filter(pa.array(behind)).dictionary_encode()
+        known = pa.array(map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False)), pa.large_binary())
+        tails = pc.binary_join(pa.ListArray.from_arrays(starts - np.arange(len(starts), dtype=np.int32), known.take(words.indices)), pa.scalar(b"", pa.large_binary()))
+        whole, split = iter(texts.filter(odd).to_pylist()), zip(parts.take(pa.array(starts[:-1])).to_pylist(), tails.to_pylist(), strict=True)
+        for is_odd in odd.to_pylist():
+            if is_odd:
+                yield self.whole(next(whole))
+            else:
+                first, tail = next(split)
+                yield self._head(first) + tail
+
+
 @functools.cache
 def word_encoder(path: str, dtype: str) -> DroppedSpaceEncoder:
     """One for each Python worker."""
@@ -157,12 +232,13 @@ def word_encoder(path: str, dtype: str) -> DroppedSpaceEncoder:
 
 
 @functools.cache
-def byte_encoder(path: str, dtype: str) -> AttachedSpaceEncoder:
+def byte_encoder(path: str, dtype: str) -> ByteLevelEncoder:
     """A single match goes to the library's merges, its bytes as characters."""
-    merges, chars = library(path).model.tokenize, byte_characters()
+    merges, chars, code = library(path).model.tokenize, byte_characters(), np.dtype(dtype).char
 
     def piece(match: str) -> bytes:
-        mapped = chars[32] + match[1:] if match.isascii() else "".join([chars[b] for b in match.encode()])
-        return np.array([t.id for t in merges(mapped)], dtype=dtype).tobytes()
+        mapped = match.replace(" ", chars[32]) if match.isascii() else "".join([chars[b] for b in match.encode()])
+        ids = [t.id for t in merges(mapped)]
+        return struct.pack(f"<{len(ids)}{code}", *ids)
 
-    return AttachedSpaceEncoder(lambda text: encode_whole(path, text, dtype), piece, specials(path))
+    return ByteLevelEncoder(lambda text: encode_whole(path, text, dtype), piece, specials(path))

@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from gutterline.llm import binary_index, byte_bpe, cutting_stock, packing
+from gutterline.llm import binary_index, byte_bpe, cutting_stock, packing, tokenizing
 from gutterline.llm.tokenizing import byte_encoder, encode_whole, word_encoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -28,6 +30,64 @@ def test_cached_words_give_the_library_s_ids():
                 assert encode(text) == encode_whole(path, text, "<u2"), text
 
 
+MARKED = ["this.### that, $$$ (x) a's don't. it'!s 'll x' \u00aa.. \u0149, \u024f! \u0250! re%%%\nSt. ***\n...x end...", "$$$", "x\n'll", "It's\nx", "a.b.c d-e f_g 1. 2,3 x9!", "<|endoftext|>", "a <|endoftext|> b", "\x00a b", "\nx", "x\n", "a\r\nb", "\ta b", "a\u2003 b", "a\u2003b c"]
+
+
+@pytest.mark.parametrize("slice_bytes", [8 << 20, 50, 1])
+def test_columns_give_the_library_s_ids(monkeypatch, slice_bytes):
+    monkeypatch.setattr(tokenizing, "SLICE_BYTES", slice_bytes)
+    column = [None, *texts(), *MARKED, None, *(a + b + c for a in ("", "a", "a. ", "\n") for b in MARKED + ODD for c in ("", " ", "\nB", "!"))]
+    expected = [encode_whole(BYTE, t or "", "<u4") for t in column]
+    encoder = byte_encoder.__wrapped__(BYTE, "<u4")
+    for kind in (pa.string(), pa.large_string()):
+        assert list(encoder.texts(pa.array(column, kind))) == expected
+        assert list(encoder.texts(pa.array(column, kind).slice(3, 200))) == expected[3:203]
+    for none_plain in ([], [None], ["", None], [" x", "y  z"]):
+        assert list(encoder.texts(pa.array(none_plain, pa.string()))) == [encode_whole(BYTE, t or "", "<u4") for t in none_plain]
+
+
+def test_odd_white_space_is_python_s():
+    spaces = pa.array([chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+    matched = pc.match_substring_regex(spaces, f"^{tokenizing.SPACE}$")
+    assert spaces.filter(matched).to_pylist() == [s for s in spaces.to_pylist() if s.isspace()]
+
+
+def test_a_column_s_words_are_encoded_once_and_by_the_merges_alone():
+    encoder = byte_encoder.__wrapped__(BYTE, "<u4")
+    pieces, wholes, lookups = [], [], []
+    piece, whole, word = encoder.piece, encoder.whole, encoder.words.__getitem__
+    encoder.piece = lambda match: pieces.append(match) or piece(match)
+    encoder.whole = encoder.marks.encode = lambda text: wholes.append(text) or whole(text)
+
+    class Counted(tokenizing.WordCache):
+        def __getitem__(self, key):
+            lookups.append(key)
+            return super().__getitem__(key)
+
+    encoder.words = Counted(encoder._part)
+    assert list(encoder.texts(pa.array(["First, word word.### word\nLine word, word."] * 500))) == [encode_whole(BYTE, "First, word word.### word\nLine word, word.", "<u4")] * 500
+    assert sorted(set(wholes)) == ["\n", ",", ".", ".###"] and len(wholes) == 4
+    assert sorted(set(pieces)) == [" word", "First", "Line"] and pieces.count(" word") == pieces.count("Line") == 1
+    assert len(lookups) < 20
+
+
+def test_frequent_words_stay_in_the_cache(monkeypatch):
+    monkeypatch.setattr(tokenizing, "CACHE_WORDS", 8)
+    encoded = []
+    words = tokenizing.WordCache(lambda word: encoded.append(word) or word.encode())
+    for i in range(100):
+        assert words["often"] == b"often" and words[str(i)] == str(i).encode()
+        assert len(words) + len(getattr(words, "older", ())) <= 8
+    assert encoded.count("often") == 1 and len(encoded) == 101
+
+
+def test_double_spaces_after_the_cache_was_full(monkeypatch):
+    monkeypatch.setattr(tokenizing, "CACHE_WORDS", 8)
+    encode = word_encoder.__wrapped__(WORD, "<u2")
+    for text in [*texts(), "two  spaces", *texts()]:
+        assert encode(text) == encode_whole(WORD, text, "<u2"), text
+
+
 def test_byte_bpe_is_tiktoken_s():
     tiktoken = pytest.importorskip("tiktoken")
     with open(RANKS, "rb") as lines:
