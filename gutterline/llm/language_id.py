@@ -30,6 +30,8 @@ PASSAGES, PASSAGE_CHARS, CALIBRATE_EVERY = 1600, 2000, 4
 #: has one passage of each at least, so this many languages are learned at most.
 BUCKETS = 16
 MOST_LANGUAGES = PASSAGES // BUCKETS
+#: Places whose sums are added up together, and those looked up at once.
+SUMMED, LOOKED_UP = 1 << 19, 1 << 16
 #: Characters that a text's posterior counts at most.
 EVIDENCE_CHARS = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -188,18 +190,23 @@ class Identifier:
             out[missing] = left + self.log_probability(rest, n - 1)
         return out
 
+    def _places(self, codes: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Log probabilities at the places from ``first`` to before ``last``, few at once."""
+        out = np.empty((last - first, len(self.langs)), np.float32)
+        for a in range(first, last, LOOKED_UP):
+            b, lead = min(a + LOOKED_UP, last), min(a, ORDER - 1)
+            out[a - first : b - first] = self.log_probability([p[lead:] for p in grams(codes[a - lead : b])])
+        return out
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per character of each text under each language, and the
         number of characters; infinite where a text has no letter."""
         total, n = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         for first, last in _slices(texts):
             codes, of = symbols(texts[first:last])
-            place, parts = scored_places(codes), grams(codes)
-            for a in range(0, len(codes), 1 << 19):
-                here = slice(a, a + (1 << 19))
-                kept = place[here]
-                log_p = self.log_probability([p[here][kept] for p in parts])
-                where = of[here][kept]
+            for a in range(0, len(codes), SUMMED):
+                log_p = self._places(codes, max(a, 1), min(a + SUMMED, len(codes)))
+                where = of[max(a, 1) : a + SUMMED]
                 for k in range(len(self.langs)):
                     total[first:last, k] -= np.bincount(where, log_p[:, k], last - first)
                 n[first:last] += np.bincount(where, minlength=last - first)
@@ -311,9 +318,6 @@ def fitted(labelled: DataFrame) -> tuple[dict[str, bytes], Calibration]:
     return found, calibrate(Identifier(found), [r.passage for r in held], [r.lang for r in held])
 
 
-_LOADED: dict[str, Identifier] = {}
-
-
 def predicted(spark, models: dict[str, bytes], calibration: Calibration, text: Column) -> Column:
     """A struct of lang_pred, score, rejected, cross_entropy for a text column."""
     shared, key = spark.sparkContext.broadcast(models), uuid.uuid4().hex
@@ -321,10 +325,7 @@ def predicted(spark, models: dict[str, bytes], calibration: Calibration, text: C
     @F.arrow_udf("lang_pred string, score double, rejected boolean, cross_entropy double")
     def predict(texts: pa.Array) -> pa.Array:
         if shared.value:
-            if key not in _LOADED:
-                _LOADED.clear()
-                _LOADED[key] = Identifier(shared.value)
-            identifier = _LOADED[key]
+            identifier = common.resident(key, lambda: Identifier(shared.value))
             entropy, n = identifier.entropies([t or "" for t in texts.to_pylist()])
             best, score = entropy.argmin(1), posterior(entropy, n, calibration.scale)
             lowest = entropy[np.arange(len(n)), best]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, cutting_stock, tokenizing
@@ -65,6 +65,12 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return Plan(uses, stream, sequence, (*tokens, place))
 
 
+def _local(spark: SparkSession, rows: list[tuple[int, ...]], names: list[str]) -> DataFrame:
+    """Rows of longs as a local table; as Python rows they would be read by workers of their own."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table([pa.array(np.ascontiguousarray(c)) for c in columns], names=names))
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """Per document: doc_id, doc_tokens, the task that read it, how many full
     pieces and how many remainders of the same length the task had before it,
@@ -118,8 +124,8 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
     plan = packing_plan({r.rest_length: r.n for r in counts.groupBy("rest_length").agg(F.sum("n").alias("n")).collect()}, capacity)  # capacity - 1 rows at most
     before = Window.partitionBy("rest_length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "rest_length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_base"))
-    uses = spark.createDataFrame(plan.uses, "rest_length long, rank_from long, copies long, times long, sequence long, place long")
-    stream = spark.createDataFrame(plan.stream, "rest_length long, stream_from long, stream_place long")
+    uses = _local(spark, plan.uses, ["rest_length", "rank_from", "copies", "times", "sequence", "place"])
+    stream = _local(spark, plan.stream, ["rest_length", "stream_from", "stream_place"])
     # both are bounded by the lengths that there are, not by the documents
     uses_of = uses.groupBy("rest_length").agg(F.array_sort(F.collect_list(F.struct("rank_from", "copies", "times", "sequence", "place"))).alias("uses"))
     rest = done.where("rest_length > 0").select("doc_id", "doc_tokens", "task", "rest_length", "rank", "rest_crc", "rest")

@@ -19,11 +19,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Words that one worker remembers, and the longest that it remembers.
 CACHE_WORDS = 700_000
 CACHE_CHARS = 48
-#: Bytes of text whose words are looked up together.
-SLICE_BYTES = 8 << 20
+#: Bytes of text whose words are looked up together; a worker needs some ten times as many meanwhile.
+SLICE_BYTES = 1 << 20
 #: White space as Python has it, and what of it makes a text ``Unsplittable``.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 UNSPLITTABLE = rf"^(?:[ \n]|$)|[ \n]{SPACE}|{SPACE}(?:[ \n]|$)"
@@ -218,13 +220,22 @@ class ByteLevelEncoder(AttachedSpaceEncoder):
                 yield self._head(first) + tail
 
 
-@functools.cache
+def _resident(build):
+    """One for each Python worker, until it needs something else."""
+
+    @functools.wraps(build)
+    def kept(*args):
+        return common.resident((build.__name__, *args), lambda: build(*args))
+
+    return kept
+
+
+@_resident
 def word_encoder(path: str, dtype: str) -> DroppedSpaceEncoder:
-    """One for each Python worker."""
     return DroppedSpaceEncoder(path, dtype)
 
 
-@functools.cache
+@_resident
 def byte_encoder(path: str, dtype: str) -> ByteLevelEncoder:
     """A single match goes to the library's merges, its bytes as characters."""
     merges, chars, code = library(path).model.tokenize, byte_characters(), np.dtype(dtype).char

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gutterline.llm import common, tokenizing
 from gutterline.llm import language_id as L
 
 
@@ -66,3 +67,29 @@ def test_odd_documents(odd):
 @pytest.mark.parametrize(("counts", "total", "share"), [([1000] * 4, 1600, 400), ([1] * 96 + [1000] * 4, 1600, 376), ([5, 5], 100, 95), ([], 10, 10)])
 def test_shares_of_the_sample(counts, total, share):
     assert L.even_share(counts, total) == share and sum(min(c, share) for c in counts) <= total
+
+
+def test_a_worker_keeps_one_model_or_encoder(monkeypatch):
+    monkeypatch.setattr(common, "_RESIDENT", {})
+    first = common.resident("model", lambda: [1])
+    assert common.resident("model", lambda: [2]) is first
+    kept = tokenizing._resident(lambda path, dtype: [path, dtype])
+    encoder = kept("vocabulary", "<u4")
+    assert kept("vocabulary", "<u4") is encoder and list(common._RESIDENT.values()) == [encoder]
+    assert common.resident("model", lambda: [3]) == [3] and kept("vocabulary", "<u4") is not encoder
+
+
+def test_places_are_looked_up_in_parts(monkeypatch):
+    texts = [words(1, "aeo"), "", words(2, "iuy"), "x", words(3, "aeo", 700)]
+    identifier = L.Identifier({lang: L.Model.fit(L.symbols([words(s, v, 400)])[0], 64).dump() for lang, s, v in (("aa", 8, "aeo"), ("bb", 9, "iuy"))})
+    codes, of = L.symbols(texts)
+    log_p = identifier.log_probability([p[1:] for p in L.grams(codes)])
+    direct = -np.stack([np.bincount(of[1:], log_p[:, k], len(texts)) for k in range(2)], axis=1)
+    seen = []
+    look = identifier.log_probability
+    monkeypatch.setattr(L, "LOOKED_UP", 50)
+    monkeypatch.setattr(identifier, "log_probability", lambda parts, n=L.ORDER: seen.append(len(parts[0])) or look(parts, n))
+    entropy, n = identifier.entropies(texts)
+    assert max(seen) <= 50 and n[1] == 0
+    assert all((entropy[i] == direct[i] / n[i]).all() for i in (0, 2, 3, 4))
+    assert identifier.entropies([])[0].shape == (0, 2) and np.isinf(identifier.entropies(["", "1"])[0]).all()
