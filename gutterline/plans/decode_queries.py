@@ -151,7 +151,8 @@ def tail_tips(spark, sf):
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     spike = [point(x + w * 0.56, y + h), point(x + w / 2 + F.col("det_id") * 3, y + h + 20), point(x + w * 0.44, y + h)]
     shape = F.array(point(x, y), point(x + w, y), point(x + w, y + h), *spike, point(x, y + h))
-    return outlines.tail_tips(dealt(detections(spark, sf, "balloon")).select("page_id", "det_id", shape.alias("polygon")))
+    balloons = detections(spark, sf, "balloon").select("page_id", "det_id", shape.alias("polygon"))
+    return outlines.tail_tips(dealt(balloons, outlines.shape_key(F.col("polygon"))))
 
 
 _SLACK = 6  # twelve pixels of the screen at twice the scale

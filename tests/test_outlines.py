@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gutterline.operators import decode, lift, orphans, outlines, raster, timeline
+from gutterline.operators import decode, lift, orphans, outlines, page_rasters, raster, timeline
 
 
 def rectangle(x, y, w, h):
@@ -67,3 +67,40 @@ def test_pan_waits_for_its_stop(spark):
     ticks = spark.createDataFrame([(1, t, t, 100, int(t >= 6)) for t in range(12)], "key long, t long, event_id long, dt long, revealed long")
     places = [r.place for r in timeline.pan_progress(ticks, [300], 1000, 100, end=1000).orderBy("t").collect()]
     assert places == [0, 100, 200, 300, 300, 300, 400, 500, 600, 700, 800, 900]
+
+
+def plain_tip(points):
+    """The tip by window sums and a walk cell by cell."""
+    (x0, y0), (x1, y1) = np.floor(points.min(0)).astype(int) - outlines.MARGIN, np.ceil(points.max(0)).astype(int) + outlines.MARGIN + 1
+    if min(x1 - x0, y1 - y0) < outlines.LEAST_SIDE:
+        return None
+    mask, r = outlines.covered(points, x0, y0, x1 - x0, y1 - y0), max(2, int(np.floor(min(x1 - x0, y1 - y0) * outlines.TAIL_WIDTH + 0.5)))
+    body = outlines.window_sums(outlines.window_sums(mask, r) == (2 * r + 1) ** 2, r) > 0
+    steps, furthest = page_rasters.walked(mask & ~body, body)
+    return None if furthest < 0 else (furthest % (x1 - x0) + x0, furthest // (x1 - x0) + y0)
+
+
+def test_tips_by_whole_numbers_are_those_cell_by_cell(spark):
+    rng, shapes = np.random.default_rng(5), []
+    for n in range(120):
+        w, h = rng.integers(12, 90, 2)
+        outline = rectangle(*(rng.integers(-40, 400, 2) / 4), w, h)
+        spike = outline[2] - [[w * a, b] for a, b in ((0.4, 0), (rng.random(), -int(rng.integers(0, 40))), (0.6, 0))]
+        shapes.append(np.concatenate([outline[:3], spike, outline[3:]]) if n % 5 else rng.integers(0, 60, (n % 7 + 3, 2)).astype(float))
+    tips = [plain_tip(p) for p in shapes]
+    assert [outlines.tail_tip(p) for p in shapes] == tips and 20 < tips.count(None) < 100
+    point = "array<struct<x:double,y:double>>"
+    rows = spark.createDataFrame([(1, n, [tuple(v) for v in p.tolist()]) for n, p in enumerate(shapes)] + [(2, 1, None)], f"page_id int, det_id int, polygon {point}")
+    found = {(r.page_id, r.det_id): (r.tip_x, r.tip_y) for r in outlines.tail_tips(rows).collect()}
+    assert found == {(1, n): tip or (None, None) for n, tip in enumerate(tips)} | {(2, 1): (None, None)}
+
+
+def test_outlines_that_differ_by_place_are_walked_once(spark):
+    rng, spike = np.random.default_rng(7), np.array([[10, 10], [90, 10], [90, 70], [55, 70], [62, 99], [45, 70], [10, 70]], float)
+    places = [(0.0, 0.0), (-40.0, 7.0), *((float(x), float(y)) for x, y in rng.integers(-50, 5000, (20, 2)))]
+    assert {tuple(np.subtract(outlines.tail_tip(spike + p), p)) for p in places} == {outlines.tail_tip(spike)}
+    point = "array<struct<x:double,y:double>>"
+    rows = spark.createDataFrame([(n, 1, [tuple(v) for v in (spike + p).tolist()]) for n, p in enumerate([*places, (0.5, 0.0)])], f"page_id long, det_id long, polygon {point}")
+    assert rows.select(outlines.shape_key(F.col("polygon"))).distinct().count() == 2
+    tips = {r.page_id: (r.tip_x, r.tip_y) for r in outlines.tail_tips(rows.coalesce(1)).collect()}
+    assert all(tips[n] == outlines.tail_tip(spike + p) for n, p in enumerate([*places, (0.5, 0.0)]))
